@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, near_dedup
+from . import fingerprints, line_dedup, near_dedup, quality
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op10_quality": quality.ORACLE}
