@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, near_dedup, quality
+from . import byte_bpe, fingerprints, line_dedup, near_dedup, packing, quality, token_files
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op5_packing": packing.op5_packing,
+    "op6_token_files": token_files.op6_token_files,
     "op10_quality": quality.op10_quality,
 }
 
