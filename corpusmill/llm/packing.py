@@ -25,6 +25,8 @@ from .workspace import Workspace, table
 SIZE = 1024
 #: Coordinate steps of the least-squares fit.
 STEPS = 4000
+#: Shares of the fitted repeats that are tried.
+SHARES = (1.0, 0.9, 0.8, 0.7, 0.5, 0.25)
 END = 2
 
 
@@ -116,25 +118,31 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
 
 
 def plan(counts: np.ndarray, size: int, steps: int = STEPS) -> list[tuple[list[int], int]]:
-    """(lengths, repeats) of sequences that hold exactly ``counts[length]`` pieces of each length."""
-    left = counts.astype(np.int64).copy()
-    out: list[tuple[list[int], int]] = []
-    if left[size]:
-        out.append(([size], int(left[size])))
-        left[size] = 0
-    parts, squares = patterns(size, left > 0)
-    x = fit(left, parts, squares, steps)
-    for i in np.argsort(-x, kind="stable").tolist():
-        n = int(x[i])
-        if n < 1:
-            break
-        lengths = [p for p in parts[i].tolist() if p]
-        n = min([n, *(int(left[p]) // lengths.count(p) for p in set(lengths))])
-        if n > 0:
-            out.append((lengths, n))
-            for p in lengths:
-                left[p] -= n
-    return out + best_fit(left, size)
+    """(lengths, repeats) of sequences that hold exactly ``counts[length]`` pieces of each length.
+
+    Repeats are the fitted ones times a share, rounded down; short pieces that the patterns leave are
+    what best fit needs to fill up the rest. Of ``SHARES``, the one with the fewest sequences is taken.
+    """
+    full = [([size], int(counts[size]))] if counts[size] else []
+    rest = counts.astype(np.int64).copy()
+    rest[size] = 0
+    parts, squares = patterns(size, rest > 0)
+    x = fit(rest, parts, squares, steps)
+    order = [i for i in np.argsort(-x, kind="stable").tolist() if x[i] >= 1]
+    best: list[tuple[list[int], int]] | None = None
+    for share in SHARES:
+        left, found = rest.copy(), []
+        for i in order:
+            lengths = [p for p in parts[i].tolist() if p]
+            n = min([int(x[i] * share), *(int(left[p]) // lengths.count(p) for p in set(lengths))])
+            if n > 0:
+                found.append((lengths, n))
+                for p in lengths:
+                    left[p] -= n
+        found += best_fit(left, size)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+    return full + (best or [])
 
 
 def pieces_of(total: int, size: int) -> list[tuple[int, int]]:
