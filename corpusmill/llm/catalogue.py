@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, line_dedup, near_dedup, packing, quality, token_files
+from . import archives, byte_bpe, fingerprints, line_dedup, near_dedup, packing, quality, sharding, token_counts, token_files
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,7 +11,10 @@ QUERIES = {
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_packing": packing.op5_packing,
     "op6_token_files": token_files.op6_token_files,
+    "op7_sharding": sharding.op7_sharding,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_archives": archives.op9_archives,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op10_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op9_archives": archives.ORACLE, "op10_quality": quality.ORACLE}
