@@ -1,4 +1,8 @@
-"""Queries over the driver's tables and the SQL that states their results."""
+"""All queries over the driver's tables."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from corpusmill.plans import corpus, history, retrieval  # noqa: F401  (they register their queries)
+from corpusmill.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
