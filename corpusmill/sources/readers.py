@@ -119,7 +119,7 @@ def activity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def activity_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.text(folder).agg(F.count("*").alias("n_events"), F.countDistinct(F.input_file_name()).alias("n_files"))
+    return spark.read.text(folder).select(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_events"), F.countDistinct("file").alias("n_files"))
 
 
 def tracker_csv(spark: SparkSession, path: str) -> DataFrame:
