@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .pretokens import PieceCache, in_blocks, split_texts
+from .pretokens import PieceCache, in_blocks, split_flat
 from .workspace import table
 
 
@@ -106,12 +106,12 @@ class ByteBPE:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """For each text its ids, and the same as decimals joined by blanks."""
         for block in in_blocks(texts):
-            split = split_texts(block)
-            values = self._cache.values([p for pieces in split for p in pieces])
+            pieces, counts = split_flat(block)
+            values = self._cache.values(pieces)
             at = 0
-            for pieces in split:
-                mine = values[at : at + len(pieces)]
-                at += len(pieces)
+            for n in counts:
+                mine = values[at : at + n]
+                at += n
                 yield np.frombuffer(b"".join([v[0] for v in mine]), dtype="<u4"), b" ".join([v[1] for v in mine])
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -10,8 +10,10 @@ frequent pieces.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 
@@ -35,12 +37,12 @@ def _classes() -> np.ndarray:
     return table
 
 
-def split_texts(texts: list[str]) -> list[list[str]]:
-    """The pieces of each text."""
+def split_flat(texts: list[str]) -> tuple[list[str], list[int]]:
+    """The pieces of all texts in order, and how many each text has."""
     joined = "".join(texts)
     n = len(joined)
     if n == 0:
-        return [[] for _ in texts]
+        return [], [0] * len(texts)
     points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
     kind = _classes()[points]
     ends = np.cumsum([len(t) for t in texts])
@@ -74,13 +76,16 @@ def split_texts(texts: list[str]) -> list[list[str]]:
             start[i + size] = True
     at = np.flatnonzero(start)
     counts = np.searchsorted(at, ends) - np.searchsorted(at, begins)
-    bounds = [*at.tolist(), n]
-    pieces = [joined[a:b] for a, b in zip(bounds, bounds[1:])]  # noqa: B905
-    out, k = [], 0
-    for c in counts.tolist():
-        out.append(pieces[k : k + c])
-        k += c
-    return out
+    bounds = at.tolist()
+    bounds.append(n)
+    return [joined[a:b] for a, b in pairwise(bounds)], counts.tolist()
+
+
+def split_texts(texts: list[str]) -> list[list[str]]:
+    """The pieces of each text."""
+    pieces, counts = split_flat(texts)
+    ends = list(accumulate(counts, initial=0))
+    return [pieces[a:b] for a, b in pairwise(ends)]
 
 
 class PieceCache:
@@ -90,30 +95,31 @@ class PieceCache:
     bounded and frequent pieces stay. ``compute`` takes a list of pieces and returns a list.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], size: int = 200_000, longest: int = 64):
+    def __init__(self, compute: Callable[[list[str]], list], size: int = 400_000, longest: int = 64):
         self.compute, self.size, self.longest = compute, size, longest
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
     def values(self, pieces: list[str]) -> list:
         found = list(map(self.young.get, pieces))
-        if None not in found:
+        gaps, at = [], -1
+        with contextlib.suppress(ValueError):  # index() ends the search that way
+            while True:
+                at = found.index(None, at + 1)
+                gaps.append(at)
+        if not gaps:
             return found
-        missing = {p for p, v in zip(pieces, found, strict=True) if v is None}
-        fresh = {}
-        unknown = []
-        for p in missing:
-            v = self.old.get(p)
-            if v is None:
-                unknown.append(p)
-            else:
-                fresh[p] = v
+        fresh: dict[str, object] = dict.fromkeys(pieces[i] for i in gaps)
+        for p in fresh:
+            fresh[p] = self.old.get(p)
+        unknown = [p for p, v in fresh.items() if v is None]
         fresh.update(zip(unknown, self.compute(unknown), strict=True))
-        out = [fresh[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
+        for i in gaps:
+            found[i] = fresh[pieces[i]]
         self.young.update((p, v) for p, v in fresh.items() if len(p) <= self.longest)
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        return out
+        return found
 
 
 def in_blocks(texts: list[str], chars: int = 1 << 19):

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .pretokens import PieceCache, in_blocks, split_texts
+from .pretokens import PieceCache, in_blocks, split_flat
 
 
 class TokenIds:
@@ -34,11 +34,17 @@ class TokenIds:
         self.by_pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and plain and len(added) <= 1
         self._special = added[0]["content"] if added else None
         self._special_ids = np.array([a["id"] for a in added[:1]], dtype="<u4").tobytes()
-        self._cache = PieceCache(self._encode)
+        self._model = self._tokenizer.model
+        self._cache = PieceCache(self._merge)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each by the library's model on the characters that stand for its bytes."""
+        tokenize, table = self._model.tokenize, _byte_characters()
+        return [np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(table))], dtype="<u4").tobytes() for p in pieces]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for block in in_blocks(texts):
             if not self.by_pieces:
@@ -48,18 +54,26 @@ class TokenIds:
                 stretches = [t.split(self._special) for t in block]
             else:
                 stretches = [[t] for t in block]
-            split = split_texts([s for parts in stretches for s in parts])
-            values = self._cache.values([p for pieces in split for p in pieces])
+            pieces, counts = split_flat([s for parts in stretches for s in parts])
+            values = self._cache.values(pieces)
             at = k = 0
             for parts in stretches:
                 ids = []
                 for _ in parts:
-                    ids.append(b"".join(values[at : at + len(split[k])]))
-                    at += len(split[k])
+                    ids.append(b"".join(values[at : at + counts[k]]))
+                    at += counts[k]
                     k += 1
                 yield self._special_ids.join(ids)
 
 
+@lru_cache(1)
+def _byte_characters() -> str:
+    """Byte-level tokenizers write each byte as a printable character: itself, or one from 256 up."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(others)) for b in range(256))
+
+
 @lru_cache(4)
 def tokenizer(path: str) -> TokenIds:
     """One for each worker process and file."""
