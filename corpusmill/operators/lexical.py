@@ -35,34 +35,39 @@ def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text", drop: Sequ
     return docs.select(F.col(key).alias("doc_id"), F.size(words).cast("long").alias("dl"))
 
 
-def term_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", drop: Sequence[str] = ()) -> DataFrame:
+def _words(text: str, drop: Sequence[str]) -> Column:
+    words = T.tokens(F.col(text))
+    return F.filter(words, lambda x: ~x.isin(list(drop))) if drop else words
+
+
+def corpus_figures(docs: DataFrame, text: str = "text", drop: Sequence[str] = ()) -> DataFrame:
+    """One row: number of documents and their mean length in terms."""
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(_words(text, drop))).alias("avgdl"))
+
+
+def term_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", drop: Sequence[str] = (), figures: DataFrame | None = None) -> DataFrame:
     """(term, df, idf) over the whole corpus, idf not floored."""
-    distinct = F.array_distinct(T.tokens(F.col(text)))
-    if drop:
-        distinct = F.filter(distinct, lambda x: ~x.isin(list(drop)))
-    df = docs.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    return df.crossJoin(F.broadcast(total)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+    df = docs.select(F.explode(F.array_distinct(_words(text, drop))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = (figures or docs.agg(F.count("*").alias("n_docs"))).select("n_docs")
+    return df.crossJoin(F.broadcast(total)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))  # one row
 
 
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", drop: Sequence[str] = ()) -> DataFrame:
     """(doc_id, score) of documents that have a query term. A term repeated in the query counts again.
 
     Only rows of query terms are exploded; document frequencies of all terms are needed once, for the
-    mean idf that replaces negative ones. Global figures are one row each.
+    mean idf that replaces negative ones, and come down to one row together with those of the query.
     """
     wanted = [w for w in query.lower().split() if w not in set(drop)]
     weights = {w: wanted.count(w) for w in wanted}
-    stats = term_statistics(docs, key, text, drop)
-    mean = stats.agg(F.avg("idf").alias("mean_idf"))
-    mine = stats.filter(F.col("term").isin(list(weights)))
-    size = lengths(docs, key, text, drop)
-    average = size.agg(F.avg("dl").alias("avgdl"))
-    words = T.tokens(F.col(text))
-    hits = docs.select(F.col(key).alias("doc_id"), F.size(F.filter(words, lambda x: ~x.isin(list(drop))) if drop else words).alias("dl"), words.alias("w"))
+    figures = corpus_figures(docs, text, drop)
+    stats = term_statistics(docs, key, text, drop, figures)
+    mine = F.map_from_entries(F.collect_list(F.when(F.col("term").isin(list(weights)), F.struct("term", "idf"))))
+    known = stats.agg(F.avg("idf").alias("mean_idf"), mine.alias("idfs")).crossJoin(figures)  # one row each
+    hits = docs.select(F.col(key).alias("doc_id"), _words(text, drop).alias("w"))
     per = [F.struct(F.lit(t).alias("term"), F.size(F.filter("w", _equals(t))).alias("tf"), F.lit(n).alias("qn")) for t, n in weights.items()]
-    hits = hits.select("doc_id", "dl", F.explode(F.array(*per)).alias("h")).filter("h.tf > 0").select("doc_id", "dl", "h.*")
-    joined = hits.join(F.broadcast(mine), "term").crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(average))  # as many rows as the query has terms, and one row each
+    hits = hits.select("doc_id", F.size("w").alias("dl"), F.explode(F.array(*per)).alias("h")).filter("h.tf > 0").select("doc_id", "dl", "h.*")
+    joined = hits.crossJoin(F.broadcast(known)).withColumn("idf", F.element_at("idfs", F.col("term")))  # one row
     idf = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))
     part = F.col("qn") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return joined.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
