@@ -179,3 +179,14 @@ def variations_from_text(c: Column, least: int = 10) -> Column:
 def strip_fence(c: Column) -> Column:
     """The inside of a fenced block, for parsing as JSON."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[a-z]*\n", ""), r"\n?```$", ""))
+
+
+def path_context(path: Column) -> Column:
+    """What a path tells about its file: layers by name, then its first folders."""
+    low = F.lower(path)
+    tag = lambda words, name: F.when(contains_any(low, words), name)
+    tags = [tag(["dbt"], "dbt project"), tag(["staging", "stg_"], "staging layer"), tag(["models"], "data models"), tag(["fact", "dim"], "dimensional model")]
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", ".", ".."))
+    first = F.when(F.startswith(path, F.lit("/")), F.slice(parts, 1, 2)).otherwise(F.slice(parts, 1, 3))
+    every = F.concat(F.array_compact(F.array(*tags)), first)
+    return F.when(F.coalesce(path, F.lit("")) == "", "unknown context").when(F.size(every) > 0, F.array_join(every, ", ")).otherwise("project file")

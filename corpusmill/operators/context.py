@@ -12,6 +12,7 @@ TECHNICAL = [
     "integration", "system", "architecture", "implementation", "framework",
     "protocol", "authentication", "endpoint", "middleware", "repository",
 ]
+KEYWORD_STOPS = ["and", "the", "for", "with", "from", "this", "that", "are", "have"]
 SEPARATOR = "\n\n--- Document ---\n"
 CUT = "...[truncated]"
 
@@ -77,8 +78,8 @@ def excerpts(text: Column, query: str, k: int = 4) -> Column:
 
 def keywords(docs: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, word, n, rank): most frequent words of 3 letters or more, ties by first place; counted inside each text."""
-    stop = ["the", "and", "for", "are", "but", "not", "you", "all", "can"]
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z_]{3,}"), F.lit(0)), lambda x: ~x.isin(stop))
+    runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = F.filter(runs, lambda x: F.rlike(x, F.lit("^[a-z_]{3,}$")) & ~x.isin(KEYWORD_STOPS))
     rows = docs.select(F.col(key), F.posexplode(words).alias("pos", "word"))
     counted = rows.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "first")

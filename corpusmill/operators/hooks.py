@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import lexical
 
+WHITE = " \n\t\r"
+# Labels that models put before an answer.
+LABELS = ["Assistant:", "AI:", "Response:", "Answer:", "Human:", "User:", "Query:"]
+
 
 def hashed_vectors(texts: list[str], dim: int = 64) -> np.ndarray:
     """Bag of words hashed to ``dim`` signed counts, unit length."""
@@ -68,8 +72,18 @@ def compare_groups(scored: DataFrame, group: str, k: int, key: str = "doc_id") -
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
 
 
-def clean_response(c: Column, labels: tuple[str, ...] = ("Answer:", "Response:", "Assistant:")) -> Column:
-    """A model's answer without leading labels."""
-    for label in labels:
-        c = F.regexp_replace(F.trim(c), f"^(?i){label}\\s*", "")
-    return F.trim(c)
+def clean_response(c: Column) -> Column:
+    """A model's answer without leading labels, each of which is taken off once, in list order."""
+    c = F.trim(c, F.lit(WHITE))
+    for label in LABELS:
+        c = F.when(F.startswith(c, F.lit(label)), F.trim(F.substring(c, F.lit(len(label) + 1), F.length(c)), F.lit(WHITE))).otherwise(c)
+    return c
+
+
+def structured_response(c: Column) -> Column:
+    """Long answers in less than four lines get a paragraph break after every third sentence."""
+    parts = F.split(c, r"\. ")
+    last = F.element_at(parts, -1)
+    line = lambda s, i: F.concat(s, F.when(F.endswith(s, F.lit(".")), "").otherwise("."), F.when(((i + 1) % 3 == 0) & (s != last), "\n\n").otherwise(" "))
+    flat = (F.length(c) > 500) & (F.size(F.split(c, "\n")) < 4)
+    return F.when(flat, F.trim(F.array_join(F.transform(parts, line), ""), F.lit(WHITE))).otherwise(c)

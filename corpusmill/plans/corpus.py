@@ -81,7 +81,7 @@ def domain_codes(spark, sf):
     return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.size(codes).alias("n"), F.array_join(F.sort_array(codes), ",").alias("codes"))
 
 
-@query("top_keywords", """WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z_]{3,}', 0), lambda x: x NOT IN ('the', 'and', 'for', 'are', 'but', 'not', 'you', 'all', 'can')) AS w FROM documents),
+@query("top_keywords", r"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+', 0), lambda x: regexp_full_match(x, '[a-z_]{3,}') AND x NOT IN ('and', 'the', 'for', 'with', 'from', 'this', 'that', 'are', 'have')) AS w FROM documents),
 p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t), c AS (SELECT doc_id, word, count(*)::BIGINT AS n, min(pos) AS f FROM p GROUP BY ALL)
 SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f)::INT AS rank FROM c QUALIFY rank <= 10""")
 def top_keywords(spark, sf):

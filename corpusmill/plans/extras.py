@@ -97,7 +97,21 @@ def enriched_models(spark, sf):
 @query("response_cleanup", "SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE text IS NOT NULL")
 def response_cleanup(spark, sf):
     c = table(spark, sf, "conversations").filter("text IS NOT NULL")
-    return c.select("conv_id", "turn", hooks.clean_response(F.concat(F.lit(" Answer:  "), F.col("text"))).alias("text"))
+    return c.select("conv_id", "turn", hooks.clean_response(F.concat(F.lit(" Assistant: Answer:  "), F.col("text"))).alias("text"))
+
+
+@query("response_structure", r"""WITH d AS (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, t, string_split(t, '. ') AS l FROM d),
+j AS (SELECT doc_id, string_agg(l[i] || CASE WHEN ends_with(l[i], '.') THEN '' ELSE '.' END || CASE WHEN i % 3 = 0 AND l[i] <> l[-1] THEN chr(10) || chr(10) ELSE ' ' END, '' ORDER BY i) AS s FROM p, unnest(range(1, len(l) + 1)) AS u(i) GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN length(t) > 500 THEN trim(s, ' ' || chr(10)) ELSE t END) AS digest FROM d JOIN j USING (doc_id)""")
+def response_structure(spark, sf):
+    flat = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
+    return flat.select("doc_id", F.md5(hooks.structured_response(F.col("t"))).alias("digest"))
+
+
+@query("path_context", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'dbt project, staging layer, data models, dbt, models, staging' ELSE 'src, app' END AS context FROM documents")
+def path_context(spark, sf):
+    path = F.when(F.col("doc_id") % 2 == 0, "dbt/models/staging/stg_a.sql").otherwise("/src/app/x.py")
+    return table(spark, sf, "documents").select("doc_id", T.path_context(path).alias("context"))
 
 
 @query("line_budget", "SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (used <= 1000), '')) AS digest FROM (SELECT doc_id, p, l[p] AS line, sum(length(l[p]) + 1) OVER (PARTITION BY doc_id ORDER BY p) AS used FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS u(p)) GROUP BY doc_id")
