@@ -15,7 +15,7 @@ SQL_KEYWORDS = [
     "create", "alter", "drop", "index", "constraint", "dbt", "model", "macro", "jinja", "ref()", "source()",
 ]
 CODE_PATTERNS = [r"ERR(?:OR)?[-_]?\d{3,6}", r"(?:TICKET|ISSUE|JIRA)[-_]?\d{3,6}", r"v?\d+\.\d+\.\d+", r"(?:REF|DOC)[-_]?\d{3,6}"]
-LANGUAGES = {"py": "python", "sql": "sql", "yml": "yaml", "yaml": "yaml", "js": "javascript", "ts": "typescript", "java": "java", "md": "markdown", "json": "json"}
+LANGUAGES = {"py": "python", "sql": "sql", "yaml": "yaml", "yml": "yaml", "json": "json", "md": "markdown", "txt": "text", "cs": "csharp", "java": "java"}
 
 
 def normalise_query(c: Column) -> Column:
@@ -143,8 +143,8 @@ def last_dotted(c: Column) -> Column:
 def file_kind(path: Column) -> Column:
     """What the summariser calls a file, by suffix."""
     low = F.lower(path)
-    out = F.lit("text")
-    for kind, ends in (("config", [".json", ".toml", ".ini"]), ("yaml", [".yml", ".yaml"]), ("sql", [".sql"]), ("python", [".py"])):
+    out = F.lit("generic")
+    for kind, ends in (("markdown", [".md", ".markdown"]), ("pdf", [".pdf"]), ("yaml", [".yaml", ".yml"]), ("python", [".py"]), ("sql", [".sql"])):
         cond = F.lit(False)
         for e in ends:
             cond = cond | F.endswith(low, F.lit(e))

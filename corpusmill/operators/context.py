@@ -45,10 +45,11 @@ def pack(ranked: DataFrame, budget: int, partial: bool = True, by: str | None =
     return rows.filter(kept | first_over).withColumn("content", F.when(kept, F.col("text")).otherwise(cut)).drop("used", "before", "fits", "overflows")
 
 
-def context_string(rows: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """One text from ``rows(rank, content)``, with a header for each document."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: F.concat(F.lit("[Document "), x["rank"].cast("string"), F.lit("]\n"), x["content"]))
-    return rows.groupBy(*by).agg(F.array_join(parts, "\n\n").alias("context"))
+def context_string(rows: DataFrame, by: list[str] = [], separator: str = "\n\n---\n\n") -> DataFrame:  # noqa: B006
+    """One text from ``rows(rank, source, content)``, each document under its number and source."""
+    head = lambda x: F.concat(F.lit("[Document "), x["rank"].cast("string"), F.lit("]"), F.coalesce(F.concat(F.lit("\nSource: "), x["source"]), F.lit("")), F.lit("\n\n"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", "source", "content"))), lambda x: F.concat(head(x), x["content"]))
+    return rows.groupBy(*by).agg(F.array_join(parts, separator).alias("context"))
 
 
 def truncate_lines(text: Column, budget: int) -> Column:

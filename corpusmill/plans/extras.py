@@ -54,7 +54,7 @@ def last_events(spark, sf):
     return K.top_per_group(table(spark, sf, "events"), "event_type", [F.desc("ts"), F.desc("event_id")], 100).select("event_type", "event_id")
 
 
-@query("file_kinds", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' WHEN 2 THEN 'yaml' ELSE 'text' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' WHEN 2 THEN 'yaml' ELSE 'code' END AS language FROM documents")
+@query("file_kinds", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' WHEN 2 THEN 'yaml' ELSE 'generic' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' WHEN 2 THEN 'yaml' ELSE 'code' END AS language FROM documents")
 def file_kinds(spark, sf):
     ends = F.element_at(F.array(*map(F.lit, (".py", ".SQL", ".yml", ".zig"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
     path = F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), ends)

@@ -346,7 +346,7 @@ def context_pack(spark, sf):
     return context.pack(ranked, 60000).select("doc_id", "rank", F.md5("content").alias("digest"))
 
 
-@query("context_string", f"WITH {_LISTS} SELECT md5(string_agg('[Document ' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM kwp JOIN documents USING (doc_id) WHERE rank <= 5")
+@query("context_string", f"WITH {_LISTS} SELECT md5(string_agg('[Document ' || rank || ']' || chr(10) || 'Source: ' || source || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM kwp JOIN documents USING (doc_id) WHERE rank <= 5")
 def context_string(spark, sf):
-    rows = table(spark, sf, "documents").join(F.broadcast(_ranked(_kw(spark, sf)).filter("rank <= 5")), "doc_id")
-    return context.context_string(rows.select("rank", F.col("text").alias("content"))).select(F.md5("context").alias("digest"))
+    rows = table(spark, sf, "documents").join(F.broadcast(_ranked(_kw(spark, sf)).filter("rank <= 5")), "doc_id")  # five rows
+    return context.context_string(rows.select("rank", "source", F.col("text").alias("content"))).select(F.md5("context").alias("digest"))
