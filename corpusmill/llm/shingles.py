@@ -148,21 +148,23 @@ class OnePermutation:
     """One-permutation MinHash with optimal densification.
 
     The hash range is cut into ``k`` bins; a set's sample in a bin is its smallest hash there. A bin
-    without any takes the sample of the first filled bin on its own fixed pseudo-random probe path
-    (the same path for every set), so that bins of two sets agree with probability equal to their
-    Jaccard similarity. Sets without elements have no samples.
+    without any takes the sample of the filled bin that comes first in its own fixed pseudo-random
+    order of bins (the same order for every set), so that bins of two sets agree with probability
+    equal to their Jaccard similarity. Sets without elements have no samples.
     """
 
+    #: Bins of the order that are tried one by one; sets that fill few bins then compare all they fill.
+    TRIES = 64
+
     def __init__(self, k: int):
         self.k = k
-        self._paths: list[np.ndarray] = []
+        bins = np.arange(k, dtype=_U)
+        self._order = [((mix(bins * _U(0xD1342543DE82EF95) + _U((t + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)) >> _U(32)) * _U(k) >> _U(32)).astype(np.int64) for t in range(self.TRIES)]
 
-    def _path(self, attempt: int) -> np.ndarray:
-        while len(self._paths) <= attempt:
-            t = len(self._paths)
-            h = mix(np.arange(self.k, dtype=_U) * _U(0xD1342543DE82EF95) + _U((t + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
-            self._paths.append(((h >> _U(32)) * _U(self.k) >> _U(32)).astype(np.int64))
-        return self._paths[attempt]
+    def _later(self, empty: np.ndarray, full: np.ndarray) -> np.ndarray:
+        """For each empty bin the filled one that comes first in the rest of its order."""
+        keys = mix((empty.astype(_U)[:, None] * _U(self.k) + full.astype(_U)) ^ _U(0x5851F42D4C957F2D))
+        return full[np.argmin(keys, axis=1)]
 
     def samples(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Samples of each set as rows of a (len(sets), k) matrix, and which sets are not empty."""
@@ -182,11 +184,14 @@ class OnePermutation:
         out.ravel()[place[first]] = hashes[first]
         filled.ravel()[place[first]] = True
         rows, cols = np.nonzero(~filled & some[:, None])
-        attempt = 0
-        while len(rows):
-            source = self._path(attempt)[cols]
+        for order in self._order:
+            source = order[cols]
             hit = filled[rows, source]
             out[rows[hit], cols[hit]] = out[rows[hit], source[hit]]
             rows, cols = rows[~hit], cols[~hit]
-            attempt += 1
+            if not len(rows):
+                break
+        for r in np.unique(rows):
+            empty = cols[rows == r]
+            out[r, empty] = out[r, self._later(empty, np.flatnonzero(filled[r]))]
         return out, some
