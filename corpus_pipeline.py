@@ -30,10 +30,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, once."""
+    """One document of each group of near duplicates (similarity of 0.8 or more): the one with the smallest id, once."""
     docs = docs.select(*COLUMNS)
     ws = Workspace(spark, "near-stage")
-    kept = ws.save(near_components(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    kept = ws.save(near_components(docs, num=80).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     out = docs.join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     if not kept.filter("n > 1 AND doc_id IS NOT NULL").isEmpty():
         order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))

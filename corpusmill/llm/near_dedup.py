@@ -12,14 +12,17 @@ Plan, for ``n`` documents:
    and what is left is confirmed on full sets as well. After that every pair that shares a band is
    either inside one component or was tested.
 
-Two sets at similarity s share no band with probability ``(1 - s**8) ** 48``: 2e-7 at 0.85.
+Two sets at similarity s share no band with probability ``(1 - s**8) ** 48``: 2e-7 at 0.85. Lower
+thresholds take shorter bands and more of them, so that no more is missed there (see ``banding``).
 The sketch only rejects pairs estimated ``MARGIN`` below the threshold: five standard deviations of
-the estimate (0.012 at 0.85 with these sizes, measured on sets of 7 to 400 shingles).
+the estimate (0.012 at 0.85 with these sizes, measured on sets of 7 to 400 shingles), and more below
+0.85, where the estimate spreads further.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,8 @@ from .workspace import Workspace, table
 
 ROWS = 8
 BANDS = 48
+MOST_BANDS = 64
+MISSED = 3e-7
 SAMPLES = 1536
 SKETCH_WORDS = 32
 MARGIN = 0.06
@@ -61,6 +66,21 @@ class OddSketch:
         return int(np.floor(self.m / 2 * (1 - np.exp(4 * self.k * (least_similarity - 1) / self.m))))
 
 
+def banding(least: float) -> tuple[int, int, float]:
+    """(rows, bands, margin) for a threshold.
+
+    The longest bands with which at most ``MOST_BANDS`` leave a pair at the threshold without a shared
+    one with probability ``MISSED``; the margin grows with the estimate's spread.
+    """
+    if least >= 1:
+        return ROWS, BANDS, MARGIN
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-(least**rows)))
+        if bands <= MOST_BANDS:
+            return rows, max(bands, BANDS), MARGIN * max(1.0, (1 - least) / (1 - 0.85))
+    raise ValueError(f"no banding for similarity {least}")
+
+
 def _longs(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -124,8 +144,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     """
     ws = ws or Workspace(docs.sparkSession, "near")
     sketch = OddSketch(SAMPLES, SKETCH_WORDS)
-    within = sketch.most_differing(num / den - MARGIN)
-    signed = ws.save(signatures(docs, key, text), "signed")
+    rows, bands, margin = banding(num / den)
+    within = sketch.most_differing(num / den - margin)
+    signed = ws.save(signatures(docs, key, text, rows, bands), "signed")
     some = signed.filter("n_shingles > 0 AND id IS NOT NULL")
     reps = some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     reps = ws.save(reps, "reps")
@@ -177,4 +198,4 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents"), num=85)

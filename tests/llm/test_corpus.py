@@ -153,3 +153,19 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, SF)
     assert frame.count() == 0
+
+
+def test_near_stage_links_from_080(spark):
+    """Pairs edited to lie between 0.7 and 0.95; those from 0.80 up to 0.85 are linked as well."""
+    texts = {}
+    for i in range(40):
+        w = prose(100 + i, 150).split()
+        texts[2 * i] = " ".join(w)
+        for j in range(1 + i % 5):
+            w[7 + 30 * j] = f"e{i}_{j}"
+        texts[2 * i + 1] = " ".join(w)
+    want = components(texts, 80)
+    assert want != components(texts, 85)
+    docs = spark.createDataFrame([(d, t, "en", "s0", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert got == {d for d in texts if want[d] == d}
