@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PREFIX = 500
@@ -41,11 +46,95 @@ def already_seen(docs: DataFrame, registry: DataFrame, text: str = "text") -> Da
     return hashed.join(registry.select(F.col("content_hash").alias("_hash")), "_hash", "left_semi").drop("_hash")
 
 
-def fuzzy_pairs(docs: DataFrame, least: float = 0.95, key: str = "doc_id", text: str = "text", sentence: int = 20) -> DataFrame:
+def most_edits(length: int, least: float) -> int:
+    """The most edits that leave a text of that length, the longer one, with similarity over ``least``."""
+    d = int(length * (1 - least)) + 1
+    while d > 0 and not (1 - d / length > least or round(1 - d / length, 6) > least):
+        d -= 1
+    return d
+
+
+@lru_cache(maxsize=50_000)
+def _segments(length: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of ``edits + 1`` segments of nearly equal length."""
+    ends = np.arange(edits + 2) * length // (edits + 1)
+    return ends[:-1], np.diff(ends)
+
+
+@lru_cache(maxsize=50_000)
+def _windows(length: int, longer: int, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, length) of the windows in a text of ``length`` that can equal a segment of a ``longer`` one.
+
+    Some segment i is unedited with exactly i edits before it and at most ``edits - i`` behind it, so
+    it is shifted by at most i from the start and by at most ``edits - i`` from the end.
+    """
+    starts, widths = _segments(longer, edits)
+    out = []
+    for i, (s, w) in enumerate(zip(starts.tolist(), widths.tolist())):
+        low, high = max(-i, length - longer - (edits - i), -s), min(i, length - longer + (edits - i), length - w - s)
+        out += [(i, s + x, w) for x in range(low, high + 1)]
+    return tuple(np.array(out, dtype=np.int64).reshape(-1, 3).T)
+
+
+def _blocks(rows: DataFrame, least: float, probe: bool) -> DataFrame:
+    """(id, block): hashes of each head's segments, or of its windows that can equal segments of heads as long or longer."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = 0x9E3779B97F4A7C15
+        power = np.cumprod(np.array([1] + [base] * PREFIX, dtype=np.uint64), dtype=np.uint64)
+        inverse = np.cumprod(np.array([1] + [pow(base, -1, 2**64)] * PREFIX, dtype=np.uint64), dtype=np.uint64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                ids, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                for key, head in zip(batch["id"].to_pylist(), batch["head"].to_pylist()):
+                    chars = np.frombuffer(head.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+                    n = len(chars)
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * power[:n], dtype=np.uint64)])
+                    lengths = [n]
+                    while probe and lengths[-1] < PREFIX and lengths[-1] + 1 - n <= most_edits(lengths[-1] + 1, least):
+                        lengths.append(lengths[-1] + 1)
+                    for longer in lengths:
+                        edits = most_edits(longer, least)
+                        if edits == 0:
+                            continue  # no different text is that near
+                        start, width = _segments(longer, edits)
+                        place = np.arange(len(start))
+                        if probe:
+                            place, start, width = _windows(n, longer, edits)
+                        value = (sums[start + width] - sums[start]) * inverse[start]
+                        value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (place + 1024 * longer).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+                        keys.append(value ^ (value >> np.uint64(32)))
+                        ids.append(np.full(len(value), key, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys).view(np.int64))], names=["id", "block"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "head").mapInArrow(cut, "id long, block long")
+
+
+def fuzzy_pairs(docs: DataFrame, least: float = 0.95, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, ratio) of different prefixes of 500 characters with edit similarity over ``least``.
+
+    The measure is on these heads, not on whole texts. Equal heads are one row with the smallest id,
+    so copies don't multiply. With at most e edits, one of e + 1 segments of the longer head is in the
+    other one unchanged, so no pair is lost; candidates are confirmed on the full heads.
+    """
+    rows = docs.select(F.col(key).alias("id"), F.substring(text, 1, PREFIX).alias("head")).groupBy("head").agg(F.min("id").alias("id")).filter("length(head) > 0 AND id IS NOT NULL")
+    held, asked = _blocks(rows, least, False).alias("x"), _blocks(rows, least, True).alias("y")
+    pairs = held.join(asked, (F.col("x.block") == F.col("y.block")) & (F.col("x.id") != F.col("y.id")))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    full = pairs.join(rows.select(F.col("id").alias("a"), F.col("head").alias("ha")), "a").join(rows.select(F.col("id").alias("b"), F.col("head").alias("hb")), "b")
+    longest = F.greatest(F.length("ha"), F.length("hb"))
+    bound = F.floor(longest * (1 - least)).cast("int") + 1
+    full = full.filter(F.abs(F.length("ha") - F.length("hb")) <= bound)
+    return full.select("a", "b", F.round(1 - F.levenshtein("ha", "hb") / longest, 6).alias("ratio")).filter(F.col("ratio") > least)
+
+
+def sentence_pairs(docs: DataFrame, least: float = 0.95, key: str = "doc_id", text: str = "text", sentence: int = 20) -> DataFrame:
     """(a, b, ratio) of different prefixes of 500 characters with edit similarity over ``least``.
 
     Candidates share a whole sentence of at least 20 characters in their prefixes. Equal prefixes are
-    one row with the smallest id, so copies don't multiply.
+    one row with the smallest id, so copies don't multiply. Pairs without a shared sentence are lost:
+    ``fuzzy_pairs`` has them all.
     """
     rows = docs.select(F.col(key).alias("id"), F.substring(text, 1, PREFIX).alias("head")).groupBy("head").agg(F.min("id").alias("id")).filter("length(head) > 0")
     parts = F.filter(F.array_distinct(F.split("head", r"\.")), lambda x: F.length(x) >= sentence)

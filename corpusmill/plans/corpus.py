@@ -51,7 +51,7 @@ c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.p = y.p AND x.
 SELECT a, b, round(1 - levenshtein(ra.h, rb.h) / greatest(length(ra.h), length(rb.h)), 6) AS ratio FROM c JOIN r ra ON ra.id = a JOIN r rb ON rb.id = b
 WHERE round(1 - levenshtein(ra.h, rb.h) / greatest(length(ra.h), length(rb.h)), 6) > 0.95""")
 def fuzzy_dups(spark, sf):
-    return dedupe.fuzzy_pairs(table(spark, sf, "documents").filter("lang = 'en' AND length(text) = octet_length(text)"))
+    return dedupe.sentence_pairs(table(spark, sf, "documents").filter("lang = 'en' AND length(text) = octet_length(text)"))
 
 
 @query("html_strip", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")

@@ -172,3 +172,42 @@ def test_settings(tmp_path, monkeypatch):
     assert readers.settings(str(tmp_path / "c.yaml")) == {"a": "secret", "b": ["x", "${CM_NONE}"]}
     (tmp_path / "e.yaml").write_text("")
     assert readers.settings(str(tmp_path / "e.yaml")) == {}
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_pairs_are_all_pairs(spark):
+    """Heads in several scripts, without full stops, with up to 27 edits anywhere, and short ones."""
+    import random
+
+    rng = random.Random(7)
+    texts = []
+    for letters in ("abcdefghij klmno", "äöüß абвгдежз ик"):
+        for n in (15, 21, 45, 130, 470, 499, 700):
+            base = "".join(rng.choice(letters) for _ in range(n))
+            texts.append(base)
+            for edits in (1, min(n, 500) // 20, 27):
+                w = list(base)
+                for _ in range(edits):
+                    at = rng.randrange(min(len(w), 490))
+                    w[at : at + rng.choice((0, 1, 1))] = rng.choice(("", "#", "#"))
+                texts.append("".join(w))
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id long, text string")
+    first = {}
+    for i, t in enumerate(texts):
+        if t:
+            first.setdefault(t[:500], i)
+    want = set()
+    for x, a in first.items():
+        for y, b in first.items():
+            longest = max(len(x), len(y))
+            if a < b and abs(len(x) - len(y)) <= 25 and round(1 - _edits(x, y) / longest, 6) > 0.95:
+                want.add((a, b))
+    assert {(r["a"], r["b"]) for r in dedupe.fuzzy_pairs(docs).collect()} == want and len(want) > 10
