@@ -54,6 +54,12 @@ def fuzzy_dups(spark, sf):
     return dedupe.sentence_pairs(table(spark, sf, "documents").filter("lang = 'en' AND length(text) = octet_length(text)"))
 
 
+@query("fuzzy_dups_all")
+def fuzzy_dups_all(spark, sf):
+    """Pairs of all documents in any language; ``fuzzy_dups`` has the part that its SQL states."""
+    return dedupe.fuzzy_pairs(table(spark, sf, "documents"))
+
+
 @query("html_strip", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
 def html_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))

@@ -211,3 +211,12 @@ def test_fuzzy_pairs_are_all_pairs(spark):
             if a < b and abs(len(x) - len(y)) <= 25 and round(1 - _edits(x, y) / longest, 6) > 0.95:
                 want.add((a, b))
     assert {(r["a"], r["b"]) for r in dedupe.fuzzy_pairs(docs).collect()} == want and len(want) > 10
+
+
+def test_fuzzy_dups_all_has_every_language(spark, tmp_path):
+    from corpusmill.plans.catalogue import QUERIES
+
+    texts = [("Ein längerer Satz über Straßen und Bäume ohne Punkt", "de"), ("Une phrase assez longue où tout est écrit sans point", None), ("plain words and one naïve letter in a longer sentence", "en")]
+    rows = [(2 * i + k, t + "!" * k, lang) for i, (t, lang) in enumerate(texts) for k in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert values(QUERIES["fuzzy_dups_all"](spark, f"file://{tmp_path}"), "a", "b") == [(0, 1), (2, 3), (4, 5)]
