@@ -111,6 +111,16 @@ def _blocks(rows: DataFrame, least: float, probe: bool) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), "head").mapInArrow(cut, "id long, block long")
 
 
+def head_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, first_id): every row with a text and the smallest id with the same first 500 characters.
+
+    ``fuzzy_pairs`` links first ids, so a pair holds for all members of both classes.
+    """
+    rows = docs.select(F.col(key).alias("id"), F.substring(text, 1, PREFIX).alias("head")).filter("length(head) > 0 AND id IS NOT NULL")
+    first = rows.groupBy("head").agg(F.min("id").alias("first_id"))
+    return rows.join(first, "head").select("id", "first_id")
+
+
 def fuzzy_pairs(docs: DataFrame, least: float = 0.95, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, ratio) of different prefixes of 500 characters with edit similarity over ``least``.
 

@@ -60,6 +60,11 @@ def fuzzy_dups_all(spark, sf):
     return dedupe.fuzzy_pairs(table(spark, sf, "documents"))
 
 
+@query("fuzzy_dup_classes", "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY substring(text, 1, 500)) AS first_id FROM documents WHERE length(text) > 0")
+def fuzzy_dup_classes(spark, sf):
+    return dedupe.head_classes(table(spark, sf, "documents"))
+
+
 @query("html_strip", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
 def html_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))

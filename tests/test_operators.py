@@ -220,3 +220,8 @@ def test_fuzzy_dups_all_has_every_language(spark, tmp_path):
     rows = [(2 * i + k, t + "!" * k, lang) for i, (t, lang) in enumerate(texts) for k in (0, 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
     assert values(QUERIES["fuzzy_dups_all"](spark, f"file://{tmp_path}"), "a", "b") == [(0, 1), (2, 3), (4, 5)]
+
+
+def test_equal_heads_keep_their_members(spark):
+    docs = spark.createDataFrame([(1, "h" * 500 + "a"), (2, "h" * 500 + "b"), (3, "x"), (4, ""), (5, None)], "doc_id long, text string")
+    assert values(dedupe.head_classes(docs), "id", "first_id") == [(1, 1), (2, 1), (3, 3)]
