@@ -238,6 +238,13 @@ def summaries(spark, sf):
     return writers.summaries(d).select("source", "summary", "chunk_count")
 
 
+@query("summaries_whole", "SELECT source, CASE WHEN length(t) > 300 THEN substring(t, 1, 300) || '...' ELSE t END AS summary, n AS chunk_count FROM (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t, count(*)::INT AS n FROM documents WHERE text IS NOT NULL GROUP BY source)")
+def summaries_whole(spark, sf):
+    """Whole chunk texts; ``summaries`` cuts each to 100 characters, as its SQL states."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL").select("source", F.col("doc_id").alias("chunk_index"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    return writers.summaries(d).select("source", "summary", "chunk_count")
+
+
 @query("variations", r"SELECT item_id, len(l)::INT AS n FROM (SELECT item_id, list_filter(list_transform(list_filter(string_split(replace('1. ' || text, '. ', chr(10) || '- '), chr(10)), lambda x: starts_with(x, '- ')), lambda x: trim(substring(x, 3))), lambda x: length(x) > 10) AS l FROM benchmark)")
 def variations(spark, sf):
     text = F.replace(F.concat(F.lit("1. "), F.col("text")), F.lit(". "), F.lit("\n- "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.functions import text as T
 
@@ -23,12 +23,19 @@ def flat_metadata(meta: Column) -> Column:
     return F.transform_values(meta, lambda _, v: F.when(F.startswith(v, F.lit("[")), F.array_join(F.from_json(v, "array<string>"), ", ")).otherwise(v))
 
 
-def summaries(chunks: DataFrame, by: str = "source") -> DataFrame:
-    """One row for each source: text of its chunks in order, joined by blank lines, and their ids."""
-    ordered = F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id", "content")))
-    grouped = chunks.groupBy(by).agg(ordered.alias("c"))
-    text = F.array_join(F.transform("c", lambda x: x["content"]), "\n\n")
-    return grouped.select(by, T.preview(text, 300).alias("summary"), F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), F.size("c").alias("chunk_count"))
+def summaries(chunks: DataFrame, by: str = "source", most: int = 300) -> DataFrame:
+    """One row for each source: text of its chunks in order, joined by blank lines, and their ids.
+
+    Each chunk but the first adds two characters at least, so the start of the joined text is in the
+    starts of the first ``most // 2 + 2`` chunks; no more text than that is gathered.
+    """
+    lead = chunks.filter("content IS NOT NULL").select(F.col(by).alias("_by"), "chunk_index", "chunk_id", F.substring("content", 1, most + 1).alias("content"))
+    first = F.row_number().over(Window.partitionBy("_by").orderBy("chunk_index", "chunk_id", "content"))
+    lead = lead.withColumn("_n", first).filter(F.col("_n") <= most // 2 + 2)
+    text = lead.groupBy("_by").agg(F.sort_array(F.collect_list(F.struct("_n", "content"))).alias("c")).select("_by", F.array_join(F.transform("c", lambda x: x["content"]), "\n\n").alias("_text"))
+    ids = chunks.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id"))).alias("c"), F.count("*").cast("int").alias("chunk_count"))
+    joined = ids.join(text, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.select(by, T.preview(F.coalesce("_text", F.lit("")), most).alias("summary"), F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), "chunk_count")
 
 
 def write_activity(events: DataFrame, folder: str) -> None:

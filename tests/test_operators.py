@@ -225,3 +225,16 @@ def test_fuzzy_dups_all_has_every_language(spark, tmp_path):
 def test_equal_heads_keep_their_members(spark):
     docs = spark.createDataFrame([(1, "h" * 500 + "a"), (2, "h" * 500 + "b"), (3, "x"), (4, ""), (5, None)], "doc_id long, text string")
     assert values(dedupe.head_classes(docs), "id", "first_id") == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_summaries_of_whole_chunks(spark, tmp_path):
+    from corpusmill.plans.catalogue import QUERIES
+
+    rows = [(1, "a", "x" * 120), (2, "a", "y" * 250), (3, "b", "z" * 150), (4, None, "n"), *((10 + i, "c", "" if i % 2 else "k") for i in range(300))]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = {}
+    for _, source, text in rows:
+        want.setdefault(source, []).append(text)
+    joined = {s: "\n\n".join(t) for s, t in want.items()}
+    got = {r["source"]: (r["summary"], r["chunk_count"]) for r in QUERIES["summaries_whole"](spark, f"file://{tmp_path}").collect()}
+    assert got == {s: (t[:300] + "..." if len(t) > 300 else t, len(want[s])) for s, t in joined.items()}
