@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -11,10 +13,11 @@ def neighbours(edges: DataFrame, start: DataFrame, up: bool = False) -> DataFram
     return edges.join(start, F.col(a) == F.col("start")).select("start", F.col(b).alias("node"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, up: bool = False, most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, up: bool = False, most: int | None = None) -> DataFrame:
     """(start, node, depth): everything reachable, with the least number of steps.
 
-    The frontier grows by one join a round and leaves visited nodes behind, so cycles end. The
+    The frontier grows by one join a round and leaves visited nodes behind, so cycles end;
+    with ``most``, a frontier left after so many rounds is an error. The
     visited table is checkpointed each round where a checkpoint folder is set.
     """
     a, b = ("dst", "src") if up else ("src", "dst")
@@ -22,11 +25,13 @@ def reachable(edges: DataFrame, start: DataFrame, up: bool = False, most: int =
     cut = (lambda d: d.checkpoint()) if start.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda d: d.persist())
     seen = cut(start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
     front = seen
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         step = front.select("start", F.col("node").alias("_from")).join(steps, "_from").select("start", "node").distinct()
         front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
+        if most is not None and depth > most:
+            raise ValueError(f"nodes more than {most} steps from a start")
         seen = cut(seen.unionByName(front))
     return seen.filter("depth > 0")
 

@@ -238,3 +238,11 @@ def test_summaries_of_whole_chunks(spark, tmp_path):
     joined = {s: "\n\n".join(t) for s, t in want.items()}
     got = {r["source"]: (r["summary"], r["chunk_count"]) for r in QUERIES["summaries_whole"](spark, f"file://{tmp_path}").collect()}
     assert got == {s: (t[:300] + "..." if len(t) > 300 else t, len(want[s])) for s, t in joined.items()}
+
+
+def test_reachable_does_not_stop_early(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src int, dst int")
+    start = spark.createDataFrame([(0,)], "start int")
+    assert values(lineage.reachable(edges, start, most=4), "node") == [(1,), (2,), (3,), (4,)]
+    with pytest.raises(ValueError):
+        lineage.reachable(edges, start, most=2)
