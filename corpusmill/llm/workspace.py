@@ -1,47 +1,12 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""The shared folder's workspace, and the driver's tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.workspace import Workspace, delete, exists, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Workspace:
-    """Tables written once and read back: they cut lineage and outlive lost executors.
-
-    Everything lies in one folder below the shared root. ``drop`` deletes a table that no later
-    step reads; tables behind a lazy result have to stay until that result has been consumed.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def folder(self, name: str) -> str:
-        return f"{self.path}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.folder(name)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.folder(name))
-            p.getFileSystem(conf).delete(p, True)
+__all__ = ["Workspace", "delete", "exists", "shared_root", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -45,13 +45,53 @@ def test_line_dedup(docs):
 
 
 def test_runs_are_compacted_and_counted(spark):
+    """Equal keys of several runs meet although no exchange brings them together."""
     from corpusmill.llm.workspace import Workspace
 
-    runs = line_dedup.LineRuns(Workspace(spark, "runs"), 3, fanout=2)
+    runs = line_dedup.LineRuns(spark, Workspace(spark, "runs").folder("r"), 3, fanout=2)
     for i in range(5):
         runs.add(spark.createDataFrame([(1, 1), (2, i)], "k1 long, k2 long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert [tuple(r) for r in runs.frequent().collect()] == [(1, 1)]
+    assert [tuple(r)[:2] for r in runs.frequent().collect()] == [(1, 1)]
+    many = line_dedup.LineRuns(spark, Workspace(spark, "runs").folder("r"), 100, fanout=3)
+    for i in range(7):
+        many.add(spark.range(i * 500, i * 500 + 2000).select((F.col("id") % 2500).alias("k1"), F.col("id").alias("k2")))
+    counts = many.merged(many.runs()).groupBy("n").count().collect()
+    assert {r["n"]: r["count"] for r in counts} == {1: 1000, 2: 1000, 3: 1000, 4: 2000}
+
+
+def test_runs_meet_without_exchange_or_sort(spark):
+    from corpusmill.llm.workspace import Workspace
+
+    runs = line_dedup.LineRuns(spark, Workspace(spark, "runs").folder("r"), 2, fanout=3)
+    for i in range(2):
+        runs.add(spark.createDataFrame([(1, 1), (1, 1), (2, i)], "k1 long, k2 long"))
+    with line_dedup._sorted_scans(spark):
+        for df in (runs.merged(runs.runs()), runs.unsettled(spark.table(runs.runs()[0]))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Sort " not in plan and "Bucketed: true" in plan
+
+
+def test_line_dedup_against_a_kept_store(spark):
+    from corpusmill.llm.workspace import Workspace
+
+    store, before = Workspace(spark, "store").folder("lines"), {t.name for t in spark.catalog.listTables()}
+    crawl = lambda low, high: spark.createDataFrame([(i, f"own {i}\nshared") for i in range(low, high)], "doc_id long, text string")
+    first = line_dedup.dedup_lines(crawl(0, 6), batches=2, store=store)
+    assert first.agg(F.sum("n_dropped")).first()[0] == 0
+    second = line_dedup.dedup_lines(crawl(6, 10), batches=2, store=store)
+    assert {r["kept_text"] for r in second.collect()} == {f"own {i}" for i in range(6, 10)}
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_lines_of_repeated_ids_hot_lines_and_clashing_columns(spark):
+    """Rows of one id are one document, rows without an id are documents of their own; a line in all rows goes."""
+    rows = [(1, "twelve rows\nx")] * 12 + [(i, "nine\neverywhere") for i in range(2, 11)] + [(None, f"ten {i}\neverywhere\nnulls") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": F.lit("mine"), "kept_text": F.lit(1), "r1": F.lit(2), "hashes": F.lit(3), "h1": F.lit(4)})
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "r1", "hashes", "h1", "kept_text", "n_lines", "n_dropped"]
+    got = sorted({r["kept_text"] for r in out.select("kept_text").collect()})
+    assert got == sorted(["twelve rows\nx", "nine", *(f"ten {i}" for i in range(10))])
 
 
 def test_near_components(docs):
