@@ -2,26 +2,33 @@
 
 Every text gets exact counts and four integer ratios. Per language and source, each ratio goes into
 a sketch: a histogram over buckets whose width is at most a sixteenth of their value, so a quantile
-read from it has a bounded relative error, and sketches merge by adding counts. Groups too small to
-set their own thresholds use their language's merged sketch, and then the whole table's. A text fails
-when a ratio lies far outside its group's middle half. Sketches add up whatever way rows are dealt,
-so thresholds don't depend on partitioning.
+read from it has a bounded relative error, and sketches merge by adding counts. A group's quantiles are
+weighted with those of its language, and these with the whole table's, as if the larger group's sketch
+had ``PRIOR`` rows in the smaller one's: however few rows a group has, its own count to that extent.
+A text fails when a ratio lies far outside the span between two quantiles of its group; a rate has to
+do so by more than the chance error of the text's own count. Sketches add up whatever way rows are
+dealt, so thresholds don't depend on partitioning.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .workspace import Workspace, table
 
 SPACE = " \t\n\x0b\f\r"
-#: A text is judged against its own group from this many rows up.
-MIN_GROUP = 200
-#: Distance from the quartiles, in interquartile ranges, at which a ratio fails.
+#: Rows that the sketch of the language (of the whole table) counts for in that of a source (of a language).
+PRIOR = 100
+#: Distance from the quantiles, in spans between them, at which a ratio fails.
 FENCE = 6
-#: Ratio: what any group tolerates beyond its fence, and whether low values fail as well.
-RATIOS = {"word_length": (200, True), "symbols": (100, False), "dup_lines": (200, False), "repeats": (150, False)}
-SALTS = 32
+#: Standard errors of a count that are taken off before its rate is held against the fence.
+ERRORS = 3
+#: Ratio: the two quantiles in percent, how many units come at once in the count (0: no count), and whether low values fail as well.
+RATIOS = {"word_length": (25, 75, 0, True), "symbols": (50, 75, 1, False), "dup_lines": (50, 90, 1, False), "repeats": (50, 90, 3, False)}
+#: Groups with more than this share of all rows are hot: there are at most 1 / share of them.
+HOT_SHARE = 1e-4
 
 
 def _trimmed(c: Column) -> Column:
@@ -62,9 +69,16 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _ratios() -> dict[str, Column]:
-    per = lambda a, b, by: F.expr(f"{by} * {a} div greatest({b}, 1)")
-    return {"word_length": per("word_chars", "n_words", 100), "symbols": per("n_symbols", "n_words", 1000), "dup_lines": per("n_dup_lines", "n_lines", 1000), "repeats": per("n_repeat_words", "n_words", 1000)}
+def _ratios(sure: bool = False) -> dict[str, Column]:
+    """Integer ratios of a measured row; ``sure`` takes the chance error off the counts of rates."""
+
+    def per(count: str, n: str, by: int, clump: int) -> Column:
+        if sure and clump:
+            count = f"greatest(cast(floor({count} - {ERRORS} * sqrt({clump} * {count})) as bigint), 0L)"
+        return F.expr(f"{by} * {count} div greatest({n}, 1)")
+
+    terms = {"word_length": ("word_chars", "n_words", 100), "symbols": ("n_symbols", "n_words", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000)}
+    return {r: per(*terms[r], RATIOS[r][2]) for r in RATIOS}
 
 
 def bucket_of(v: Column) -> Column:
@@ -79,6 +93,11 @@ def bucket_top(b: Column) -> Column:
     return (F.call_function("shiftleft", b - 16 * e + 1, e) - 1).cast("long")
 
 
+def bucket_bottom(b: Column) -> Column:
+    """The smallest value in a bucket."""
+    return F.when(b > 0, bucket_top(b - 1) + 1).otherwise(F.lit(0)).cast("long")
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): add ``n`` over any rows or keys to merge sketches."""
     pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("ratio"), bucket_of(c).alias("bucket")) for name, c in _ratios().items()))).alias("x")
@@ -86,43 +105,60 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", F.col("x.ratio").alias("ratio"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) -> DataFrame:
-    """One row per (lang, source): low and high bound of every ratio.
+def _by_ratio(values: dict[str, int]) -> Column:
+    out = F.lit(None).cast("int")
+    for r, v in values.items():
+        out = F.when(F.col("ratio") == r, F.lit(v)).otherwise(out)
+    return out
 
-    A group of fewer than ``min_group`` rows takes the bounds of its language, and a language of
-    fewer those of the whole table, each read from the merged sketch.
-    """
 
-    def bounds(keys: list[str], tag: str) -> DataFrame:
-        merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
-        quart = merged.groupBy(*keys, "ratio").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))
+def _quantiles(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """(keys, ratio, rows, low and high quantile), columns named with the tag; the span takes in both quantiles' buckets."""
+    merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+    held = merged.groupBy(*keys, "ratio").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))  # at most 1,000 buckets
+
+    def at(percent: Column, edge: Callable[[Column], Column]) -> Column:
+        state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("hit"))
+        step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when((s["hit"] < 0) & (100 * (s["seen"] + x["n"]) >= percent * F.col("total")), x["bucket"]).otherwise(s["hit"]).alias("hit"))
+        return edge(F.aggregate("b", state, step, lambda s: s["hit"]))
 
-        def at(q: int) -> Column:
-            state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("hit"))
-            step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when((s["hit"] < 0) & (4 * (s["seen"] + x["n"]) >= q * F.col("total")), x["bucket"]).otherwise(s["hit"]).alias("hit"))
-            return bucket_top(F.aggregate("b", state, step, lambda s: s["hit"]))
+    low, high = (_by_ratio({r: v[i] for r, v in RATIOS.items()}) for i in (0, 1))
+    return held.select(*(F.col(k).alias(f"{tag}_{k}") for k in keys), F.col("ratio").alias(f"{tag}_ratio"), F.col("total").alias(f"{tag}_n"), at(low, bucket_bottom).alias(f"{tag}_low"), at(high, bucket_top).alias(f"{tag}_high"))
 
-        quart = quart.select(*keys, "ratio", "total", at(1).alias("q1"), at(3).alias("q3"))
-        out = quart.groupBy(*keys).agg(
-            F.max("total").alias(f"{tag}_n"),
-            *(F.max(F.when(F.col("ratio") == r, F.struct((F.col("q1") - fence * (F.col("q3") - F.col("q1")) - slack).alias("low"), (F.col("q3") + fence * (F.col("q3") - F.col("q1")) + slack).alias("high")))).alias(f"{tag}_{r}") for r, (slack, _) in RATIOS.items()),
-        )
-        return out.select(*(F.col(k).alias(f"{tag}_{k}") for k in keys), *(c for c in out.columns if c not in keys))
 
-    group, language, whole = bounds(["lang", "source"], "g"), bounds(["lang"], "l"), bounds([], "a")
-    joined = group.join(language, group["g_lang"].eqNullSafe(language["l_lang"])).crossJoin(F.broadcast(whole))  # the last has one row
-    pick = lambda r: F.when(F.col("g_n") >= min_group, F.col(f"g_{r}")).when(F.col("l_n") >= min_group, F.col(f"l_{r}")).otherwise(F.col(f"a_{r}"))
-    return joined.select(F.col("g_lang").alias("t_lang"), F.col("g_source").alias("t_source"), *(pick(r).alias(f"t_{r}") for r in RATIOS))
+def thresholds(sketch: DataFrame, prior: int = PRIOR, fence: int = FENCE) -> DataFrame:
+    """One row per (lang, source): rows, and low and high bound of every ratio."""
+    group, language, whole = _quantiles(sketch, ["lang", "source"], "g"), _quantiles(sketch, ["lang"], "l"), _quantiles(sketch, [], "a")
+    joined = group.join(language, F.col("g_lang").eqNullSafe(F.col("l_lang")) & (F.col("g_ratio") == F.col("l_ratio")))
+    joined = joined.join(F.broadcast(whole), F.col("g_ratio") == F.col("a_ratio"))  # a row for each ratio
+    mean = lambda n, own, other: F.expr(f"({n} * {own} + {prior} * {other}) div ({n} + {prior})")
+    for q in ("low", "high"):
+        joined = joined.withColumn(f"m_{q}", mean("l_n", f"l_{q}", f"a_{q}")).withColumn(q, mean("g_n", f"g_{q}", f"m_{q}"))
+    span = fence * (F.col("high") - F.col("low"))
+    bound = F.struct((F.col("low") - span).alias("low"), (F.col("high") + span).alias("high"))
+    return joined.groupBy(F.col("g_lang").alias("t_lang"), F.col("g_source").alias("t_source")).agg(F.max("g_n").alias("t_n"), *(F.max(F.when(F.col("g_ratio") == r, bound)).alias(f"t_{r}") for r in RATIOS))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """``measured`` with ``kept``. Both sides are salted, so one source's rows go to many tasks."""
-    salted = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(SALTS)).cast("int"))
-    copies = limits.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(copies, (F.col("salt") == F.col("t_salt")) & F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    """``measured`` with ``kept``.
+
+    Hot groups' limits are sent to every task (there are few by the meaning of hot); rows of those, and
+    rows that failed already, need no partner and are dealt by row, so no group fills a task.
+    """
+    least = limits.agg(F.coalesce(F.sum("t_n"), F.lit(0))).first()[0] * HOT_SHARE
+    names = [f"t_{r}" for r in RATIOS]
+    bounds = F.struct(*names).alias("bounds")
+    hot = limits.filter(F.col("t_n") > least).select(F.col("t_lang").alias("h_lang"), F.col("t_source").alias("h_source"), bounds)  # at most 1 / HOT_SHARE rows
+    cold = limits.filter(F.col("t_n") <= least).select("t_lang", "t_source", F.xxhash64("t_lang", "t_source").alias("t_key"), bounds.alias("cold"))
+    same = F.col("lang").eqNullSafe(F.col("h_lang")) & F.col("source").eqNullSafe(F.col("h_source"))
+    rows = measured.join(F.broadcast(hot), same, "left")
+    alone = F.col("base_failed") | F.col("bounds").isNotNull()
+    rows = rows.withColumn("_key", F.when(alone, F.xxhash64("doc_id", "h1")).otherwise(F.xxhash64("lang", "source")))
+    joined = rows.join(cold, (F.col("_key") == F.col("t_key")) & F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    joined = joined.withColumn("_b", F.coalesce("bounds", "cold"))
     fine = F.lit(True)
-    for r, c in _ratios().items():
-        fine = fine & (c <= F.col(f"t_{r}.high")) & ((c >= F.col(f"t_{r}.low")) if RATIOS[r][1] else F.lit(True))
+    for r, c in _ratios(sure=True).items():
+        fine = fine & (c <= F.col(f"_b.t_{r}.high")) & ((c >= F.col(f"_b.t_{r}.low")) if RATIOS[r][3] else F.lit(True))
     return joined.select(*measured.columns, (~F.col("base_failed") & F.coalesce(fine, F.lit(True))).alias("kept"))
 
 
@@ -153,19 +189,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     bucket = lambda v: f"(16 * greatest(length(bin({v})) - 5, 0) + ({v} >> greatest(length(bin({v})) - 5, 0)::int))"
-    top = "CASE WHEN b < 32 THEN b ELSE ((b - 16 * (b // 16 - 1) + 1) << (b // 16 - 1)::int) - 1 END"
-    ratio = {"word_length": "100 * word_chars // greatest(n_words, 1)", "symbols": "1000 * n_symbols // greatest(n_words, 1)", "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)"}
+    top = lambda b: f"CASE WHEN {b} < 32 THEN {b} ELSE (({b} - 16 * ({b} // 16 - 1) + 1) << ({b} // 16 - 1)::int) - 1 END"
+    terms = {"word_length": ("word_chars", "n_words", 100), "symbols": ("n_symbols", "n_words", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000)}
+    ratio = {r: f"{by} * {c} // greatest({n}, 1)" for r, (c, n, by) in terms.items()}
+    sure = {r: f"{by} * {f'greatest(floor({c} - {ERRORS} * sqrt({RATIOS[r][2]} * {c}))::BIGINT, 0)' if RATIOS[r][2] else c} // greatest({n}, 1)" for r, (c, n, by) in terms.items()}
+    case = lambda i: "CASE ratio " + " ".join(f"WHEN '{r}' THEN {v[i]}" for r, v in RATIOS.items()) + " END"
     parts = []
-    for tag, keys in (("g", "lang, source"), ("l", "lang"), ("a", "")):
-        by = f"{keys}, " if keys else ""
-        part = f"PARTITION BY {by}ratio"
+    for tag, keys in (("g", "lang, source, "), ("l", "lang, "), ("a", "")):
+        part = f"PARTITION BY {keys}ratio"
         parts.append(f"""
-{tag}1 AS (SELECT {by}ratio, b, sum(n)::BIGINT AS n FROM sketch GROUP BY {by}ratio, b),
-{tag}2 AS (SELECT {by}ratio, b, sum(n) OVER ({part} ORDER BY b) AS seen, sum(n) OVER ({part}) AS total FROM {tag}1),
-{tag}3 AS (SELECT {by}ratio, max(total) AS total, min(b) FILTER (4 * seen >= total) AS b1, min(b) FILTER (4 * seen >= 3 * total) AS b3 FROM {tag}2 GROUP BY {by}ratio),
-{tag}4 AS (SELECT {by}ratio, total, (SELECT {top.replace("b ", "b1 ").replace("(b1 //", "(b1 //")}) AS q1, (SELECT {top.replace("b ", "b3 ")}) AS q3 FROM {tag}3)""")
-    slack = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {s}" for r, (s, _) in RATIOS.items()) + " END"
-    low_too = ", ".join(f"'{r}'" for r, (_, two) in RATIOS.items() if two)
+{tag}1 AS (SELECT {keys}ratio, b, sum(n)::BIGINT AS n FROM sketch GROUP BY {keys}ratio, b),
+{tag}2 AS (SELECT {keys}ratio, b, sum(n) OVER ({part} ORDER BY b)::BIGINT AS seen, sum(n) OVER ({part})::BIGINT AS total FROM {tag}1),
+{tag}3 AS (SELECT {keys}ratio, max(total) AS n, min(b) FILTER (100 * seen >= {case(0)} * total) AS lo, min(b) FILTER (100 * seen >= {case(1)} * total) AS hi FROM {tag}2 GROUP BY {keys}ratio),
+{tag}4 AS (SELECT {keys}ratio, n, (CASE WHEN lo = 0 THEN 0 ELSE ({top("(lo - 1)")}) + 1 END)::BIGINT AS lo, ({top("hi")})::BIGINT AS hi FROM {tag}3)""")
+    mean = lambda n, own, other: f"({n} * {own} + {PRIOR} * {other}) // ({n} + {PRIOR})"
+    low_too = ", ".join(f"'{r}'" for r, v in RATIOS.items() if v[3])
     return rf"""
 WITH base AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 split AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -178,14 +216,12 @@ m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_st
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM split LEFT JOIN rep USING (doc_id)),
 mb AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-long AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{r}' AS ratio, {c} AS v FROM mb" for r, c in ratio.items())}),
+long AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{r}' AS ratio, {ratio[r]} AS v, {sure[r]} AS s FROM mb" for r in RATIOS)}),
 sketch AS (SELECT lang, source, ratio, {bucket("v")} AS b, count(*)::BIGINT AS n FROM long WHERE NOT base_failed GROUP BY ALL),{",".join(parts)},
-verdict AS (SELECT doc_id, bool_and(v <= q3 + {FENCE} * (q3 - q1) + slack AND (ratio NOT IN ({low_too}) OR v >= q1 - {FENCE} * (q3 - q1) - slack)) AS fine FROM (
-  SELECT x.doc_id, x.ratio, x.v, {slack.replace("ratio", "x.ratio")} AS slack,
-    CASE WHEN g4.total >= {MIN_GROUP} THEN g4.q1 WHEN l4.total >= {MIN_GROUP} THEN l4.q1 ELSE a4.q1 END AS q1,
-    CASE WHEN g4.total >= {MIN_GROUP} THEN g4.q3 WHEN l4.total >= {MIN_GROUP} THEN l4.q3 ELSE a4.q3 END AS q3
-  FROM long x JOIN g4 ON x.lang IS NOT DISTINCT FROM g4.lang AND x.source IS NOT DISTINCT FROM g4.source AND x.ratio = g4.ratio
-    JOIN l4 ON x.lang IS NOT DISTINCT FROM l4.lang AND x.ratio = l4.ratio JOIN a4 ON x.ratio = a4.ratio) GROUP BY doc_id)
+lm AS (SELECT l4.lang, l4.ratio, {mean("l4.n", "l4.lo", "a4.lo")} AS lo, {mean("l4.n", "l4.hi", "a4.hi")} AS hi FROM l4 JOIN a4 USING (ratio)),
+gm AS (SELECT g4.lang, g4.source, g4.ratio, {mean("g4.n", "g4.lo", "lm.lo")} AS lo, {mean("g4.n", "g4.hi", "lm.hi")} AS hi FROM g4 JOIN lm ON g4.lang IS NOT DISTINCT FROM lm.lang AND g4.ratio = lm.ratio),
+verdict AS (SELECT doc_id, bool_and(s <= hi + {FENCE} * (hi - lo) AND (x.ratio NOT IN ({low_too}) OR s >= lo - {FENCE} * (hi - lo))) AS fine
+  FROM long x JOIN gm ON x.lang IS NOT DISTINCT FROM gm.lang AND x.source IS NOT DISTINCT FROM gm.source AND x.ratio = gm.ratio GROUP BY doc_id)
 SELECT mb.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, true) AS kept
 FROM mb LEFT JOIN verdict USING (doc_id)"""
 
