@@ -28,4 +28,6 @@ def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
         edges = ws.save(mapped.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-e{step}")
         labels = ws.save(labels.join(up, labels["component"] == up["x"], "left").select("v", F.coalesce("top", "component").alias("component")), f"{name}-l{step}")
         ws.drop(*done)
-    return labels
+    out = ws.save(labels, f"{name}-labels")
+    ws.drop(f"{name}-e{step}", f"{name}-l{step}")
+    return out

@@ -8,8 +8,8 @@ Plan, for ``n`` documents:
    star, so a bucket of m sets makes m - 1 pairs); pairs that the sketches leave possible are
    confirmed on full sets, and confirmed links give first components;
 3. only buckets that still hold several components are looked at again: their sets outside the
-   bucket's largest component meet the bucket's other sets, sketches are compared inside the join,
-   and what is left is confirmed on full sets as well. After that every pair that shares a band is
+   bucket's largest component meet the bucket's other sets of like size, sketches are compared inside
+   the join, and what is left is confirmed on full sets as well. After that every pair that shares a band is
    either inside one component or was tested.
 
 Two sets at similarity s share no band with probability ``(1 - s**8) ** 48``: 2e-7 at 0.85. Lower
@@ -40,6 +40,8 @@ MISSED = 3e-7
 SAMPLES = 1536
 SKETCH_WORDS = 32
 MARGIN = 0.06
+#: Pairs of one lead that are confirmed together.
+PART_PAIRS = 2000
 _U = np.uint64
 
 
@@ -134,13 +136,23 @@ def _differing(x: str, y: str, words: int) -> Column:
     return total
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 85, den: int = 100, ws: Workspace | None = None) -> DataFrame:
+def _linked_sets(signed: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """(a, b): representatives of the sets of rows that share an id; None where no id has two rows."""
+    again = signed.filter("id IS NOT NULL AND n_shingles > 0").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if again.isEmpty():
+        return None
+    sets = signed.filter("n_shingles > 0").join(again, "id", "left_semi").select("id", "d1", "d2").distinct().join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
+    lead = sets.groupBy("id").agg(F.min("rep").alias("a"))
+    return sets.join(lead, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, ws: Workspace | None = None) -> DataFrame:
     """Components of documents linked by ``den * |A & B| >= num * |A | B|`` on their shingle sets.
 
     Returns doc_id, n_shingles, component_id, kept. Documents without words link with nothing and
-    are kept. Rows that share a doc_id form one vertex; a null doc_id has a component only through
-    an equal set that has one, and is kept otherwise. Extra columns are ignored. An empty table
-    gives an empty result.
+    are kept. Rows with words that share a doc_id form one vertex, whatever their texts; a null doc_id
+    has a component only through an equal set that has one, and is kept otherwise. Extra columns are ignored.
+    An empty table gives an empty result.
     """
     ws = ws or Workspace(docs.sparkSession, "near")
     sketch = OddSketch(SAMPLES, SKETCH_WORDS)
@@ -163,38 +175,51 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
 
     possible = (_differing("oa", "ob", SKETCH_WORDS) <= within) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose full sets are alike enough. ``a`` may be in very many: its pairs are dealt into parts.
+
+        The set of ``b`` travels with the pair, that of ``a`` once to each part, and no set is shuffled after that.
+        """
+        pairs = ws.save(pairs, f"{name}-pairs")
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_PAIRS).alias("parts"))
+        dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+        left = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        copies = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")).join(parts, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "sa")
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(den * common >= num * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        both = left.join(copies, ["a", "part"]).filter(den * common >= num * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        return ws.save(both.distinct(), name)
 
     star = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(side("a"), "a").join(side("b"), "b").filter(possible).select("a", "b")
-    links = ws.save(confirmed(star), "links")
-    labels = components(links, ws, "first")
+    star = star.join(side("a"), "a").join(side("b"), "b").filter(possible).select("a", "b").distinct()
+    links = confirmed(star, "links")
+    same_id = _linked_sets(signed, reps)
+    labels = components(links if same_id is None else links.unionByName(same_id), ws, "first")
 
     placed = members.join(labels, members["rep"] == labels["v"], "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("c"))
     placed = ws.save(placed, "placed")
-    sizes = placed.groupBy("bucket", "c").count()
-    split = sizes.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", F.struct("count", "c")).alias("main")).filter("low < high").select("bucket", "main")
+    counted = placed.groupBy("bucket", "c").count()
+    split = counted.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", F.struct("count", "c")).alias("main")).filter("low < high").select("bucket", "main")
     mixed = ws.save(placed.join(split, "bucket"), "mixed")
+    # sets that are alike enough lie in the same or neighbouring cells of a logarithmic scale of sizes
+    cell = lambda n: F.floor(F.ln(F.col(n)) / -math.log(num / den)).cast("int") if num < den else F.col(n).cast("int")
     few = mixed.filter("c <> main").select("band", "bucket", F.col("rep").alias("a"), F.col("c").alias("ca")).join(side("a", "bands"), "a")
-    all_ = mixed.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb")).join(side("b", "bands"), "b")
+    few = few.withColumn("cell", F.explode(F.array(cell("na") - 1, cell("na"), cell("na") + 1)))
+    all_ = mixed.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("c").alias("cb")).join(side("b", "bands"), "b").withColumn("cell_b", cell("nb"))
     # a pair that shares several bands is reported in the first of them only
     first_shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-    cross = few.join(all_, (few["bucket"] == all_["bucket"]) & (F.col("ca") != F.col("cb")) & possible & first_shared)
+    cross = few.join(all_, (few["bucket"] == all_["bucket_b"]) & (F.col("cell") == F.col("cell_b")) & (F.col("ca") != F.col("cb")) & possible & first_shared)
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = ws.save(confirmed(cross), "more")
+    more = confirmed(cross, "more")
     joined = more.join(labels.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), ws, "second")
 
     final = reps.select("d1", "d2", "rep").join(labels, F.col("rep") == F.col("v"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     final = ws.save(final.join(merged, F.col("c") == F.col("v"), "left").select("d1", "d2", F.coalesce("component", "c").alias("component_id")), "final")
-    ws.drop("members", "wanted", "sketches", "sets", "links", "placed", "mixed", "more", "reps")
     out = signed.select("id", "n_shingles", "d1", "d2").join(final, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    out = ws.save(out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")), "result")
+    ws.drop("signed", "members", "wanted", "sketches", "sets", "links", "links-pairs", "placed", "mixed", "more", "more-pairs", "reps", "final", "first-labels", "second-labels")
+    return out
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
