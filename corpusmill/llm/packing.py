@@ -1,11 +1,14 @@
 """Packing of documents into sequences by patterns of few lengths and non-negative least squares.
 
-Only the histogram of piece lengths (at most ``size`` counts) reaches the driver. There, patterns of
-up to three lengths that fill a sequence exactly are enumerated, repeat counts are fitted to the
-histogram by non-negative least squares, rounded down, and what is left is packed best-fit. The plan
-depends on ``size`` alone in its bound, and is sent to every task; a piece finds its place from its
-length and its rank among the pieces of that length, which is counted in two levels (within a task's
-chunk, then over chunks), so no length, however common, is ranked in one task.
+Only the histogram of piece lengths (at most ``size`` counts) reaches the driver. There, repeat counts of
+patterns (a few lengths that fit in a sequence, with or without a gap) are fitted by
+non-negative least squares, to the histogram and to the least possible gap over all sequences. There are far
+more patterns than can be listed, so those that would lower the residual most are added until none
+would. Repeats are rounded (down, then up by largest remainder as long as pieces are there) and all kept;
+the fit is repeated on what is left, and what no pattern takes is packed best-fit. The plan depends on
+``size`` alone in its bound, and is sent to every task; a piece finds its place from its length and its
+rank among the pieces of that length, which is counted in two levels (within a task's chunk, then over
+chunks), so no length, however common, is ranked in one task.
 """
 
 from __future__ import annotations
@@ -23,59 +26,172 @@ from .token_ids import tokenizer
 from .workspace import Workspace, table
 
 SIZE = 1024
-#: Coordinate steps of the least-squares fit.
-STEPS = 4000
-#: Shares of the fitted repeats that are tried.
-SHARES = (1.0, 0.9, 0.8, 0.7, 0.5, 0.25)
+#: A pattern has up to ``1 + 2 ** DOUBLINGS`` documents.
+DOUBLINGS = 4
+#: Weight of the gap, in sequences, beside the histogram.
+GAP_WEIGHT = 5.0
+#: Patterns that would change the fit by less than this share of a length's mean count aren't added.
+TRACE = 0.05
+#: Share of the pieces that is left to best fit, and the least share of those left that another fit must have taken.
+LEFT, GAIN = 0.05, 0.1
 END = 2
 
 
-def patterns(size: int, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns of two or three present lengths with total ``size``: (n, 3) lengths, 0 for none."""
-    lengths = np.flatnonzero(present[: size + 1])
-    lengths = lengths[(lengths > 0) & (lengths < size)]
-    here = np.zeros(size + 1, dtype=bool)
-    here[lengths] = True
-    two = lengths[(lengths * 2 <= size)]
-    two = two[here[size - two]]
-    found = [np.stack([two, size - two, np.zeros_like(two)], axis=1)]
-    for a in lengths[lengths * 3 <= size].tolist():
-        b = lengths[(lengths >= a) & (lengths * 2 <= size - a)]
-        b = b[here[size - a - b]]
-        found.append(np.stack([np.full_like(b, a), b, size - a - b], axis=1))
-    out = np.concatenate(found)
-    squares = np.ones(len(out), dtype=float) * 2
-    squares[out[:, 2] > 0] = 3
-    same = (out[:, 0] == out[:, 1]).astype(int) + ((out[:, 1] == out[:, 2]) & (out[:, 2] > 0))
-    squares[same == 1] += 2
-    squares[same == 2] = 9
-    return out, squares
-
-
-def fit(counts: np.ndarray, parts: np.ndarray, squares: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Non-negative repeat counts whose patterns come nearest to ``counts`` in least squares.
-
-    Coordinate descent: each step sets the coefficient with the steepest descent to its best
-    non-negative value, which keeps the solution sparse and every step exact.
+def best_patterns(value: np.ndarray, size: int, doublings: int = DOUBLINGS) -> tuple[np.ndarray, np.ndarray]:
+    """For each length with a value, the pattern around it with the largest total value.
+
+    ``value[l]`` is a length's value, -inf for lengths that aren't there. A pattern has that length and up
+    to ``2 ** doublings`` more. Returns (n, 1 + 2 ** doublings) lengths, 0 for none, and the totals.
+    ``best[s]`` is the largest total of so many lengths in s tokens: of twice as many, it is the best split of s.
+    """
+    lengths = np.flatnonzero(np.isfinite(value))
+    single = np.zeros(size + 1, dtype=np.int64)
+    best, top = np.zeros(size + 1), 0
+    worth = np.where(np.isfinite(value), value, -np.inf)
+    for s in range(1, size + 1):
+        if worth[s] > 0 and (not top or worth[s] > worth[top]):
+            top = s
+        single[s] = top
+        best[s] = worth[top] if top else 0.0
+    room = np.arange(size + 1)[:, None] - np.arange(size + 1)[None, :]
+    inside, splits = np.maximum(room, 0), []
+    for _ in range(doublings):
+        total = np.where(room >= 0, best[None, :] + best[inside], -np.inf)
+        splits.append(np.argmax(total, axis=1))
+        best = total[np.arange(size + 1), splits[-1]]
+    spaces = (size - lengths)[:, None]
+    for split in reversed(splits):
+        spaces = np.concatenate([split[spaces], spaces - split[spaces]], axis=1)
+    return np.concatenate([lengths[:, None], single[spaces]], axis=1), value[lengths] + best[size - lengths]
+
+
+class NonNegative:
+    """Non-negative least squares over a growing list of patterns, by the active set method of Lawson and Hanson.
+
+    Minimises ``|A x - b|^2``: a column of A counts a pattern's lengths and has its gap, as a share of a
+    sequence times ``GAP_WEIGHT``, in the last place; b has the histogram and the least possible gap. The inverse of the Gram matrix of the positive columns is kept up to date, so a
+    column comes or goes in the square of their number. Columns that depend on positive ones stay out.
     """
-    x = np.zeros(len(parts))
-    if not len(parts):
-        return x
-    rest = np.append(counts.astype(float), 0.0)  # the last place stands for "no third length"
-    index = np.where(parts > 0, parts, len(counts))
-    norm = np.sqrt(squares)
-    for _ in range(steps):
-        gradient = rest[index[:, 0]] + rest[index[:, 1]] + rest[index[:, 2]]
-        gain = np.where((gradient > 0) | (x > 0), np.maximum(gradient, -x * squares), 0.0) / norm
-        i = int(np.argmax(np.abs(gain)))
-        if abs(gain[i]) < 0.5:
-            break
-        step = max(gradient[i] / squares[i], -x[i])
-        x[i] += step
-        for p in index[i].tolist():
-            if p < len(counts):
-                rest[p] -= step
-    return x
+
+    def __init__(self, counts: np.ndarray, size: int):
+        self.lengths, self.size = np.flatnonzero(counts), size
+        self.row = np.zeros(len(counts), dtype=np.int64)
+        self.row[self.lengths] = np.arange(len(self.lengths))
+        gap = -int((counts * np.arange(len(counts))).sum()) % size / size
+        self.wanted = np.append(counts[self.lengths].astype(float), GAP_WEIGHT * gap)
+        self.patterns: list[tuple[int, ...]] = []
+        self.columns = np.zeros((0, len(self.wanted)))
+        self.on: list[int] = []
+        self.x = np.zeros(0)
+        self._inverse = np.zeros((0, 0))
+        self._spare = np.zeros((0, 0))
+
+    def add(self, patterns: list[tuple[int, ...]]) -> None:
+        rows = np.zeros((len(patterns), len(self.wanted)))
+        for i, p in enumerate(patterns):
+            np.add.at(rows[i], self.row[list(p)], 1.0)
+            rows[i, -1] = GAP_WEIGHT * (self.size - sum(p)) / self.size
+        self.patterns += patterns
+        self.columns = np.concatenate([self.columns, rows])
+
+    def _room(self, n: int) -> None:
+        if n > len(self._inverse):
+            grown = np.zeros((2 * n, 2 * n))
+            old = len(self._inverse)
+            grown[:old, :old] = self._inverse
+            self._inverse, self._spare = grown, np.empty_like(grown)
+
+    def _change(self, n: int, vector: np.ndarray, by: float) -> None:
+        np.multiply(vector[:, None], (vector * by)[None, :], out=self._spare[:n, :n])
+        self._inverse[:n, :n] += self._spare[:n, :n]
+
+    def _drop(self, at: int) -> None:
+        n, m = len(self.on) - 1, self._inverse
+        if at != n:  # the last column takes its place
+            m[[at, n], : n + 1] = m[[n, at], : n + 1]
+            m[: n + 1, [at, n]] = m[: n + 1, [n, at]]
+            self.on[at] = self.on[n]
+            self.x[at] = self.x[n]
+        self.on.pop()
+        self.x = self.x[:n]
+        self._change(n, m[:n, n].copy(), -1 / m[n, n])
+
+    def _solved(self) -> np.ndarray:
+        n = len(self.on)
+        return self._inverse[:n, :n] @ (self.columns[self.on] @ self.wanted)
+
+    def solve(self, trace: float) -> np.ndarray:
+        """Turn columns positive, steepest first, until none would lower the squares by more than a trace; the residual."""
+        n = len(self.on)
+        positive = self.columns[self.on]
+        if n:  # afresh, against rounding errors
+            self._inverse[:n, :n] = np.linalg.inv(positive @ positive.T)
+            self.x = self._solved()
+        while True:
+            rest = self.wanted - self.x @ self.columns[self.on]
+            slope = self.columns @ rest
+            slope[self.on] = -np.inf
+            near = np.argsort(-slope, kind="stable")[:200]
+            near = near[slope[near] > trace]  # looked at until all are spent, and then all columns again
+            before = len(near)
+            if not before or not self._turn(near, trace):
+                return rest
+
+    def _turn(self, near: np.ndarray, trace: float) -> bool:
+        some, open_ = False, np.ones(len(near), dtype=bool)
+        while True:
+            rest = self.wanted - self.x @ self.columns[self.on]
+            slope = np.where(open_, self.columns[near] @ rest, -np.inf)
+            i = int(np.argmax(slope))
+            if not slope[i] > trace:
+                return some
+            open_[i] = False
+            j, n = int(near[i]), len(self.on)
+            shared = self.columns[self.on] @ self.columns[j]
+            u = self._inverse[:n, :n] @ shared
+            schur = float(self.columns[j] @ self.columns[j]) - float(shared @ u)
+            if schur < 1e-7:
+                continue
+            some = True
+            step = float(slope[i]) / schur
+            self._room(n + 1)
+            self._change(n, u, 1 / schur)
+            self._inverse[:n, n] = self._inverse[n, :n] = -u / schur
+            self._inverse[n, n] = 1 / schur
+            aim = np.append(self.x - u * step, step)
+            self.x = np.append(self.x, 0.0)
+            self.on.append(j)
+            while (aim <= 0).any():  # go as far as all stay positive, and leave out one that reaches 0
+                low = np.flatnonzero(aim <= 0)
+                far = self.x[low] / np.maximum(self.x[low] - aim[low], 1e-300)
+                self.x = np.maximum(self.x + min(float(far.min()), 1.0) * (aim - self.x), 0.0)
+                self._drop(int(low[np.argmin(far)]))
+                aim = self._solved()
+            self.x = aim
+
+
+def fit(counts: np.ndarray, size: int, known: list[tuple[int, ...]]) -> dict[tuple[int, ...], float]:
+    """Patterns with positive repeat counts that come nearest to ``counts`` with the least gap.
+
+    ``known`` are patterns to begin with. Each turn solves the squares over the patterns at hand and adds
+    the best new one around each length, until none would lower them by more than a trace.
+    """
+    squares = NonNegative(counts, size)
+    lengths = squares.lengths
+    trace = TRACE * max(1.0, float(counts.sum()) / max(1, len(lengths)))
+    seen = {p for p in known if all(counts[q] for q in p)} | {(q,) for q in lengths.tolist()}  # those of one length can fit any histogram
+    squares.add(sorted(seen))
+    while True:
+        rest = squares.solve(trace)
+        gap = GAP_WEIGHT * float(rest[-1])  # what a sequence that is all gap would add to the slope
+        value = np.full(size + 1, -np.inf)
+        value[lengths] = rest[:-1] - gap * lengths / size
+        parts, totals = best_patterns(value, size)
+        fresh = {tuple(sorted(q for q in p if q)) for p in parts[totals + gap > 2 * trace].tolist()} - seen
+        if not fresh:
+            return {squares.patterns[j]: float(v) for j, v in zip(squares.on, squares.x.tolist(), strict=True)}
+        squares.add(sorted(fresh))
+        seen |= fresh
 
 
 def best_fit(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
@@ -117,32 +233,36 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
     return [(parts, n) for groups in room.values() for parts, n in groups]
 
 
-def plan(counts: np.ndarray, size: int, steps: int = STEPS) -> list[tuple[list[int], int]]:
-    """(lengths, repeats) of sequences that hold exactly ``counts[length]`` pieces of each length.
+def plan(counts: np.ndarray, size: int) -> tuple[list[tuple[list[int], int]], int]:
+    """(lengths, repeats) of sequences that hold exactly ``counts[length]`` pieces of each length, and how many pieces patterns took.
 
-    Repeats are the fitted ones times a share, rounded down; short pieces that the patterns leave are
-    what best fit needs to fill up the rest. Of ``SHARES``, the one with the fewest sequences is taken.
+    All fitted repeats are kept: rounded down, and up in the order of their remainders, down to a half,
+    where the pieces are there. What is left is fitted again while that takes a fair part of it, and
+    packed best-fit in the end.
     """
-    full = [([size], int(counts[size]))] if counts[size] else []
     rest = counts.astype(np.int64).copy()
+    found = [([size], int(counts[size]))] if counts[size] else []
     rest[size] = 0
-    parts, squares = patterns(size, rest > 0)
-    x = fit(rest, parts, squares, steps)
-    order = [i for i in np.argsort(-x, kind="stable").tolist() if x[i] >= 1]
-    best: list[tuple[list[int], int]] | None = None
-    for share in SHARES:
-        left, found = rest.copy(), []
-        for i in order:
-            lengths = [p for p in parts[i].tolist() if p]
-            n = min([int(x[i] * share), *(int(left[p]) // lengths.count(p) for p in set(lengths))])
-            if n > 0:
-                found.append((lengths, n))
-                for p in lengths:
-                    left[p] -= n
-        found += best_fit(left, size)
-        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
-            best = found
-    return full + (best or [])
+    every, taken = int(rest.sum()), 0
+    known = [tuple(sorted(p)) for p, _ in best_fit(rest, size) if len(p) <= 1 + 2**DOUBLINGS]
+    while rest.sum() > LEFT * every:
+        fitted = fit(rest, size, known)
+        order = sorted(fitted, key=lambda p: (fitted[p] // 1 - fitted[p], p))
+        some, left = 0, int(rest.sum())
+        for up in (False, True):
+            for p in order:
+                n = int(fitted[p]) if not up else int(fitted[p] % 1 >= 0.5)
+                n = min([n, *(int(rest[q]) // p.count(q) for q in set(p))])
+                if n:
+                    found.append((list(p), n))
+                    some += n * len(p)
+                    for q in p:
+                        rest[q] -= n
+        taken += some
+        if some < GAIN * left:
+            break
+        known = list(fitted)
+    return found + best_fit(rest, size), taken
 
 
 def pieces_of(total: int, size: int) -> list[tuple[int, int]]:
@@ -190,7 +310,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     bases: list[list[int]] = [[] for _ in range(size + 1)]
     offsets: list[list[int]] = [[] for _ in range(size + 1)]
     used, sequences = np.zeros(size + 1, dtype=np.int64), 0
-    for lengths, n in plan(counts, size):
+    for lengths, n in plan(counts, size)[0]:
         offset = 0
         for length in lengths:
             lows[length].append(int(used[length]))
@@ -215,8 +335,9 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # up to ``size`` rows for each task that read documents: too many to send to all tasks
     ahead = found.select(F.col("length").alias("l"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    ranked = pieces.join(ahead, (pieces["length"] == ahead["l"]) & (pieces["chunk"] == ahead["c"])).withColumn("place", F.col("rank") + F.col("ahead"))
+    ranked = pieces.join(ahead.hint("merge"), (pieces["length"] == ahead["l"]) & (pieces["chunk"] == ahead["c"])).withColumn("place", F.col("rank") + F.col("ahead"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "place").mapInArrow(place, schema)
 
