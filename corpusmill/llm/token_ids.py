@@ -34,6 +34,9 @@ class TokenIds:
         self.by_pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and plain and len(added) <= 1
         self._special = added[0]["content"] if added else None
         self._special_ids = np.array([a["id"] for a in added[:1]], dtype="<u4").tobytes()
+        top = max(self._tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        #: The smallest unsigned type that holds all ids.
+        self.kind = "<u2" if top < 1 << 16 else "<u4"
         self._model = self._tokenizer.model
         self._cache = PieceCache(self._merge)
 
