@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,6 @@ BINS = 512
 BITS = 4
 #: Bytes of text whose shingles are held at once.
 CHUNK = 4 << 20
-_LEAST = -(1 << 63)
 
 
 class Fingerprinter:
@@ -81,7 +81,7 @@ class Fingerprinter:
 
 
 def fingerprint_texts(docs: DataFrame, text: str = "text", out: str = "fingerprint", bins: int = BINS, bits: int = BITS) -> DataFrame:
-    """``docs`` with a fingerprint column; null texts count as empty, other columns are left alone."""
+    """``docs`` with a fingerprint column, in place of one of that name; null texts count as empty, other columns are left alone."""
 
     @F.pandas_udf("string")
     def of(column):
@@ -92,29 +92,33 @@ def fingerprint_texts(docs: DataFrame, text: str = "text", out: str = "fingerpri
 
 
 def consecutive(docs: DataFrame, key: str, text: str, partitions: int) -> DataFrame:
-    """Rows (p, extra, key, text) dealt by ranges of the key, in key order within each partition p.
+    """Rows (p, extra, there, key, h, text) dealt by ranges of the key, in key order within each partition p.
 
     Each partition ends with an extra copy of the row that begins the next one (the last with the
     first of all), so a scan of one partition sees every row beside its successor. Only the first
-    key of each partition reaches the driver. Null keys come first; equal keys go by text.
+    key of each partition reaches the driver. Null keys come first; rows of one key, or without one, go by
+    a hash of the text (``h``) and are dealt over partitions by it as well.
     """
-    keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("key"), F.col(key).isNull().alias("absent"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    firsts = keyed.select("key").repartitionByRange(partitions, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key")).collect()
-    bounds = np.array(sorted({r["key"] for r in firsts}), dtype=np.int64)
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    order = ["there", "key", "h"]
+    keyed = docs.select(F.col(key).isNotNull().alias("there"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.xxhash64(t).alias("h"), t.alias("text"))
+    firsts = keyed.select(*order).repartitionByRange(partitions, *order).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*order)).alias("f")).collect()
+    bounds = sorted({tuple(r["f"]) for r in firsts})
     n = max(1, len(bounds))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["p", "extra", *order, "text"]
         for batch in batches:
-            keys = batch["key"].to_numpy(zero_copy_only=False)
-            p = np.maximum(np.searchsorted(bounds, keys, side="right") - 1, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(np.zeros(len(keys), bool)), *batch.columns], names=["p", "extra", "key", "absent", "text"])
-            first = np.flatnonzero(bounds[p] == keys) if len(bounds) else np.empty(0, np.int64)
-            if len(first):
+            rows = list(zip(*(batch[c].to_pylist() for c in order), strict=True))
+            p = [max(bisect_right(bounds, r) - 1, 0) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(np.zeros(len(p), bool)), *batch.columns], names=names)
+            first = [i for i, r in enumerate(rows) if bounds[p[i]] == r]
+            if first:
                 again = batch.take(pa.array(first))
-                yield pa.RecordBatch.from_arrays([pa.array((p[first] - 1) % n, pa.int32()), pa.array(np.ones(len(first), bool)), *again.columns], names=["p", "extra", "key", "absent", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([(p[i] - 1) % n for i in first], pa.int32()), pa.array(np.ones(len(first), bool)), *again.columns], names=names)
 
-    dealt = keyed.mapInArrow(deal, "p int, extra boolean, key long, absent boolean, text string")
-    return dealt.repartitionById(n, F.col("p")).sortWithinPartitions("p", "extra", "key", "text")
+    dealt = keyed.mapInArrow(deal, "p int, extra boolean, there boolean, key long, h long, text string")
+    return dealt.repartitionById(n, F.col("p")).sortWithinPartitions("p", "extra", *order, "text")
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", bins: int = BINS, bits: int = BITS, partitions: int | None = None) -> DataFrame:
@@ -137,7 +141,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
                 at = end
                 codes, some = f.codes(rows["text"])
                 keys, extra, texts = rows["key"].to_pylist(), rows["extra"].to_pylist(), rows["text"].to_pylist()
-                absent = rows["absent"].to_pylist()
+                absent = [not x for x in rows["there"].to_pylist()]
                 if held:
                     keys, extra, texts, absent = held[0] + keys, held[1] + extra, held[2] + texts, held[3] + absent
                     codes, some = np.concatenate([held[4], codes]), np.concatenate([held[5], some])
