@@ -35,6 +35,8 @@ def test_measures(docs):
 def test_buckets_keep_a_sixteenth(spark):
     df = spark.range(0, 5000).select(F.col("id"), quality.bucket_top(quality.bucket_of(F.col("id"))).alias("top"))
     assert df.filter("top < id OR top > id + id / 16").count() == 0
+    low = spark.range(0, 5000).select(F.col("id"), quality.bucket_bottom(quality.bucket_of(F.col("id"))).alias("low"))
+    assert low.filter("low > id OR low < id - id / 16").count() == 0
 
 
 def test_sketches_merge(spark):
@@ -48,13 +50,35 @@ def test_sketches_merge(spark):
 
 
 def test_rules_drop_junk_and_keep_clean(spark):
-    clean = [(i, prose(i, 120), "en", "s0") for i in range(250)]
-    junk = [(1000 + i, " ".join(w + "###" for w in prose(i, 100).split()), "en", "s0") for i in range(5)]
+    """In groups of every size: a few rows, a group of its own scale, and many."""
+    clean = [(i, prose(i, 120), "en", f"s{i % 3 if i < 240 else i}") for i in range(250)]
+    junk = [(1000 + i, " ".join(w + "###" for w in prose(i, 100).split()), "en", f"s{i}") for i in range(5)]
     df = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
     kept = {r["doc_id"] for r in quality.keep_good(df).collect()}
     assert kept == {c[0] for c in clean}
 
 
+def test_thresholds_move_with_the_rows_of_a_group(spark):
+    """The quantile of a group is its own in proportion to its rows: no switch at any size."""
+    from pyspark.sql import Row
+
+    found = []
+    for n in (1, 10, 99, 100, 101, 1000, 10000):
+        rows = [Row(lang="en", source=s, ratio=r, bucket=b, n=k) for r in quality.RATIOS for s, b, k in (("big", 10, 1_000_000), ("own", 30, n))]
+        limits = quality.thresholds(spark.createDataFrame(rows, "lang string, source string, ratio string, bucket long, n long"))
+        found.append(limits.filter("t_source = 'own'").first()["t_symbols"]["high"])
+    assert found == [10 + 20 * n // (n + 100) for n in (1, 10, 99, 100, 101, 1000, 10000)]
+
+
+def test_hot_and_cold_groups_get_their_limits(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HOT_SHARE", 0.2)
+    docs = [(i, prose(i, 80), "en", "hot") for i in range(40)] + [(100 + i, prose(i, 80), None, f"c{i}") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    a = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(df).collect()}
+    monkeypatch.setattr(quality, "HOT_SHARE", 2.0)
+    assert a == {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(df).collect()} and len(a) == 70
+
+
 def test_shards(docs):
     rows = sharding.assign_shards(docs, weights=(1.0,) * 8).collect()
     texts = {r[0]: r[1] or "" for r in awkward()}
@@ -67,11 +91,51 @@ def test_shards(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+M = 1 << 64
+
+
+def _xx64(data: bytes, seed: int) -> int:
+    """xxHash64 of less than 32 bytes, by its public description."""
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    turn = lambda x, r: (x << r | x >> (64 - r)) % M
+    h = (seed + p5 + len(data)) % M
+    while len(data) >= 8:
+        h = (turn(h ^ turn(int.from_bytes(data[:8], "little") * p2 % M, 31) * p1 % M, 27) * p1 + p4) % M
+        data = data[8:]
+    if len(data) >= 4:
+        h = (turn(h ^ int.from_bytes(data[:4], "little") * p1 % M, 23) * p2 + p3) % M
+    h = (h ^ h >> 33) * p2 % M
+    h = (h ^ h >> 29) * p3 % M
+    return h ^ h >> 32
+
+
+def test_shards_are_those_of_the_highest_scores(spark):
+    """Scores recomputed in Python from key and shard: winner, share by weight, and what a new shard takes."""
+    import math
+
+    weights = (1.0, 2.5, 0.5, 1.0, 3.0)
+
+    def scores(key: int, n: int) -> list[float]:
+        out = []
+        for shard in range(n):
+            h = _xx64(shard.to_bytes(4, "little"), _xx64((key % M).to_bytes(8, "little"), 42))
+            out.append(-(*weights, 2.0)[shard] / math.log(((h >> 11) + 0.5) * 2.0**-53))
+        return out
+
+    keys = [*range(-200, 200), 2**62, -(2**63)]
+    df = spark.createDataFrame([(k, "x") for k in keys], "doc_id long, text string")
+    for r in sharding.assign_shards(df, weights=weights, grown_weight=2.0).collect():
+        now, grown = scores(r["doc_id"], 5), scores(r["doc_id"], 6)
+        assert r["shard"] == max(range(5), key=now.__getitem__) and r["grown_shard"] == max(range(6), key=grown.__getitem__)
+
+
 def test_growth_is_the_larger_assignment(spark):
     df = spark.range(20_000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
     small = {r["doc_id"]: r for r in sharding.assign_shards(df, weights=(1.0,) * 8).collect()}
     large = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(df, weights=(1.0,) * 9).collect()}
     assert all(large[d] == r["grown_shard"] for d, r in small.items())
+    moved = sum(r["grown_shard"] == 8 for r in small.values())
+    assert abs(moved / 20_000 - 1 / 9) < 0.01
     heavy = sharding.assign_shards(df, weights=(3.0, 1.0)).groupBy("shard").count().collect()
     assert abs({r["shard"]: r["count"] for r in heavy}[0] / 20_000 - 0.75) < 0.02
 
@@ -127,25 +191,55 @@ def test_empty_tables(spark):
     assert sharding.assign_shards(none).count() == 0
 
 
-def test_pipeline_stages(spark, docs):
-    """Each stage against brute force on what the one before kept."""
-    now = {}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs.select(*corpus_pipeline.COLUMNS), SF)
-        assert out.columns == corpus_pipeline.COLUMNS
-        now[name] = out.collect()
-        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
-        got = sorted((r["doc_id"], r["text"] or "") for r in now[name])
-        if name == "quality rules":
-            assert all(not base_counts(t)[-1] for _, t in got) and len(got) > 10
-        elif name == "line dedup":
-            assert got == sorted((d, t) for d, _, _, t in line_dedup(before))
-        else:
-            texts = dict(before)
-            want = components(texts)
-            assert [d for d, _ in got] == sorted(d for d in texts if want[d] == d)
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs.select(*corpus_pipeline.COLUMNS), SF)
-    assert packed.count() > 0
+def test_pipeline_is_its_stages_one_after_the_other(spark, tmp_path):
+    """run() against brute force of each stage on what the one before kept, down to the pieces' ids."""
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = awkward(repeat=False)
+    junk = [(200 + i, " ".join(w + "###" for w in prose(300 + i, 70).split()), "en", "s0", 1) for i in range(3)]
+    near = [(300 + i, " ".join([*prose(400 + i // 2, 150).split()[: 150 - 20 * (i % 2)], f"end{i}"]), "en", "s1", 1) for i in range(20)]
+    boiler = [(400 + i, prose(500 + i, 60) + "\n  One Licence LINE \n" + prose(600 + i, 40), "de", "s2", 1) for i in range(14)]
+    docs = [r[:5] for r in rows] + junk + near + boiler
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    frame.write.parquet(f"file://{tmp_path}/documents.parquet")
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    good = {d for d, *_, kept in con.sql(f"SELECT doc_id, kept FROM ({ORACLES['op10_quality']})").fetchall() if kept}
+    now = [(d, t) for d, t, *_ in docs if d in good]
+    assert not {200, 201, 202} & good and {400, 300} <= good and len(now) < len(docs) - 5
+    now = [(d, t) for d, _, _, t in line_dedup(now)]
+    assert sum("Licence" in t for _, t in now) == 0
+    linked = components(dict(now), 80)
+    now = [(d, t) for d, t in now if linked[d] == d]
+    assert 0 < sum(d in range(300, 320) for d, _ in now) < 20
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for d, t in now:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids), 1024), len(ids)] if len(ids) > 1024 else [0, len(ids)]
+        want += [(d, i, a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))] and sum(n for _, n in pieces) <= 1024
+
+
+def test_pipeline_stages_keep_the_columns_of_awkward_rows(spark, docs):
+    """Repeated rows, nulls and clashing columns: every stage runs on all of them by itself."""
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == corpus_pipeline.COLUMNS
+    twice = spark.createDataFrame([(1, prose(1, 60)), (1, prose(2, 60)), (None, prose(3, 60)), (None, prose(4, 60)), (2, None)], "doc_id long, text string").withColumns({c: F.lit(None).cast(k) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))})
+    assert sorted(map(str, (r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, twice, SF).collect()))) == ["1", "2", "None", "None"]
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, twice, SF).collect()}[2] is None
 
 
 def test_pipeline_on_an_empty_table(spark):

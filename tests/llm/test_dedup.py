@@ -97,7 +97,7 @@ def test_lines_of_repeated_ids_hot_lines_and_clashing_columns(spark):
 def test_near_components(docs):
     rows = {r[0]: r[1] for r in awkward()}
     want = components(rows)
-    got = near_dedup.near_components(docs).collect()
+    got = near_dedup.near_components(docs, num=85).collect()
     assert len(got) == len(awkward())
     for r in got:
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(shingles(rows[r["doc_id"]])), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
@@ -113,10 +113,46 @@ def test_near_chain_and_group_at_the_threshold(spark):
         for j in rng.choice(len(w), size=int(rng.integers(1, 9)), replace=False):
             w[j] = f"e{i}_{j}"
         texts[i] = " ".join(w)
-    got = near_dedup.near_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = near_dedup.near_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), num=85)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == components(texts)
 
 
+def test_rows_of_one_id_are_one_vertex(spark):
+    a, b, c = prose(21, 80), prose(22, 80), prose(23, 80)
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, None), (9, c), (4, "")]
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (4, 4, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True), (9, 8, False), (9, 9, True)]
+
+
+def test_one_lead_in_very_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART_PAIRS", 7)
+    words = prose(31, 120).split()
+    texts = {i: " ".join([*words[:100], f"t{i}", *words[100:]]) for i in range(90)}
+    got = near_dedup.near_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == components(texts, 80)
+
+
+@pytest.mark.parametrize("least, n", [(0.85, 1500), (0.80, 1500)])
+def test_no_pair_at_the_threshold_is_missed(least, n):
+    """Pairs of 7 to 2,000 shingles just above the threshold share a band and pass the sketch."""
+    rng = np.random.default_rng(int(least * 100))
+    rows, bands, margin = near_dedup.banding(least)
+    sampler, sketch = OnePermutation(near_dedup.SAMPLES), near_dedup.OddSketch(near_dedup.SAMPLES)
+    apart, within = near_dedup.SAMPLES // (rows * bands), sketch.most_differing(least - margin)
+    for at in range(0, n, 100):
+        sets = []
+        for _ in range(100):
+            size = int(np.exp(rng.uniform(np.log(7), np.log(2000))))
+            own = max(0, int((size * (1 - least) / (1 + least))))  # of ``size`` shingles each side has so many of its own
+            x = rng.integers(0, 2**64, size + own, dtype=np.uint64)
+            sets += [np.unique(x[:size]), np.unique(x[own:])]
+        samples, _ = sampler.samples(sets)
+        banded = samples[:, : apart * rows * bands : apart].reshape(len(sets), bands, rows)
+        assert (banded[::2] == banded[1::2]).all(axis=2).any(axis=1).all()
+        odd = sketch.fold(samples)
+        assert (np.bitwise_count(odd[::2] ^ odd[1::2]).sum(axis=1) <= within).all()
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, prose(1, 60)), (3, prose(1, 60)), (None, prose(2, 60))], "doc_id long, text string")
     assert sorted(((r["component_id"], r["kept"]) for r in near_dedup.near_components(df).collect()), key=str) == [(3, False), (3, True), (None, True)]
@@ -135,6 +171,26 @@ def test_edited_fingerprints(docs):
         by.setdefault(dict(rows)[r["doc_id"]], set()).add(r["fingerprint"])
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert all(len(v) == 1 for v in by.values())
+    texts = dict(rows)
+    like = lambda a, b: 1.0 if not (a or b) else len(a & b) / len(a | b)
+    for i, (d, t) in enumerate(rows):
+        h, following = len(t) // 2, rows[(i + 1) % len(rows)][1]
+        want = like(shingles(t), shingles(t[: len(t) - h] + following[:h]))
+        sha = hashlib.sha256((t[: len(t) - h] + following[:h]).encode()).hexdigest()
+        for r in got:
+            if (r["doc_id"], r["edited_sha256"]) == (d, sha):
+                assert abs(r["near_edited"] - want) < 0.1
+    assert texts
+
+
+def test_rows_without_a_key_or_of_one_key_are_dealt_out(spark):
+    texts = [prose(50 + i, 30) for i in range(60)]
+    df = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("fingerprint", F.lit("old"))
+    dealt = fingerprints.consecutive(df, "doc_id", "text", 6)
+    assert dealt.filter("NOT extra").groupBy("p").count().agg(F.max("count")).first()[0] < 30
+    got = fingerprints.edited_fingerprints(df, partitions=6).collect()
+    assert sorted((r["doc_id"] is None, r["n_chars"]) for r in got) == sorted((bool(i % 2), len(t)) for i, t in enumerate(texts))
+    assert "old" not in {r["fingerprint"] for r in fingerprints.fingerprint_texts(df).collect()}
 
 
 def test_likeness_is_near_jaccard():

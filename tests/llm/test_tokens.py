@@ -87,25 +87,62 @@ def test_ids_are_the_library(library):
     assert np.frombuffer(next(other.encode(["Some words"])), "<u4").tolist() == t.encode("Some words", add_special_tokens=False).ids
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=300))
-def test_plan_uses_every_piece_once(lengths):
-    counts = np.bincount(lengths, minlength=65) if lengths else np.zeros(65, dtype=int)
-    used = np.zeros(65, dtype=int)
-    plan = packing.plan(counts, 64, steps=200)
+def _plan_checked(counts, size):
+    plan, taken = packing.plan(counts, size)
+    used = np.zeros(size + 1, dtype=int)
     for parts, n in plan:
-        assert n > 0 and sum(parts) <= 64
+        assert n > 0 and sum(parts) <= size
         for p in parts:
             used[p] += n
     assert (used == counts).all()
+    return sum(n for _, n in plan), taken
 
 
-def test_plan_is_tight():
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=300))
+def test_plan_uses_every_piece_once(lengths):
+    _plan_checked(np.bincount(lengths, minlength=65) if lengths else np.zeros(65, dtype=int), 64)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=12))
+def test_new_patterns_are_the_best_ones(lengths):
+    """Against all patterns of up to three lengths around each length."""
+    rng = np.random.default_rng(len(lengths))
+    value = np.full(31, -np.inf)
+    value[lengths] = rng.normal(size=len(lengths))
+    parts, totals = packing.best_patterns(value, 30, 3)
+    here = sorted(set(lengths))
+    for p, t in zip(parts, totals):
+        first = int(p[0])
+        options = [(first,), *((first, b) for b in here if first + b <= 30), *((first, b, c) for b in here for c in here if first + b + c <= 30)]
+        assert sum(p) <= 30 and abs(t - max(sum(value[list(o)]) for o in options)) < 1e-9 and abs(t - sum(value[[q for q in p if q]])) < 1e-9
+
+
+def test_least_squares_are_those_of_all_supports():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        a, b = rng.normal(size=(5, 4)), rng.normal(size=5)
+        gram, target = a.T @ a, a.T @ b
+        x = packing.non_negative(gram, target, np.zeros(4, dtype=bool))
+        values = [0.0]
+        for k in range(1, 5):
+            for on in itertools.combinations(range(4), k):
+                y = np.linalg.solve(gram[np.ix_(on, on)], target[list(on)])
+                if (y >= 0).all():
+                    values.append(y @ gram[np.ix_(on, on)] @ y / 2 - target[list(on)] @ y)
+        assert abs(x @ gram @ x / 2 - target @ x - min(values)) < 1e-9
+
+
+@pytest.mark.parametrize("n, mean, share", [(1000, 5.6, 0.5), (20_000, 5.6, 0.9), (20_000, 4.0, 0.7)])
+def test_plan_is_tight_and_by_patterns(n, mean, share):
     rng = np.random.default_rng(1)
-    lengths = np.clip(rng.lognormal(5.6, 0.9, 20_000).astype(int), 1, 1023)
-    counts = np.bincount(lengths, minlength=1025)
-    n = sum(k for _, k in packing.plan(counts, 1024))
-    assert n <= -(-int(lengths.sum()) // 1024) * 1.005 + 1
+    lengths = np.clip(rng.lognormal(mean, 0.9, n).astype(int), 1, 1023)
+    sequences, taken = _plan_checked(np.bincount(lengths, minlength=1025), 1024)
+    assert sequences <= -(-int(lengths.sum()) // 1024) * 1.005 + 1
+    assert taken >= share * n
 
 
 def test_packing(docs, library):
@@ -133,27 +170,50 @@ def test_packing(docs, library):
 def test_blocks_round_trip(values):
     ids = np.array(values, dtype=np.uint32)
     data, at, out = b"".join(token_files.encode_blocks(ids)), 0, []
+    starts = []
     while at < len(data):
+        starts.append(at)
         block, at = token_files.decode_block(data, at)
         out += block.tolist()
     assert out == values
+    if starts:
+        assert token_files.decode_blocks(data, np.array(starts)).tolist() == values
 
 
-def test_token_file_random_access(tmp_path):
+def test_token_file_random_access(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SPLIT_IDS", 800)
     uri = f"file://{tmp_path}/a.pfor"
     w = token_files.TokenFileWriter(uri)
     ids = np.random.default_rng(1).integers(0, 50_257, 5000).astype("<u4")
-    w.add([1, 2], [ids[:700].tobytes(), b""])
-    w.add([3], [ids[700:].tobytes()])
-    assert w.close() == 5000
+    w.add([1, -(1 << 63)], [ids[:700], ids[:0]])
+    w.add([None], [ids[700:]])
+    splits = w.close()
+    assert splits == [(0, 2, 0, 700), (2, 1, 700, 4300)]
     f = token_files.TokenFile(uri)
-    assert f.read(650, 1300).tolist() == ids[650:1300].tolist()
-    assert [(k, len(t)) for keys, texts in f.documents(500) for k, t in zip(keys, texts)] == [(1, 700), (2, 0), (3, 4300)]
+    for low, high in ((650, 1300), (0, 5000), (4999, 5000), (256, 512), (5, 5)):
+        assert f.read(low, high).tolist() == ids[low:high].tolist()
+    assert [(k, len(t)) for keys, texts in f.documents(ids_at_once=500) for k, t in zip(keys, texts)] == [(1, 700), (-(1 << 63), 0), (None, 4300)]
+    assert [(k, t.tolist()) for keys, texts in f.documents(2, 1, 700) for k, t in zip(keys, texts)] == [(None, ids[700:].tolist())]
     with pytest.raises(ValueError):
         (tmp_path / "b.pfor").write_bytes(b"x" * 100)
         token_files.TokenFile(f"file://{tmp_path}/b.pfor")
 
 
+def test_files_roll_and_equal_keys_are_dealt_out(spark, library):
+    """Many small files in key order; rows of one key and rows without a key go to several parts."""
+    texts = [f"text number {i} " * (i % 7) for i in range(400)]
+    rows = [(None if i < 100 else 5 if i < 200 else i, t) for i, t in enumerate(texts)]
+    ws = Workspace(spark, "rolled")
+    files = ws.save(token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ws.folder("f"), JSON, partitions=8), "list")
+    assert files.select("part").distinct().count() > 5
+    got = token_files.read_token_files(files).orderBy("start").collect()
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()[:-1]]
+    keys = [r["doc_id"] for r in got]
+    assert keys == [None] * 100 + [5] * 100 + list(range(200, 400))
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert sorted(r["ids_crc32"] for r in got) == sorted(map(crc, texts))
+
+
 def test_token_files(spark, docs, library):
     ws = Workspace(spark, "files")
     written = ws.save(token_files.write_token_files(docs, ws.folder("f"), JSON, partitions=3), "list")
@@ -166,7 +226,7 @@ def test_token_files(spark, docs, library):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["a ", "the ", "  ", "漢", " word", "longerword", "▁", " ▁", "\n", "tion ", "x" * 20, "é", "."]), max_size=80))
+@given(st.lists(st.sampled_from(["a ", "the ", "  ", "漢", " word", "longerword", "▁", " ▁", "\n", "\t", "\r\n", "\u00a0", "\u3000", "e\u0301", "tion ", "x" * 20, "é", "."]), max_size=80))
 def test_splicing(parts):
     text = "".join(parts)
     c = token_counts.PieceCounter(MODEL, chunk=60, overlap=8)
