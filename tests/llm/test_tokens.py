@@ -111,7 +111,7 @@ def test_new_patterns_are_the_best_ones(lengths):
     rng = np.random.default_rng(len(lengths))
     value = np.full(31, -np.inf)
     value[lengths] = rng.normal(size=len(lengths))
-    parts, totals = packing.best_patterns(value, 30, 3)
+    parts, totals = packing.best_patterns(value, 30, 1)
     here = sorted(set(lengths))
     for p, t in zip(parts, totals):
         first = int(p[0])
@@ -120,20 +120,27 @@ def test_new_patterns_are_the_best_ones(lengths):
 
 
 def test_least_squares_are_those_of_all_supports():
+    """The active set's minimum against the least over all subsets of the same columns."""
     import itertools
 
     rng = np.random.default_rng(5)
-    for _ in range(30):
-        a, b = rng.normal(size=(5, 4)), rng.normal(size=5)
-        gram, target = a.T @ a, a.T @ b
-        x = packing.non_negative(gram, target, np.zeros(4, dtype=bool))
-        values = [0.0]
-        for k in range(1, 5):
-            for on in itertools.combinations(range(4), k):
-                y = np.linalg.solve(gram[np.ix_(on, on)], target[list(on)])
-                if (y >= 0).all():
-                    values.append(y @ gram[np.ix_(on, on)] @ y / 2 - target[list(on)] @ y)
-        assert abs(x @ gram @ x / 2 - target @ x - min(values)) < 1e-9
+    for _ in range(20):
+        counts = np.zeros(21, dtype=np.int64)
+        counts[rng.choice(np.arange(1, 20), 5, replace=False)] = rng.integers(1, 30, 5)
+        there = np.flatnonzero(counts).tolist()
+        every = [p for k in (1, 2, 3) for p in itertools.combinations_with_replacement(there, k) if sum(p) <= 20]
+        patterns = [every[i] for i in rng.choice(len(every), min(7, len(every)), replace=False)]
+        squares = packing.NonNegative(counts, 20)
+        squares.add(patterns)
+        rest = squares.solve(1e-9)
+        values = [squares.wanted @ squares.wanted]
+        for k in range(1, len(patterns) + 1):
+            for on in itertools.combinations(range(len(patterns)), k):
+                a = squares.columns[list(on)].T
+                y, *_ = np.linalg.lstsq(a, squares.wanted, rcond=None)
+                if (y >= -1e-12).all():
+                    values.append(((squares.wanted - a @ y) ** 2).sum())
+        assert abs(rest @ rest - min(values)) < 1e-6 and (squares.x >= 0).all()
 
 
 @pytest.mark.parametrize("n, mean, share", [(1000, 5.6, 0.5), (20_000, 5.6, 0.9), (20_000, 4.0, 0.7)])
