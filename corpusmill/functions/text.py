@@ -156,17 +156,21 @@ def split_context(c: Column) -> Column:
     """Documents of a context string, split at the first separator of the list that occurs."""
     out = F.array(c)
     for sep in reversed(["---", "Document:", "Source:", "===", "###"]):
-        parts = F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
+        parts = F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x, F.lit(" \t\n\x0b\f\r"))), lambda x: x != "")
         out = F.when(F.contains(c, F.lit(sep)), F.when(F.size(parts) > 0, parts).otherwise(F.array(c))).otherwise(out)
     return out
 
 
 def commit_summary(commits: Column) -> Column:
-    """One line for each commit struct (date, author, message): day, author, first line cut at 80 characters."""
-    first = lambda m: F.split_part(m, F.lit("\n"), F.lit(1))
+    """A heading and a line for each commit struct (date, short_id, author, message): the day, the short id, the
+    first line of the message cut at 80 characters, and the author; a note where there are no commits."""
+    or_ = lambda c, other: F.coalesce(c, F.lit(other))
+    first = lambda m: F.split_part(or_(m, "No message"), F.lit("\n"), F.lit(1))
+    day = lambda x: F.split_part(or_(x["date"], "unknown"), F.lit("T"), F.lit(1))
     short = lambda m: F.when(F.length(first(m)) > 80, F.concat(F.substring(first(m), 1, 77), F.lit("..."))).otherwise(first(m))
-    lines = F.transform(commits, lambda x: F.concat(F.lit("- "), F.split_part(x["date"], F.lit("T"), F.lit(1)), F.lit(" "), x["author"], F.lit(": "), short(x["message"])))
-    return F.array_join(lines, "\n")
+    line = lambda x: F.concat(F.lit("- ["), day(x), F.lit("] "), or_(x["short_id"], "???????"), F.lit(" - "), short(x["message"]), F.lit(" (by "), or_(x["author"], "Unknown"), F.lit(")"))
+    lines = F.array_join(F.concat(F.array(F.lit("Recent commit history:")), F.transform(commits, line)), "\n")
+    return F.when(F.coalesce(F.size(commits), F.lit(0)) > 0, lines).otherwise("No commit history available")
 
 
 def variations_from_text(c: Column, least: int = 10) -> Column:
@@ -176,6 +180,73 @@ def variations_from_text(c: Column, least: int = 10) -> Column:
     return F.array_distinct(F.filter(bare, lambda x: F.length(x) > least))
 
 
+EXPANSION = "variations array<string>, project string, confidence double"
+SUMMARY = "summary string, keywords array<string>, topics array<string>, business_context string, technical_details map<string,string>"
+
+
+def expansion_answer(c: Column) -> Column:
+    """A model's expansion answer as a struct (variations, project, confidence).
+
+    The inside of a fence is parsed as JSON, what is missing beside the variations gets a default, and an
+    answer that isn't JSON is read as lines (``variations_from_text``); null if it has no variations at all.
+    """
+    data = F.from_json(strip_fence(c), EXPANSION)
+    parsed = F.get_json_object(strip_fence(c), "$").isNotNull()
+    from_lines = variations_from_text(c)
+    made = lambda v, p, n: F.struct(v.alias("variations"), p.alias("project"), n.alias("confidence"))
+    good = made(data["variations"], F.coalesce(data["project"], F.lit("general")), F.coalesce(data["confidence"], F.lit(0.5)))
+    plain = made(from_lines, F.lit("general"), F.lit(0.5))
+    return F.when(parsed & data["variations"].isNotNull(), good).when(~parsed & (F.size(from_lines) > 0), plain)
+
+
+def summary_answer(c: Column) -> Column:
+    """A model's summary answer as a struct; null where it isn't JSON with a summary."""
+    data = F.from_json(strip_fence(c), SUMMARY)
+    return F.when(data["summary"].isNotNull(), data)
+
+
+def summary_text(filename: Column, kind: Column, answer: Column) -> Column:
+    """The text of a summary that is embedded: file and type, then what the answer has, under headings."""
+    some = lambda x: F.coalesce(x, F.lit("")) != ""
+    block = lambda name, x: F.when(some(x), F.concat(F.lit(f"{name}:\n"), x, F.lit("\n")))
+    listed = lambda name, x: F.when(F.coalesce(F.size(x), F.lit(0)) > 0, F.concat(F.lit(f"{name}: "), F.array_join(x, ", ")))
+    head = F.concat(F.lit("Document: "), F.coalesce(filename, F.lit("Unknown")), F.lit("\nType: "), F.coalesce(kind, F.lit("Unknown")), F.lit("\n"))
+    parts = F.array(head, block("Summary", answer["summary"]), block("Business Context", answer["business_context"]), listed("Keywords", answer["keywords"]), listed("Topics", answer["topics"]))
+    return F.array_join(F.array_compact(parts), "\n")
+
+
+def flat_details(details: Column) -> Column:
+    """Details of JSON texts as plain strings under ``tech_`` names: lists joined, objects left out."""
+    kept = F.map_filter(details, lambda _, v: ~F.startswith(F.ltrim(F.coalesce(v, F.lit(""))), F.lit("{")))
+    plain = F.transform_values(kept, lambda _, v: F.when(F.startswith(v, F.lit("[")), F.array_join(F.from_json(v, "array<string>"), ", ")).otherwise(v))
+    return F.transform_keys(plain, lambda k, _: F.concat(F.lit("tech_"), k))
+
+
+def fallback_variations(c: Column, most: int = 9) -> Column:
+    """What stands in for a model's variations: templates around the query, distinct, without the query itself."""
+    forms = [c, F.concat(F.lit("What is "), c, F.lit("?")), F.concat(F.lit("Explain "), c), F.concat(F.lit("Define "), c)]
+    forms += [F.replace(c, F.lit(a), F.lit(b)) for a, b in (("?", ""), ("how", "what"), ("is", "are"))] + [F.lower(c), F.lower(F.upper(c))]
+    every = F.array_distinct(F.array(*forms))
+    return F.slice(every, F.lit(2), F.greatest(F.least(F.size(every), F.lit(most)) - 1, F.lit(0)))
+
+
+def cache_key(c: Column) -> Column:
+    return F.md5(F.trim(F.lower(c)))
+
+
+def chunk_identity(chunk_id: Column, other: Column, text: Column) -> Column:
+    """The first that is there: the chunk's id, another id, the md5 of the text."""
+    return F.coalesce(chunk_id, other, F.md5(text))
+
+
+def citation(path: Column, start: Column, end: Column) -> Column:
+    return F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def percentage(share: Column, digits: int = 0) -> Column:
+    return F.format_string(f"%.{digits}f%%", share)
+
+
 def strip_fence(c: Column) -> Column:
     """The inside of a fenced block, for parsing as JSON."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[a-z]*\n", ""), r"\n?```$", ""))

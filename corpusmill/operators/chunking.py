@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Section marks, in the order in which they cut.
 BOUNDARIES = [
@@ -16,6 +18,7 @@ BOUNDARIES = [
 ]
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 _MARK = "\x01"
+_WHITE = " \t\n\x0b\f\r"
 
 
 def fixed(text: Column, size: int, overlap: int) -> Column:
@@ -38,13 +41,13 @@ def sections(text: Column) -> Column:
     """Texts between section marks; a mark stays with what follows it."""
     for b in BOUNDARIES:
         text = F.replace(text, F.lit(b), F.lit(_MARK + b))
-    return F.filter(F.transform(F.split(text, _MARK), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, _MARK), lambda x: F.trim(x, F.lit(_WHITE))), lambda x: x != "")
 
 
 def by_headers(text: Column) -> Column:
     """Parts between headers, rules and blank lines."""
     marked = F.regexp_replace(text, r"\n(#{1,6} |---+\n|\n)", f"{_MARK}$1")
-    return F.filter(F.transform(F.split(marked, _MARK), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(marked, _MARK), lambda x: F.trim(x, F.lit(_WHITE))), lambda x: x != "")
 
 
 def exploded(docs: DataFrame, chunks: Column, key: str = "doc_id") -> DataFrame:
@@ -93,102 +96,101 @@ def split_recursively(text: str, size: int, overlap: int, separators: list[str]
     return out
 
 
-class _Scanner:
-    """Collects lines and emits (content, first line, last line, kind)."""
+class Mark(NamedTuple):
+    """What a line does to the chunk: ``over``: ends the one before it if that has more characters; ``drops``: else
+    drops that; ``kind``: what the chunk is from here on; ``limit``: ends the chunk after it if that has more
+    characters; ``then``: the kind after that."""
 
-    def __init__(self, size: int):
-        self.size, self.out, self.lines, self.first = size, [], [], 1
+    over: int | None = None
+    drops: bool = False
+    kind: str | None = None
+    limit: int | None = None
+    then: str | None = None
 
-    def chars(self) -> int:
-        return sum(map(len, self.lines)) + max(0, len(self.lines) - 1)
 
-    def emit(self, last: int, kind: str, following: int) -> None:
-        self.out.append(("\n".join(self.lines), self.first, last, kind))
-        self.lines, self.first = [], following
+def _first_match(table: Sequence[tuple[str, str]], lines: Sequence[str]) -> list[tuple[str, re.Match] | None]:
+    """For each line the first (class, match) of a pattern table."""
+    tried = [(name, re.compile(pattern, re.IGNORECASE)) for name, pattern in table]
+    return [next(((name, m) for name, p in tried if (m := p.search(line))), None) for line in lines]
 
 
-def scan_python(text: str, size: int, overlap: int) -> list[tuple[str, int, int, str]]:
-    """Classes begin chunks, functions begin one when the size is passed, long bodies flow over with some lines shared."""
-    s, kind = _Scanner(size), "module"
-    lines = text.split("\n")
-    shared = max(1, overlap // 50)
-    for n, line in enumerate(lines, 1):
-        bare = line.lstrip()
-        if re.match(r"class\s+\w", bare):
-            if s.lines and s.chars() > 100:
-                s.emit(n - 1, kind, n)
-            s.lines, s.first, kind = [line], n, "class"
-        elif re.match(r"def\s+\w", bare):
-            if s.lines and s.chars() > size:
-                s.emit(n - 1, kind, n)
-            s.lines.append(line)
-            kind = "function"
+# Line patterns, and sizes under which a class, a statement or a macro doesn't end a chunk.
+PYTHON_LINES = [("class", r"^\s*(?-i:class)\s+\w"), ("function", r"^\s*(?-i:def)\s+\w"), ("decorator", r"^\s*@\w")]
+SQL_STARTS = [("statement", r"^\s*(select|insert|update|delete|create|with|alter|drop)")]
+SQL_ENDS = [("end", r";\s*$|^\s*go\s*$")]
+MACRO_LINES = [("end", r"\{%\s*(?-i:endmacro)\s*%\}"), ("macro", r"\{%\s*(?-i:macro)\s+\w")]
+CLASS_OVER, STATEMENT_OVER, MACRO_OVER = 100, 200, 100
+
+
+def python_marks(lines: Sequence[str], size: int) -> list[Mark]:
+    of = {"class": Mark(over=CLASS_OVER, drops=True, kind="class"), "function": Mark(over=size, kind="function"), "decorator": Mark()}
+    return [of[m[0]] if m else Mark(limit=size) for m in _first_match(PYTHON_LINES, lines)]
+
+
+def sql_marks(lines: Sequence[str], size: int) -> list[Mark]:
+    starts, ends = _first_match(SQL_STARTS, lines), _first_match(SQL_ENDS, lines)
+    return [Mark(over=size if s else None, kind=s[1][1].lower() if s else None, limit=STATEMENT_OVER if e else None) for s, e in zip(starts, ends, strict=True)]
+
+
+def yaml_marks(lines: Sequence[str], size: int) -> list[Mark]:
+    """Lines of a macro have no limit; its last one always ends the chunk."""
+    found = [m[0] if m else None for m in _first_match(MACRO_LINES, lines)]
+    last = itertools.accumulate(found, lambda before, now: now or before, initial="")  # the last mark before each line
+    of = {"macro": Mark(over=MACRO_OVER, kind="macro"), None: Mark(limit=size)}
+    out = []
+    for now, before in zip(found, last):
+        inside = before == "macro"
+        if now == "end":
+            out.append(Mark(limit=-1, then="config") if inside else Mark())
         else:
-            s.lines.append(line)
-            if not re.match(r"@\w", bare) and s.chars() > size:
-                tail = s.lines[-shared:]
-                s.emit(n, kind, n + 1)
-                s.lines, s.first = tail, n + 1 - len(tail)
-    if s.lines:
-        s.emit(len(lines), kind, 0)
-    return s.out
-
-
-def scan_sql(text: str, size: int, overlap: int = 0) -> list[tuple[str, int, int, str]]:
-    """Statements begin chunks when the size is passed; an end of more than 200 characters closes one."""
-    s, kind = _Scanner(size), "sql"
-    lines = text.split("\n")
-    for n, line in enumerate(lines, 1):
-        found = re.match(r"\s*(select|insert|update|delete|create|with|alter|drop)", line, re.IGNORECASE)
-        if found:
-            if s.lines and s.chars() > size:
-                s.emit(n - 1, kind, n)
-            kind = found[1].lower()
-        s.lines.append(line)
-        if (line.strip().endswith(";") or line.strip().upper() == "GO") and s.chars() > 200:
-            s.emit(n, kind, n + 1)
-    if s.lines:
-        s.emit(len(lines), kind, 0)
-    return s.out
-
-
-def scan_yaml(text: str, size: int, overlap: int = 0) -> list[tuple[str, int, int, str]]:
-    """Macro blocks stay whole; outside them the size closes chunks."""
-    s, kind, inside = _Scanner(size), "config", False
+            out.append(Mark() if inside and now is None else of[now])
+    return out
+
+
+def spans(lengths: Sequence[int], marks: Sequence[Mark], kind: str, shared: int = 0) -> list[tuple[int, int, str]]:
+    """(first line, line behind the last, kind) of the chunks that marks and running sizes give; a chunk that its
+    limit ends shares its last lines with the next one."""
+    ends = list(itertools.accumulate((n + 1 for n in lengths), initial=0))
+    chars = lambda a, b: ends[b] - ends[a] - 1
+    out, first = [], 0
+    for n, mark in enumerate(marks):
+        if mark.over is not None and n > first and chars(first, n) > mark.over:
+            out.append((first, n, kind))
+            first = n
+        elif mark.drops:
+            first = n
+        kind = mark.kind or kind
+        if mark.limit is not None and chars(first, n + 1) > mark.limit:
+            out.append((first, n + 1, kind))
+            first, kind = max(first, n + 1 - shared), mark.then or kind
+    return out + ([(first, len(marks), kind)] if first < len(marks) else [])
+
+
+#: Language: marks of its lines, first kind, and characters of overlap for each shared line (0: none is shared).
+LANGUAGES = {"python": (python_marks, "module", 50), "sql": (sql_marks, "sql", 0), "yaml": (yaml_marks, "config", 0)}
+
+
+def scan(language: str, text: str, size: int, overlap: int = 0) -> list[tuple[str, int, int, str]]:
+    """(content, first line, last line, kind) of a file's chunks."""
+    marks, kind, per = LANGUAGES[language]
     lines = text.split("\n")
-    for n, line in enumerate(lines, 1):
-        if re.search(r"\{%\s*macro\s+\w", line):
-            if s.lines and s.chars() > 100:
-                s.emit(n - 1, kind, n)
-            inside, kind = True, "macro"
-        s.lines.append(line)
-        if re.search(r"\{%\s*endmacro\s*%\}", line):
-            if inside:
-                s.emit(n, kind, n + 1)
-                inside, kind = False, "config"
-        elif not inside and s.chars() > size:
-            s.emit(n, kind, n + 1)
-    if s.lines:
-        s.emit(len(lines), kind, 0)
-    return s.out
-
-
-SCANNERS = {"python": scan_python, "sql": scan_sql, "yaml": scan_yaml}
+    found = spans([len(x) for x in lines], marks(lines, size), kind, max(1, overlap // per) if per else 0)
+    return [("\n".join(lines[a:b]), a + 1, b, k) for a, b, k in found]
 
 
 def code_chunks(files: DataFrame, size: int = 3000, overlap: int = 200) -> DataFrame:
     """``files(path, language, text)`` to (path, chunk_index, content, start_line, end_line, chunk_type).
 
-    Other languages get line windows. Scanning is a state machine over lines, hence Python; files are
-    independent and stream through in Arrow batches.
+    Other languages get line windows. Where a chunk ends depends on where the last one did, hence Python;
+    files are independent and stream through in Arrow batches.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, language, text in zip(batch["path"], batch["language"], batch["text"], strict=True):
-                if language in SCANNERS:
-                    found = SCANNERS[language](text or "", size, overlap)
+                if language in LANGUAGES:
+                    found = scan(language, text or "", size, overlap)
                 else:
                     lines, t, o = (text or "").split("\n"), max(2, size // 80), overlap // 80
                     o = min(o, t - 1)
@@ -209,12 +211,33 @@ def recursive_chunks(docs: DataFrame, size: int = 3000, overlap: int = 200, key:
     return docs.select(F.col(key), F.posexplode(split(F.col(text))).alias("chunk_index", "content"))
 
 
+def semantic_chunks(docs: DataFrame, size: int = 3000, overlap: int = 200, key: str = "doc_id", text: str = "text", source: str | None = None) -> DataFrame:
+    """(doc_id, chunk_index, content, section_id, chunk_id): sections, and the parts of those over the size.
+
+    A whole section's id is the source and its number, a part's has the part's number as well.
+    """
+    source_of = F.coalesce(F.col(source).cast("string"), F.lit("unknown")) if source else F.col(key).cast("string")
+    rows = docs.select(F.col(key), source_of.alias("_source"), F.posexplode(sections(F.col(text))).alias("section_id", "section"))
+
+    @F.pandas_udf("array<string>")
+    def split(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: split_recursively(t, size, overlap) if isinstance(t, str) else None)
+
+    large = F.length("section") > size
+    rows = rows.withColumn("_parts", split(F.when(large, F.col("section"))))
+    parts = F.when(F.col("_parts").isNull(), F.array("section")).otherwise(F.col("_parts"))
+    rows = rows.select(key, "_source", "section_id", F.col("_parts").isNotNull().alias("_cut"), F.posexplode(parts).alias("_part", "content"))
+    name = F.concat_ws("_", "_source", "section_id", F.when(F.col("_cut"), F.col("_part").cast("string")))
+    order = Window.partitionBy(key).orderBy("section_id", "_part")
+    return rows.select(key, (F.row_number().over(order) - 1).alias("chunk_index"), "content", "section_id", name.alias("chunk_id"))
+
+
 def chunk(docs: DataFrame, strategy: str, size: int = 3000, overlap: int = 200, most: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Router over strategies: recursive, semantic, fixed; at most ``most`` chunks in all, in document order."""
     if strategy == "recursive":
         out = recursive_chunks(docs, size, overlap, key, text)
     elif strategy == "semantic":
-        out = exploded(docs, sections(F.col(text)), key)
+        out = semantic_chunks(docs, size, overlap, key, text).select(key, "chunk_index", "content")
     elif strategy == "fixed":
         out = exploded(docs, fixed(F.col(text), size, overlap), key)
     else:

@@ -46,12 +46,31 @@ def pack(ranked: DataFrame, budget: int, partial: bool = True, by: str | None =
 
 
 def context_string(rows: DataFrame, by: list[str] = [], separator: str = "\n\n---\n\n") -> DataFrame:  # noqa: B006
-    """One text from ``rows(rank, source, content)``, each document under its number and source."""
-    head = lambda x: F.concat(F.lit("[Document "), x["rank"].cast("string"), F.lit("]"), F.coalesce(F.concat(F.lit("\nSource: "), x["source"]), F.lit("")), F.lit("\n\n"))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", "source", "content"))), lambda x: F.concat(head(x), x["content"]))
+    """One text from ``rows(rank, content)``, each document under its number and, where there are such columns
+    with a value, its source, file (``file_path``) and project (``project_tag``)."""
+    lines = [(label, c) for label, c in (("Source", "source"), ("File", "file_path"), ("Project", "project_tag")) if c in rows.columns]
+    head = lambda x: F.concat(F.lit("[Document "), x["rank"].cast("string"), F.lit("]"), *(F.coalesce(F.concat(F.lit(f"\n{label}: "), x[c]), F.lit("")) for label, c in lines), F.lit("\n\n"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", *(c for _, c in lines), "content"))), lambda x: F.concat(head(x), x["content"]))
     return rows.groupBy(*by).agg(F.array_join(parts, separator).alias("context"))
 
 
+def token_estimate(text: Column) -> Column:
+    """About four characters make a token."""
+    return F.floor(F.length(text) / 4)
+
+
+def truncated(contexts: DataFrame, query: str, max_tokens: int, buffer: int, technical: bool = False, key: str = "id") -> DataFrame:
+    """``contexts(id, context)`` within a token budget: those that fit as they are, of the others the documents that
+    matter most for the query, in that order, until the first that doesn't fit."""
+    budget = (max_tokens - buffer) * 4
+    fits = F.length("context") <= budget
+    parts = contexts.filter(~fits).select(key, F.posexplode(T.split_context(F.col("context"))).alias("at", "text"))
+    order = Window.partitionBy(key).orderBy(F.desc(F.round(relevance(F.col("text"), query, technical), 6)), "at")
+    packed = pack(parts.withColumn("rank", F.row_number().over(order)), budget, by=key)
+    joined = packed.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), SEPARATOR).alias("context"))
+    return contexts.filter(fits).select(key, "context").unionByName(joined)
+
+
 def truncate_lines(text: Column, budget: int) -> Column:
     """Leading lines whose total length stays within the budget."""
     lines = F.split(text, "\n")

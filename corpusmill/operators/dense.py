@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -59,12 +60,37 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", bands: int = 24, bits: int = 8) -> DataFrame:
-    """(a, b, score) of pairs with cosine over ``least``, a < b.
+def vector_classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, first_id): every vector and the smallest id with an equal one."""
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
+    first = rows.groupBy(F.xxhash64("v").alias("h"), "v").agg(F.min("id").alias("first_id"))
+    return rows.withColumn("h", F.xxhash64("v")).join(first, ["h", "v"]).select("id", "first_id")
 
-    Candidates share a band of signs against fixed random planes; at cosine 0.98 a pair shares none
-    of 24 bands of 8 with probability under 1e-9. Candidates are confirmed on the vectors.
+
+def sign_bands(least: float, rows: int, missed: float = 1e-9, most: int = 256) -> tuple[int, int]:
+    """(bits, bands) of sign codes: about as many bits as tell the rows apart, and so many bands that a pair at
+    cosine ``least`` shares none with probability ``missed``; fewer bits where that takes over ``most`` bands."""
+    same = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    bits = min(62, max(8, math.ceil(math.log2(max(2, rows)))))
+    while bits > 1:
+        bands = 1 if same >= 1 else math.ceil(math.log(missed) / math.log1p(-(same**bits)))
+        if bands <= most:
+            return bits, bands
+        bits -= 1
+    raise ValueError(f"no banding for cosine {least}")
+
+
+def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, score) of pairs of different vectors with cosine over ``least``, a < b.
+
+    Equal vectors are one row with the smallest id (``vector_classes`` has the others), so copies don't
+    multiply. Candidates share a band of signs against fixed random planes, see ``sign_bands``; bands get
+    longer with the number of rows, so that unlike vectors share few. Candidates
+    are confirmed on the vectors.
     """
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).filter("v IS NOT NULL AND key IS NOT NULL")
+    rows = rows.groupBy(F.xxhash64("v").alias("h"), "v").agg(F.min("key").alias("key")).select("key", "v")
+    bits, bands = sign_bands(least, rows.count())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,12 +98,13 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
                 continue
             data = np.asarray(batch["v"].flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             planes = np.random.default_rng(20240101).standard_normal((data.shape[1], bands * bits))
-            codes = np.packbits(data @ planes > 0, axis=1).reshape(len(data), bands, -1)
-            codes = sum(codes[:, :, i].astype(np.int64) << (8 * i) for i in range(codes.shape[2])) * bands + np.arange(bands)
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1, dtype=np.int32) * bands), pa.array(codes.ravel()))], names=["key", "codes"])
-
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).filter("v IS NOT NULL")
-    coded = rows.mapInArrow(sign, "key long, codes array<long>").select("key", F.explode("codes").alias("code"))
-    pairs = coded.alias("x").join(coded.alias("y"), (F.col("x.code") == F.col("y.code")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+            weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+            codes = ((data @ planes > 0).reshape(len(data), bands, bits) * weights).sum(axis=2)
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1, dtype=np.int32) * bands), pa.array(codes.ravel())), batch["v"]], names=["key", "codes", "v"])
+
+    coded = rows.mapInArrow(sign, f"key long, codes array<long>, v {vectors.schema[vector].dataType.simpleString()}")
+    banded = coded.select("key", F.posexplode("codes").alias("band", "code"))
+    pairs = banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.code") == F.col("y.code")) & (F.col("x.key") < F.col("y.key")))
+    pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     full = pairs.join(rows.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
     return full.select("a", "b", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("score")).filter(F.col("score") > least)

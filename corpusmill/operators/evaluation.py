@@ -91,6 +91,13 @@ def session_summary(events: DataFrame, by: str = "session") -> DataFrame:
     return events.groupBy(by).agg(F.count("*").alias("n_events"), F.round(F.avg("value"), 6).alias("avg_value"), F.round(F.avg(F.col("failed").cast("double")), 6).alias("error_rate"), F.round(minutes, 6).alias("minutes"))
 
 
+def rated_summary(rows: DataFrame, session: str, rating: str, value: str) -> DataFrame:
+    """Per session and rating: rows, mean value, and the rating's share of the session's rows."""
+    counted = rows.groupBy(session, rating).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    total = F.sum("n").over(Window.partitionBy(session))
+    return counted.withColumn("share", F.round(F.col("n") / total, 6))
+
+
 def feedback_summary(feedback: DataFrame) -> DataFrame:
     return feedback.agg(F.count("*").alias("n"), F.coalesce(F.round(F.avg(F.when(F.col("rating") != 0, F.col("rating"))), 2), F.lit(0.0)).alias("avg_rating"), F.count_if(F.col("helpful")).alias("n_helpful"))
 

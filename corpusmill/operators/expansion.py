@@ -56,16 +56,25 @@ def enhance(query: Column) -> Column:
     return F.when(F.contains(low, F.lit("tumor")) & ~F.contains(low, F.lit("stage")), F.concat(low, F.lit(" staging classification"))).otherwise(low)
 
 
+# Kinds of questions with the words that tell them, in the order in which they are tried.
+ROUTES = {
+    "overview": ["what is", "overview", "explain", "summary"],
+    "specific": ["how to", "step by step", "configure", "setup"],
+    "troubleshoot": ["error", "fix", "troubleshoot", "issue"],
+}
+
+
 def route(query: Column) -> Column:
-    """overview, troubleshoot, lineage, specific or general, by the first list with a word in the query."""
-    low = F.lower(query)
-    lists: list[tuple[str, Sequence[str]]] = [
-        ("lineage", ("upstream", "downstream", "lineage", "depends on")),
-        ("overview", ("overview", "summary", "what is", "explain")),
-        ("troubleshoot", ("error", "fail", "issue", "fix")),
-        ("specific", ("how", "where", "which", "show")),
-    ]
+    """overview, specific, troubleshoot or general, by the first list with a phrase in the query."""
+    out = F.lit("general")
+    for name, words in reversed(ROUTES.items()):
+        out = F.when(T.contains_any(F.lower(query), words), name).otherwise(out)
+    return out
+
+
+def detect_project(query: Column, projects: Sequence[str]) -> Column:
+    """The first project (longest name first) that the query names, or ``general``."""
     out = F.lit("general")
-    for name, words in reversed(lists):
-        out = F.when(T.contains_any(low, words), name).otherwise(out)
+    for p in sorted(projects, key=lambda p: (len(p), p)):
+        out = F.when(F.contains(F.lower(query), F.lit(p.lower())), p).otherwise(out)
     return out

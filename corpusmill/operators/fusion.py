@@ -35,10 +35,10 @@ def reciprocal_rank_fusion(lists: DataFrame, c: int = 60) -> DataFrame:
     return lists.groupBy("doc_id").agg(F.round(F.sum(F.col("weight") / (c + F.col("rank"))), 6).alias("fused"))
 
 
-def frequency_relevance(hits: DataFrame, least: int = 2, k: int = 10, method: str = "frequency", key: str = "chunk_id") -> DataFrame:
+def frequency_relevance(hits: DataFrame, least: int = 2, k: int | None = 10, method: str = "frequency", key: str = "chunk_id") -> DataFrame:
     """Rows (query_index, chunk_id, score) to chunks found by at least ``least`` queries, best first.
 
-    The final score is frequency times mean score, or the largest or mean one.
+    The final score is frequency times mean score, or the largest or mean one; without ``k`` all are returned.
     """
     final = {"max": F.max("score"), "average": F.avg("score")}.get(method, F.count("*") * F.avg("score"))
     found = hits.groupBy(key).agg(
@@ -47,7 +47,8 @@ def frequency_relevance(hits: DataFrame, least: int = 2, k: int = 10, method: st
         F.round(final, 9).alias("final_score"),
         F.sort_array(F.collect_list("query_index")).alias("query_indices"),
     )
-    return found.filter(F.col("frequency") >= least).orderBy(F.desc("final_score"), key).limit(k)
+    found = found.filter(F.col("frequency") >= least)
+    return found if k is None else found.orderBy(F.desc("final_score"), key).limit(k)
 
 
 def above(aggregated: DataFrame, frequency: int | None = None, average: float | None = None, final: float | None = None) -> DataFrame:

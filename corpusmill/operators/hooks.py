@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import lexical
+from corpusmill.operators import context, lexical
 
 WHITE = " \n\t\r"
 # Labels that models put before an answer.
@@ -55,10 +55,11 @@ def rerank(rows: DataFrame, query: str, top_k: int, threshold: float = 0.0, mode
     return (scored.filter(F.col("score") >= threshold) if threshold > 0 else scored).orderBy(F.desc("score"), key).limit(top_k)
 
 
-def summarise(docs: DataFrame, text: str = "text", model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
-    """Add a summary: a model's, or the first 300 characters."""
+def summarise(docs: DataFrame, text: str = "text", model: Callable[[list[str]], list[str]] | None = None, key: str = "doc_id", k: int = 10) -> DataFrame:
+    """Add a summary: a model's, or the ``k`` most frequent words of the whole text, most frequent first."""
     if model is None:
-        return docs.withColumn("summary", T.preview(F.col(text), 300))
+        found = context.keywords(docs, k, key, text).groupBy(F.col(key).alias("_key")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ", ").alias("summary"))
+        return docs.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:

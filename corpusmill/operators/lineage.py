@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from corpusmill.workspace import Workspace
+
+#: Frontiers that are looked up one by one before the older ones are written as one.
+FRONTS = 8
 
 
 def neighbours(edges: DataFrame, start: DataFrame, up: bool = False) -> DataFrame:
@@ -13,27 +18,36 @@ def neighbours(edges: DataFrame, start: DataFrame, up: bool = False) -> DataFram
     return edges.join(start, F.col(a) == F.col("start")).select("start", F.col(b).alias("node"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, up: bool = False, most: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, up: bool = False, most: int | None = None, ws: Workspace | None = None) -> DataFrame:
     """(start, node, depth): everything reachable, with the least number of steps.
 
-    The frontier grows by one join a round and leaves visited nodes behind, so cycles end;
-    with ``most``, a frontier left after so many rounds is an error. The
-    visited table is checkpointed each round where a checkpoint folder is set.
+    The frontier grows by one join a round and leaves visited nodes behind, so cycles end; with ``most``,
+    a frontier left after so many rounds is an error. Each round writes its own frontier and nothing else;
+    visited nodes are the frontiers so far, compacted as they grow in number.
     """
+    ws = ws or Workspace(edges.sparkSession, "reach")
     a, b = ("dst", "src") if up else ("src", "dst")
-    steps = edges.select(F.col(a).alias("_from"), F.col(b).alias("node")).distinct()
-    cut = (lambda d: d.checkpoint()) if start.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda d: d.persist())
-    seen = cut(start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
-    front = seen
+    steps = ws.save(edges.select(F.col(a).alias("_from"), F.col(b).alias("node")).distinct(), "steps")
+    seen = [ws.save(start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "front0")]
     for depth in itertools.count(1):
-        step = front.select("start", F.col("node").alias("_from")).join(steps, "_from").select("start", "node").distinct()
-        front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = seen[-1].select("start", F.col("node").alias("_from")).join(steps, "_from").select("start", "node").distinct()
+        for part in seen:
+            step = step.join(part.select("start", "node"), ["start", "node"], "left_anti")
+        front = ws.save(step.withColumn("depth", F.lit(depth)), f"front{depth}")
         if front.isEmpty():
             break
         if most is not None and depth > most:
             raise ValueError(f"nodes more than {most} steps from a start")
-        seen = cut(seen.unionByName(front))
-    return seen.filter("depth > 0")
+        if len(seen) >= FRONTS:
+            old = seen[0]
+            for part in seen[1:-1]:
+                old = old.unionByName(part)
+            seen = [ws.save(old, f"seen{depth}"), seen[-1]]
+        seen.append(front)
+    found = seen[0]
+    for part in seen[1:]:
+        found = found.unionByName(part)
+    return found.filter("depth > 0")
 
 
 def traversed(edges: DataFrame, start: DataFrame, up: bool = False) -> DataFrame:
@@ -55,6 +69,27 @@ def node_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(out, "id", "left").join(into, "id", "left").select("id", F.coalesce("direct_up", F.lit(0)).alias("direct_up"), F.coalesce("direct_down", F.lit(0)).alias("direct_down"))
 
 
+def node_statistics(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, model: str = "model", test: str = "test", source: str = "source") -> DataFrame:
+    """Eight counts of each row of ``wanted(id)``: direct and total on both sides, and of some kinds among the totals.
+
+    Totals count the edges passed on the way, so a node that several paths reach counts as often as it is entered.
+    """
+    start = wanted.select(F.col("id").alias("start"))
+    kinds = nodes.select(F.col("id").alias("node"), "type")
+
+    def side(up: bool, tag: str, counted: dict[str, str]) -> DataFrame:
+        direct = neighbours(edges, start, up).groupBy("start").agg(F.count("*").alias(f"direct_{tag}"))
+        every = traversed(edges, start, up).join(kinds, "node", "left")
+        total = every.groupBy("start").agg(F.count("*").alias(f"total_{tag}"), *(F.count_if(F.col("type") == k).alias(n) for n, k in counted.items()))
+        return direct.join(total, "start", "full_outer")
+
+    down = side(False, "downstream", {"downstream_models": model, "downstream_tests": test})
+    up = side(True, "upstream", {"upstream_models": model, "upstream_sources": source})
+    names = ["direct_downstream", "direct_upstream", "total_downstream", "total_upstream", "downstream_models", "downstream_tests", "upstream_models", "upstream_sources"]
+    joined = start.join(down, "start", "left").join(up, "start", "left")
+    return joined.select(F.col("start").alias("id"), *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+
+
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(type, n_nodes, n_edges): nodes of each type and the edges that leave them."""
     counted = nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("e")), "id", "left")

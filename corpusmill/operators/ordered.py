@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -30,13 +33,28 @@ def trend(rows: DataFrame, by: str, order: list[Column], value: str) -> DataFram
 def cooldown(alerts: DataFrame, by: str, seconds: Column, gap: int) -> DataFrame:
     """(by, second): alerts kept when none was kept in the ``gap`` seconds before: a greedy fold in time order.
 
-    A key's times are sorted and folded in one row; times are split by day first only in the sense
-    that equal times count once.
+    After a quiet time of ``gap`` the next alert is kept whatever was before, so such runs are folded one by
+    one and a key's runs go to many tasks. Rows of a run stream through in order; its only state is the last
+    time kept.
     """
-    times = alerts.groupBy(by).agg(F.sort_array(F.collect_set(seconds)).alias("t"))
-    state = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda s, x: F.when(s["last"].isNull() | (x - s["last"] >= gap), F.struct(x.alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
-    return times.select(by, F.explode(F.aggregate("t", state, step, lambda s: s["kept"])).alias("second"))
+    times = alerts.select(F.col(by).alias("_by"), seconds.cast("long").alias("second")).distinct()
+    kind = alerts.schema[by].dataType.simpleString()
+    before = F.lag("second").over(Window.partitionBy("_by").orderBy("second"))
+    runs = times.withColumn("_new", (before.isNull() | (F.col("second") - before >= gap)).cast("long"))
+    runs = runs.withColumn("_run", F.sum("_new").over(Window.partitionBy("_by").orderBy("second")))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
+        for batch in batches:
+            kept = []
+            for i, (key, run, t) in enumerate(zip(*(batch[c].to_pylist() for c in ("_by", "_run", "second")), strict=True)):
+                if held != (key, run) or last is None or t - last >= gap:
+                    held, last = (key, run), t
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(kept, pa.int64())) for c in ("_by", "second")], names=["_by", "second"])
+
+    dealt = runs.select("_by", "_run", "second").repartition("_by", "_run").sortWithinPartitions("_by", "_run", "second")
+    return dealt.mapInArrow(fold, f"_by {kind}, second long").select(F.col("_by").alias(by), "second")
 
 
 def tumbling(events: DataFrame, width: str, by: str = "event_type", ts: str = "ts") -> DataFrame:

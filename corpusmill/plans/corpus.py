@@ -143,7 +143,7 @@ def chunk_lines(spark, sf):
 def _sections_sql(expr="text"):
     for b in chunking.BOUNDARIES:
         expr = f"replace({expr}, '{b}', chr(1) || '{b}')"
-    return f"list_filter(list_transform(string_split({expr}, chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"list_filter(list_transform(string_split({expr}, chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
 
 
 _MARKED = "replace(replace(text, 'The', 'Results'), 'Die', '## Overview')"
@@ -153,10 +153,16 @@ _MARKED = "replace(replace(text, 'The', 'Results'), 'Die', '## Overview')"
 def chunk_semantic(spark, sf):
     marked = F.replace(F.replace("text", F.lit("The"), F.lit("Results")), F.lit("Die"), F.lit("## Overview"))
     d = table(spark, sf, "documents").filter("text IS NOT NULL").withColumn("text", marked)
-    return chunking.chunk(d, "semantic").select("doc_id", F.md5("content").alias("digest"), "chunk_index")
+    return chunking.exploded(d, chunking.sections(F.col("text"))).select("doc_id", F.md5("content").alias("digest"), "chunk_index")
 
 
-@query("chunk_headers", r"SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, '. ', chr(10) || '# '), '\n(#{1,6} |---+\n|\n)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)")
+@query("chunk_semantic_sized")
+def chunk_semantic_sized(spark, sf):
+    """Sections over the size in parts; tests hold them against the splitter."""
+    return chunking.semantic_chunks(table(spark, sf, "documents"), 1000, 100, source="source")
+
+
+@query("chunk_headers", r"SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, '. ', chr(10) || '# '), '\n(#{1,6} |---+\n|\n)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)")
 def chunk_headers(spark, sf):
     parts = chunking.by_headers(F.replace("text", F.lit(". "), F.lit("\n# ")))
     return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.size(parts).alias("n"), F.md5(F.array_join(parts, "|")).alias("digest"))

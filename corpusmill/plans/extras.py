@@ -61,10 +61,10 @@ def file_kinds(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.file_kind(path).alias("kind"), T.language_of(path).alias("language"))
 
 
-@query("commit_summary", "SELECT o_custkey, string_agg('- ' || strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderpriority || ': ' || o_orderstatus, chr(10) ORDER BY o_orderdate DESC, o_orderkey) AS summary FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5) GROUP BY o_custkey")
+@query("commit_summary", "SELECT o_custkey, 'Recent commit history:' || chr(10) || string_agg('- [' || strftime(o_orderdate, '%Y-%m-%d') || '] ' || o_orderkey || ' - ' || o_orderstatus || ' (by ' || o_orderpriority || ')', chr(10) ORDER BY o_orderdate DESC, o_orderkey) AS summary FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5) GROUP BY o_custkey")
 def commit_summary(spark, sf):
     top = K.top_per_group(table(spark, sf, "orders"), "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], 5)
-    commit = F.struct("rank", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("author"), F.concat("o_orderstatus", F.lit("\nbody")).alias("message"))
+    commit = F.struct("rank", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm").alias("date"), F.col("o_orderkey").cast("string").alias("short_id"), F.col("o_orderpriority").alias("author"), F.concat("o_orderstatus", F.lit("\nbody")).alias("message"))
     return top.groupBy("o_custkey").agg(F.sort_array(F.collect_list(commit)).alias("c")).select("o_custkey", T.commit_summary(F.col("c")).alias("summary"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T, vectors as V
-from corpusmill.operators import boosting, context, dense, expansion, fusion, lexical
+from corpusmill.operators import boosting, context, dense, expansion, fusion, index, lexical
 from corpusmill.plans.registry import query, table
+from corpusmill.workspace import Workspace
 
 ASK = "the tion of and inthe treatment with select"
 WORDS = ASK.split()
@@ -27,9 +28,31 @@ bm AS (SELECT doc_id, round(sum(qn * CASE WHEN idf < 0 THEN 0.25 * m ELSE idf EN
   FROM tf JOIN q USING (term) JOIN idf USING (term) JOIN len USING (doc_id), mean, av GROUP BY doc_id)"""
 
 
+_INDEXES: dict[tuple, index.KeywordIndex] = {}
+
+
+def keyword_index(spark, sf):
+    """The index of a folder's documents: built by the first query of an application that needs it, and used by all
+    that follow as long as the folder has the same files."""
+    docs = table(spark, sf, "documents")
+    files = (spark.sparkContext.applicationId, sf, tuple(sorted(docs.inputFiles())))
+    if files not in _INDEXES:
+        _INDEXES[files] = index.build_index(docs, Workspace(spark, "keyword-index").path)
+    return _INDEXES[files]
+
+
+@query("bm25_index", r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL), p AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(t) AS term FROM w))
+SELECT (SELECT count(*) FROM documents)::BIGINT AS n_docs, round((SELECT avg(len(t)) FROM w), 6) AS avgdl, (SELECT count(DISTINCT term) FROM p)::BIGINT AS n_terms, (SELECT count(*) FROM p)::BIGINT AS n_postings""")
+def bm25_index(spark, sf):
+    """Builds the index; the queries below read it."""
+    found = keyword_index(spark, sf)
+    counts = found.terms().agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return found.figures().crossJoin(counts).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings")  # one row each
+
+
 @query("bm25_topk", f"WITH {BM25_SQL.replace('__DROP__', '')} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf):
-    return lexical.top_k(lexical.bm25(table(spark, sf, "documents"), ASK), 20)
+    return lexical.top_k(keyword_index(spark, sf).bm25(ASK), 20)
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -37,12 +60,13 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 @query("bm25_stopwords", f"WITH {BM25_SQL.replace('__DROP__', f'AND x NOT IN ({_STOP})')} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_stopwords(spark, sf):
+    """Straight from the texts, without an index."""
     return lexical.top_k(lexical.bm25(table(spark, sf, "documents"), ASK, drop=T.STOP_WORDS), 20)
 
 
-@query("term_statistics", f"WITH {BM25_SQL.replace('__DROP__', '')} SELECT term, df, round(idf, 6) AS idf FROM df JOIN idf USING (term) WHERE df >= 5")
+@query("term_statistics", r"SELECT term, df, round(ln(n - df + 0.5) - ln(df + 0.5), 6) AS idf FROM (SELECT term, count(*)::BIGINT AS df FROM (SELECT unnest(list_distinct(string_split_regex(lower(text), '\s+'))) AS term FROM documents) WHERE term <> '' GROUP BY term HAVING count(*) >= 5), (SELECT count(*) AS n FROM documents)")
 def term_statistics(spark, sf):
-    return lexical.term_statistics(table(spark, sf, "documents")).filter("df >= 5").withColumn("idf", F.round("idf", 6))
+    return keyword_index(spark, sf).terms().filter("df >= 5").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("postings_top", "SELECT term, sum(tf)::BIGINT AS n, count(*)::BIGINT AS docs FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM documents) GROUP BY ALL) GROUP BY term HAVING count(*) >= 10")
@@ -131,7 +155,7 @@ def freq_relevance(spark, sf):
 FROM multi GROUP BY vec_id HAVING count(*) >= 2 AND round(avg(score), 9) >= 0.2 ORDER BY final_score DESC, chunk_id LIMIT 10""")
 def freq_relevance_max(spark, sf):
     hits = _multi(spark, sf).withColumnRenamed("vec_id", "chunk_id")
-    return fusion.above(fusion.frequency_relevance(hits, k=1_000_000, method="max"), average=0.2).orderBy(F.desc("final_score"), "chunk_id").limit(10).transform(_joined)
+    return fusion.above(fusion.frequency_relevance(hits, k=None, method="max"), average=0.2).orderBy(F.desc("final_score"), "chunk_id").limit(10).transform(_joined)
 
 
 @query("freq_histogram", f"WITH {_MULTI} SELECT frequency, count(*)::BIGINT AS n FROM (SELECT count(*)::BIGINT AS frequency FROM multi GROUP BY vec_id) GROUP BY frequency")
@@ -152,11 +176,29 @@ def aggregation_stats(spark, sf):
     return fusion.aggregation_stats(fusion.frequency_relevance(_multi(spark, sf).withColumnRenamed("vec_id", "chunk_id")))
 
 
-@query("semantic_dups", f"SELECT a, b, score FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_COS.format('x.embedding', 'y.embedding')} AS score FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE score > 0.98")
+def _near_sql(vectors: str) -> str:
+    return f"WITH c AS (SELECT embedding, min(vec_id) AS vec_id FROM ({vectors}) GROUP BY embedding) SELECT a, b, score FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_COS.format('x.embedding', 'y.embedding')} AS score FROM c x JOIN c y ON x.vec_id < y.vec_id) WHERE score > 0.98"
+
+
+@query("semantic_dups", _near_sql("SELECT vec_id, embedding FROM embeddings"))
 def semantic_dups(spark, sf):
     return dense.similar_pairs(table(spark, sf, "embeddings"), 0.98)
 
 
+@query("semantic_dup_classes", "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY embedding) AS first_id FROM embeddings")
+def semantic_dup_classes(spark, sf):
+    return dense.vector_classes(table(spark, sf, "embeddings"))
+
+
+@query("semantic_dups_planted", _near_sql("SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x: x::DOUBLE + CASE WHEN x > 0.1 THEN 0.02 ELSE 0 END) FROM embeddings UNION ALL SELECT vec_id + 2000000000, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 3 = 0"))
+def semantic_dups_planted(spark, sf):
+    """Every vector beside one that is near it, and every third beside an equal one."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    near = e.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.transform("embedding", lambda x: x + F.when(x > 0.1, 0.02).otherwise(0.0)).alias("embedding"))
+    equal = e.filter("vec_id % 3 = 0").select((F.col("vec_id") + 2_000_000_000).alias("vec_id"), "embedding")
+    return dense.similar_pairs(e.unionByName(near).unionByName(equal), 0.98)
+
+
 @query("embedding_validation", "SELECT vec_id, len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) <= 1 AS ok FROM embeddings")
 def embedding_validation(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", V.valid(F.col("embedding"), 64).alias("ok"))
@@ -175,7 +217,7 @@ def _sem(spark, sf, k=K):
 
 
 def _kw(spark, sf, k=K):
-    return lexical.top_k(lexical.bm25(table(spark, sf, "documents"), ASK), k)
+    return lexical.top_k(keyword_index(spark, sf).bm25(ASK), k)
 
 
 @query("hybrid_fusion_rank", f"WITH {_LISTS} SELECT doc_id, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(k, 0), 6) AS fused FROM semp FULL JOIN kwp USING (doc_id) ORDER BY fused DESC, doc_id LIMIT 20")
@@ -280,10 +322,12 @@ def model_boost(spark, sf):
     return table(spark, sf, "documents").select("doc_id", boosting.model_boost(name, "logic of qm-1").alias("boost"))
 
 
-@query("code_boost", f"WITH {_LISTS} SELECT doc_id, round(CASE WHEN contains(lower(text), 'v1.2.3') OR contains(lower(text), 'err-500') THEN score * 1.5 ELSE score END, 6) AS score FROM kw JOIN documents USING (doc_id)")
+@query("code_boost", "SELECT doc_id, round((doc_id % 10 + 1) * CASE WHEN doc_id % 7 IN (3, 5) THEN 1.5 ELSE 1.0 END, 6)::DOUBLE AS score FROM documents WHERE text IS NOT NULL AND NOT contains(text, '60.1.7') ")
 def code_boost(spark, sf):
-    rows = table(spark, sf, "documents").join(F.broadcast(_kw(spark, sf)), "doc_id")
-    return rows.select("doc_id", F.round(boosting.code_boost(F.col("text"), F.col("score"), "fix err-500 in v1.2.3"), 6).alias("score"))
+    """Texts with a code each, of which the question names two."""
+    rows = table(spark, sf, "documents").filter("text IS NOT NULL AND NOT contains(text, '60.1.7')")
+    coded = F.concat("text", F.lit(" see ERR-"), (500 + F.col("doc_id") % 7).cast("string"))
+    return rows.select("doc_id", F.round(boosting.code_boost(coded, (F.col("doc_id") % 10 + 1).cast("double"), "fix err-503 or Err-505 in 60.1.7"), 6).alias("score"))
 
 
 _PIPELINE = f"""WITH {_LISTS},
@@ -320,10 +364,12 @@ def query_expansion(spark, sf):
     return expansion.expanded(spark, "  What is  the LOGIC of table QM1 ")
 
 
-@query("query_routes", f"""SELECT item_id, CASE WHEN {_any(["upstream", "downstream", "lineage", "depends on"])} THEN 'lineage' WHEN {_any(["overview", "summary", "what is", "explain"])} THEN 'overview' WHEN {_any(["error", "fail", "issue", "fix"])} THEN 'troubleshoot' WHEN {_any(["how", "where", "which", "show"])} THEN 'specific' ELSE 'general' END AS route,
-{_any(T.SQL_KEYWORDS)} AS is_sql FROM benchmark""")
+@query("query_routes", f"""SELECT item_id, CASE WHEN regexp_matches(text, '(?i)what is|overview|explain|summary') THEN 'overview' WHEN regexp_matches(text, '(?i)how to|step by step|configure|setup') THEN 'specific' WHEN regexp_matches(text, '(?i)error|fix|troubleshoot|issue') THEN 'troubleshoot' ELSE 'general' END AS route,
+{_any(T.SQL_KEYWORDS)} AS is_sql FROM (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'How to fix ' WHEN 1 THEN 'What is the issue of ' WHEN 2 THEN 'Troubleshoot ' ELSE '' END || text AS text FROM benchmark)""")
 def query_routes(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", expansion.route(F.col("text")).alias("route"), T.is_sql_related(F.col("text")).alias("is_sql"))
+    asked = F.when(F.col("item_id") % 5 == 0, "How to fix ").when(F.col("item_id") % 5 == 1, "What is the issue of ").when(F.col("item_id") % 5 == 2, "Troubleshoot ").otherwise("")
+    rows = table(spark, sf, "benchmark").select("item_id", F.concat(asked, "text").alias("text"))
+    return rows.select("item_id", expansion.route(F.col("text")).alias("route"), T.is_sql_related(F.col("text")).alias("is_sql"))
 
 
 @query("normalised_queries", r"SELECT item_id, substring(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 1000) AS q, length(substring(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 1000)) >= 3 AS ok, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM benchmark")
@@ -346,7 +392,8 @@ def context_pack(spark, sf):
     return context.pack(ranked, 60000).select("doc_id", "rank", F.md5("content").alias("digest"))
 
 
-@query("context_string", f"WITH {_LISTS} SELECT md5(string_agg('[Document ' || rank || ']' || chr(10) || 'Source: ' || source || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM kwp JOIN documents USING (doc_id) WHERE rank <= 5")
+@query("context_string", f"WITH {_LISTS} SELECT md5(string_agg('[Document ' || rank || ']' || chr(10) || 'Source: ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'File: docs/' || doc_id ELSE '' END || chr(10) || 'Project: ' || lang || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM kwp JOIN documents USING (doc_id) WHERE rank <= 5")
 def context_string(spark, sf):
     rows = table(spark, sf, "documents").join(F.broadcast(_ranked(_kw(spark, sf)).filter("rank <= 5")), "doc_id")  # five rows
-    return context.context_string(rows.select("rank", "source", F.col("text").alias("content"))).select(F.md5("context").alias("digest"))
+    file = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("docs/"), "doc_id"))
+    return context.context_string(rows.select("rank", "source", file.alias("file_path"), F.col("lang").alias("project_tag"), F.col("text").alias("content"))).select(F.md5("context").alias("digest"))

@@ -55,7 +55,7 @@ def repo_files(spark: SparkSession, landed: str, include: Sequence[str] = (), ex
     raw = raw.filter(P.path_allowed(F.col("file_path"), include, exclude) & P.type_allowed(F.col("file_path"), types))
     ordered = F.slice(F.reverse(F.array_sort(F.transform("commits", lambda c: F.struct(c["author_date"].alias("d"), c.alias("c"))))), 1, history)
     raw = raw.withColumn("commits", F.transform(ordered, lambda x: x["c"]))
-    brief = F.transform("commits", lambda c: F.struct(c["author_date"].alias("date"), c["author_name"].alias("author"), c["message"].alias("message")))
+    brief = F.transform("commits", lambda c: F.struct(c["author_date"].alias("date"), c["short_id"].alias("short_id"), c["author_name"].alias("author"), c["message"].alias("message")))
     language = X.language_of(F.col("file_path"))
     return raw.select(
         F.col("file_path").alias("doc_id"),

@@ -55,14 +55,98 @@ def test_recursive_split_sizes():
     assert chunking.split_recursively("  ", 10, 2) == []
 
 
-def test_code_scanners():
-    python = "import os\n\nclass A:\n" + "\n".join(f"    x{i} = {i}" for i in range(40)) + "\n\n@deco\ndef f():\n    pass"
-    found = chunking.scan_python(python, 200, 100)
-    assert found[0][3] in ("module", "class") and found[-1][2] == len(python.split("\n"))
+def test_code_chunks_end_where_lines_say():
+    """Expected line spans written down by hand from the rules."""
+    spans = lambda language, text, size, overlap=0: [(a, b, k) for _, a, b, k in chunking.scan(language, text, size, overlap)]
+    long = "\n".join(f"    x{i:02} = {i:02}" for i in range(10))  # 119 characters with its line ends
+    python = f"import os\nclass A:\n{long}\nclass B:\n    def f(self):\n        pass\n@deco\ndef g():\n    pass"
+    assert spans("python", python, 1000) == [(2, 12, "class"), (13, 18, "function")]  # the short head before a class goes
+    assert spans("python", python, 60, 100)[:2] == [(2, 7, "class"), (6, 10, "class")]  # 73 characters with the fifth line below the class, two lines shared
     sql = "SELECT 1;\n" + "SELECT " + "a, " * 100 + "b FROM t;\nDROP TABLE t"
-    assert [k for _, _, _, k in chunking.scan_sql(sql, 50)] == ["select", "drop"]
+    assert spans("sql", sql, 50) == [(1, 2, "select"), (3, 3, "drop")]
+    assert spans("sql", "-- c\nupdate t\nset x = 1\ngo", 5) == [(1, 4, "update")]
     yaml = "a: 1\n{% macro m(x) %}\nbody\n{% endmacro %}\nb: 2"
-    assert [k for *_, k in chunking.scan_yaml(yaml, 1000)] == ["macro", "config"]
+    assert spans("yaml", yaml, 1000) == [(1, 4, "macro"), (5, 5, "config")]
+    assert spans("yaml", "k: " + "v" * 120 + "\n" + yaml, 1000)[:2] == [(1, 2, "config"), (3, 5, "macro")]
+    assert spans("yaml", "a: 1\nb: 2\nc: 3\n{% endmacro %}", 8) == [(1, 2, "config"), (3, 4, "config")]
+    for language in chunking.LANGUAGES:
+        assert [c for c, *_ in chunking.scan(language, "", 10)] == [""]
+
+
+def test_semantic_chunks_split_large_sections(spark):
+    text = "intro words\n## Overview\n" + "a sentence. " * 40 + "\nSUMMARY: short"
+    rows = chunking.semantic_chunks(spark.createDataFrame([(1, text, "s"), (2, None, "t")], "doc_id long, text string, source string"), 100, 20, source="source").orderBy("chunk_index").collect()
+    head, middle, last = [s.strip() for s in (text[:12], text[12 : text.index("SUMMARY")], text[text.index("SUMMARY") :])]
+    parts = chunking.split_recursively(middle, 100, 20)
+    assert [r["content"] for r in rows] == [head, *parts, last]
+    assert [r["chunk_id"] for r in rows] == ["s_0", *(f"s_1_{j}" for j in range(len(parts))), "s_2"]
+    assert [r["chunk_index"] for r in rows] == list(range(len(rows)))
+
+
+def test_commit_summary_and_routes(spark):
+    one = spark.createDataFrame([(1,)], "i int")
+    commits = "array(named_struct('date', '2024-01-02T03:04', 'short_id', 'abc1234', 'author', 'x', 'message', 'first\nbody'), named_struct('date', null, 'short_id', null, 'author', null, 'message', null))"
+    got = one.select(T.commit_summary(F.expr(commits))).first()[0]
+    assert got == "Recent commit history:\n- [2024-01-02] abc1234 - first (by x)\n- [unknown] ??????? - No message (by Unknown)"
+    assert one.select(T.commit_summary(F.expr(f"slice({commits}, 1, 0)"))).first()[0] == "No commit history available"
+    asked = {"What is X": "overview", "How to fix it": "specific", "troubleshoot the setup": "specific", "an ERROR here": "troubleshoot", "how many": "general", "it fails": "general"}
+    rows = spark.createDataFrame(list(asked.items()), "q string, want string")
+    assert rows.filter(expansion.route(F.col("q")) != F.col("want")).count() == 0
+    assert rows.filter(expansion.detect_project(F.col("q"), ["err", "error", "fix"]) == "error").count() == 1
+
+
+def test_context_string_has_what_there_is(spark):
+    rows = spark.createDataFrame([(2, "b", None, "p", "two"), (1, "a", "f.py", None, "one")], "rank int, source string, file_path string, project_tag string, content string")
+    assert context.context_string(rows).first()[0] == "[Document 1]\nSource: a\nFile: f.py\n\none\n\n---\n\n[Document 2]\nSource: b\nProject: p\n\ntwo"
+
+
+def test_truncated_contexts(spark):
+    long = "\n---\n".join(["word " * 60, "needle needle " + "x" * 200, "needle " + "y" * 700])
+    rows = spark.createDataFrame([(1, "short"), (2, long)], "id int, context string")
+    got = {r["id"]: r["context"] for r in context.truncated(rows, "needle", 300, 100).collect()}
+    assert got[1] == "short" and got[2].startswith("needle needle x") and len(got[2]) <= 800 + len(context.CUT)
+
+
+def test_model_answers(spark):
+    cases = ['```json\n{"variations": ["a", "b"], "project": "p", "confidence": 0.9}\n```', '{"variations": []}', '{"project": "p"}', "1. a longer line\n- another one here", "no"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, c string").select("i", T.expansion_answer(F.col("c")).alias("a")).orderBy("i").collect()
+    assert [r["a"] and (r["a"]["variations"], r["a"]["project"], r["a"]["confidence"]) for r in rows] == [(["a", "b"], "p", 0.9), ([], "general", 0.5), None, (["a longer line", "another one here"], "general", 0.5), None]
+
+
+def test_reachable_on_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "src int, dst int")
+    got = lineage.reachable(edges, spark.createDataFrame([(0,), (25,)], "start int"))
+    assert values(got, "start", "node", "depth") == sorted([(0, i, i) for i in range(1, 31)] + [(25, i, i - 25) for i in range(26, 31)])
+
+
+def test_similar_vectors_are_all_pairs(spark):
+    import numpy as np
+
+    from corpusmill.operators import dense
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 16))
+    data = np.concatenate([base, base + rng.normal(scale=0.12, size=base.shape), base[:20]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    unit = data[:120] / np.linalg.norm(data[:120], axis=1, keepdims=True)
+    for least in (0.9, 0.98):
+        want = {(i, j) for i in range(120) for j in range(i + 1, 120) if round(float(unit[i] @ unit[j]), 6) > least}
+        assert {(r["a"], r["b"]) for r in dense.similar_pairs(rows, least).collect()} == want and len(want) > 10
+    assert dict(values(dense.vector_classes(rows), "id", "first_id"))[125] == 5
+    for n in (100, 10**6, 10**10):
+        bits, bands = dense.sign_bands(0.98, n)
+        assert bits >= min(30, np.log2(n)) and bands <= 256
+
+
+def test_index_is_the_plain_scoring(spark, tmp_path):
+    from corpusmill.operators import index, lexical
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(1, 3 + i % 9)) if i % 7 else None) for i in range(80)], "doc_id long, text string")
+    found = index.build_index(docs, f"file://{tmp_path}/index")
+    for q in ("w1 w2 w1", "w0", "nothing here", ""):
+        assert values(found.bm25(q), "doc_id", "score") == (values(lexical.bm25(docs, q), "doc_id", "score") if q else [])
+    plan = found.bm25("w1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan
 
 
 def test_metrics(spark):
@@ -148,7 +232,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "repo.json").write_text(json.dumps(landed) + "\n")
     row = readers.repo_files(spark, f"file://{tmp_path}/repo.json").first()
     assert (row["last_modified_by"], row["is_code"], row["total_lines"], row["commit_count"]) == ("y", True, 2, 2)
-    assert row["commit_history_summary"].split("\n")[0] == "- 2024-02-01 y: " + "m" * 77 + "..."
+    assert row["commit_history_summary"].split("\n")[1] == "- [2024-02-01] ??????? - " + "m" * 77 + "... (by y)"
     manifest = {"nodes": {"model.p.a": {"name": "a", "resource_type": "model", "raw_code": "select 1", "depends_on": {"nodes": ["seed.p.s"]}}}, "macros": {"macro.p.m": {"name": "m", "macro_sql": "{% macro %}"}}}
     (tmp_path / "manifest.json").write_text(json.dumps(manifest))
     nodes = readers.manifest_nodes(spark, f"file://{tmp_path}/manifest.json")
