@@ -185,7 +185,7 @@ def code_chunks(files: DataFrame, size: int = 3000, overlap: int = 200) -> DataF
     files are independent and stream through in Arrow batches.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, language, text in zip(batch["path"], batch["language"], batch["text"], strict=True):
@@ -198,7 +198,35 @@ def code_chunks(files: DataFrame, size: int = 3000, overlap: int = 200) -> DataF
                 rows += [(path, i, *f) for i, f in enumerate(found)]
             yield pd.DataFrame(rows, columns=["path", "chunk_index", "content", "start_line", "end_line", "chunk_type"])
 
-    return files.select("path", "language", "text").mapInPandas(scan, "path string, chunk_index int, content string, start_line int, end_line int, chunk_type string")
+    return files.select("path", "language", "text").mapInPandas(chunked, "path string, chunk_index int, content string, start_line int, end_line int, chunk_type string")
+
+
+def syntax_chunks(files: DataFrame) -> DataFrame:
+    """``files(path, text)`` of Python sources to (path, chunk_index, name, start_line, end_line, content): top-level
+    functions and classes with their decorators by the syntax tree, and what lies between; a text that can't be
+    parsed is one chunk without a name."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ast
+
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                lines = (text or "").split("\n")
+                try:
+                    body = ast.parse(text or "").body
+                except (SyntaxError, ValueError):
+                    body = []
+                named = [(min([n.lineno, *(d.lineno for d in n.decorator_list)]) - 1, n.end_lineno, n.name) for n in body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+                found, at = [], 0
+                for first, last, name in named:
+                    found += [(at, first, None), (first, last, name)]
+                    at = last
+                found = [(a, b, name) for a, b, name in [*found, (at, len(lines), None)] if name or any(x.strip() for x in lines[a:b])]
+                rows += [(path, i, name, a + 1, b, "\n".join(lines[a:b])) for i, (a, b, name) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["path", "chunk_index", "name", "start_line", "end_line", "content"])
+
+    return files.select("path", "text").mapInPandas(cut, "path string, chunk_index int, name string, start_line int, end_line int, content string")
 
 
 def recursive_chunks(docs: DataFrame, size: int = 3000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -76,6 +76,40 @@ def repo_files(spark: SparkSession, landed: str, include: Sequence[str] = (), ex
     )
 
 
+def repositories(listed: DataFrame, most: int | None = None) -> DataFrame:
+    """``listed(id, name, default_branch, url)`` by name, without a branch's prefix; ``main`` where none is given."""
+    branch = F.coalesce(F.regexp_replace("default_branch", "^refs/heads/", ""), F.lit("main"))
+    rows = listed.select("id", "name", branch.alias("default_branch"), "url")
+    return rows.orderBy("name", "id").limit(most) if most else rows
+
+
+def repository_id(listed: DataFrame, name: str) -> str:
+    """The id of the repository of that name; an error where there is none."""
+    found = listed.filter(F.col("name") == name).select("id").first()
+    if found is None:
+        raise LookupError(f"no repository {name}")
+    return found["id"]
+
+
+def repo_items(landed: DataFrame, repository: str, branch: str = "main", below: str = "/", recursive: bool = True) -> DataFrame:
+    """Paths of a repository's files on a branch below a folder, in order; direct children only unless recursive."""
+    folder = below.rstrip("/") + "/"
+    rows = landed.filter((F.col("repository") == repository) & (F.regexp_replace("branch", "^refs/heads/", "") == branch) & F.startswith("file_path", F.lit(folder)))
+    rest = F.substring("file_path", F.lit(len(folder) + 1), F.length("file_path"))
+    rows = rows if recursive else rows.filter(~F.contains(rest, F.lit("/")))
+    return rows.select("file_path").distinct().orderBy("file_path")
+
+
+def repo_batches(spark: SparkSession, landed: str, files: int = 50) -> DataFrame:
+    """Landed repository files as a stream, ``files`` landed files in a batch."""
+    return spark.readStream.schema(REPO_FILE).option("maxFilesPerTrigger", files).json(landed)
+
+
+def every_path(spark: SparkSession, landed: str, paths: Sequence[str], **filters) -> DataFrame:
+    """Files below any of the paths, each once."""
+    return repo_files(spark, landed, include=paths, **filters)
+
+
 def wiki_pages(pages: DataFrame, titles: Sequence[str] = (), least: int = 1) -> DataFrame:
     """``pages(page_id, url, html)`` as documents with stripped text; empty ones are dropped."""
     title = F.trim(X.strip_tags(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
@@ -83,6 +117,37 @@ def wiki_pages(pages: DataFrame, titles: Sequence[str] = (), least: int = 1) ->
     return rows.filter(P.title_matches(F.col("title"), titles) & (F.length("text") >= least))
 
 
+def wiki_spaces(pages: DataFrame, spaces: Sequence[str], parent: str | None = None, titles: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """Documents of ``pages(page_id, space_key, parent_id, url, html)`` in the spaces, below a parent page if one is given;
+    ``most`` of each space, in order of their ids."""
+    from corpusmill.operators import tracker
+
+    rows = pages.filter(F.col("space_key").isin(list(spaces)))
+    if parent is not None:
+        rows = rows.join(child_pages(pages, parent).select("page_id"), "page_id", "left_semi")
+    if most:
+        rows = tracker.top_per_group(rows, "space_key", [F.col("page_id")], most).drop("rank")
+    found = wiki_pages(rows, titles)
+    return found.join(rows.select(F.col("page_id").cast("string").alias("doc_id"), "space_key"), "doc_id")
+
+
+def page_by_title(pages: DataFrame, space: str, title: str) -> DataFrame:
+    """The page of a space with exactly that title, the one with the least id if there are several; or no row."""
+    rows = wiki_pages(pages.filter(F.col("space_key") == space)).filter(F.col("title") == title)
+    return rows.orderBy(F.col("doc_id").cast("long"), "doc_id").limit(1)
+
+
+def child_pages(pages: DataFrame, parent: str, recursive: bool = True) -> DataFrame:
+    """(page_id, depth) of the pages below one, direct children at depth 1."""
+    from corpusmill.operators import lineage
+
+    edges = pages.filter("parent_id IS NOT NULL").select(F.col("parent_id").cast("string").alias("src"), F.col("page_id").cast("string").alias("dst"))
+    start = pages.sparkSession.createDataFrame([(parent,)], "start string")
+    found = lineage.reachable(edges, start) if recursive else lineage.neighbours(edges, start).select("node", F.lit(1).alias("depth"))
+    kind = pages.schema["page_id"].dataType
+    return found.select(F.col("node").cast(kind).alias("page_id"), "depth")
+
+
 def tickets(spark: SparkSession) -> DataFrame:
     """The ticket source has a schema and no rows."""
     return spark.createDataFrame([], DOCUMENT)
@@ -128,6 +193,17 @@ def tracker_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=tracker.SCHEMA)
 
 
+def local_documents(spark: SparkSession, root: str, extensions: Sequence[str] = (".txt", ".md", ".html", ".pdf"), recursive: bool = True) -> DataFrame:
+    """Like ``local_files``, with the text of PDF files under banners for their pages."""
+    rows = local_files(spark, root, [e for e in extensions if e.lower() != ".pdf"], recursive)
+    if ".pdf" not in [e.lower() for e in extensions]:
+        return rows
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).filter(P.extension(F.col("path")) == ".pdf")
+    name = F.element_at(F.split("path", "/"), -1)
+    pdf = pdf_pages(raw).select(F.col("path").alias("doc_id"), F.lit("local_files").alias("source_type"), F.col("path").alias("source"), F.regexp_replace(name, r"\.[^.]+$", "").alias("title"), "text", F.col("path").alias("url"), F.lit(None).cast("timestamp").alias("date"), F.create_map(F.lit("file_type"), F.lit(".pdf"), F.lit("filename"), name).alias("meta"))
+    return rows.unionByName(pdf.filter(P.not_blank(F.col("text"))))
+
+
 def pdf_pages(files: DataFrame) -> DataFrame:
     """(path, text) of PDF files, pages under banners; needs the optional package pypdf on the executors."""
 
@@ -160,5 +236,39 @@ def settings(path: str) -> dict:
         return filled(yaml.safe_load(f) or {})
 
 
+def written_settings(path: str, values: dict, given: Sequence[str]) -> None:
+    """Write back those top-level settings that were given explicitly, and no defaults."""
+    import yaml
+
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump({k: values[k] for k in given if k in values}, f, allow_unicode=True)
+
+
+def template(path: str | None, default: str) -> str:
+    """A prompt template from a file, or the default where there is no such file or it is blank."""
+    if path and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        if text.strip():
+            return text
+    return default
+
+
+def ingest_sources(spark: SparkSession, sources: Sequence[dict]) -> DataFrame:
+    """Documents of all enabled sources under one schema, each source routed by its type."""
+    kinds = {
+        "local_files": lambda s: local_files(spark, s["path"], s.get("extensions", (".txt", ".md", ".html"))).select(*DOCUMENT.names),
+        "repository": lambda s: repo_files(spark, s["landed"], s.get("include", ()), s.get("exclude", ()), s.get("types", ())).select("doc_id", "source_type", "source", "title", "text"),
+        "wiki": lambda s: wiki_spaces(spark.read.parquet(s["pages"]), s["spaces"]).select("doc_id", "source_type", "source", "title", "text", "url"),
+        "tickets": lambda s: tickets(spark),
+    }
+    frames = []
+    for s in enabled(sources):
+        if s["type"] not in kinds:
+            raise ValueError(f"unknown source type: {s['type']}")
+        frames.append(kinds[s["type"]](s))
+    return union_sources([tickets(spark), *frames])
+
+
 def enabled(sources: Sequence[dict]) -> list[dict]:
     return [s for s in sources if s.get("enabled", True)]

@@ -330,3 +330,77 @@ def test_reachable_does_not_stop_early(spark):
     assert values(lineage.reachable(edges, start, most=4), "node") == [(1,), (2,), (3,), (4,)]
     with pytest.raises(ValueError):
         lineage.reachable(edges, start, most=2)
+
+
+def test_syntax_chunks(spark):
+    text = "import os\n\n@deco\ndef f():\n    return 1\n\nclass A:\n    x = 1\n\nprint(1)"
+    rows = spark.createDataFrame([("a.py", text), ("b.py", "def ("), ("c.py", None)], "path string, text string")
+    got = [tuple(r)[:5] for r in chunking.syntax_chunks(rows).orderBy("path", "chunk_index").collect()]
+    assert got == [("a.py", 0, None, 1, 2), ("a.py", 1, "f", 3, 5), ("a.py", 2, "A", 7, 8), ("a.py", 3, None, 9, 10), ("b.py", 0, None, 1, 1)]
+
+
+def test_repositories_and_wiki(spark):
+    listed = spark.createDataFrame([("2", "b", None, "u"), ("1", "a", "refs/heads/dev", "u")], "id string, name string, default_branch string, url string")
+    assert [(r["name"], r["default_branch"]) for r in readers.repositories(listed, 5).collect()] == [("a", "dev"), ("b", "main")]
+    assert readers.repository_id(listed, "b") == "2"
+    with pytest.raises(LookupError):
+        readers.repository_id(listed, "c")
+    landed = spark.createDataFrame([("/x/a.py", "r", "refs/heads/main"), ("/x/y/b.py", "r", "main"), ("/z.py", "r", "main"), ("/x/c.py", "s", "main")], "file_path string, repository string, branch string")
+    assert [r[0] for r in readers.repo_items(landed, "r", below="/x").collect()] == ["/x/a.py", "/x/y/b.py"]
+    assert [r[0] for r in readers.repo_items(landed, "r", below="/x", recursive=False).collect()] == ["/x/a.py"]
+    page = lambda i, space, parent, title: (i, space, parent, f"u{i}", f"<title>{title}</title><p>text {i}</p>")
+    pages = spark.createDataFrame([page(1, "s", None, "Top"), page(2, "s", 1, "Two"), page(3, "s", 2, "Three"), page(4, "t", None, "Two")], "page_id long, space_key string, parent_id long, url string, html string")
+    assert values(readers.child_pages(pages, "1"), "page_id", "depth") == [(2, 1), (3, 2)]
+    assert values(readers.child_pages(pages, "1", recursive=False), "page_id") == [(2,)]
+    assert values(readers.wiki_spaces(pages, ["s"], parent="1"), "doc_id", "space_key") == [("2", "s"), ("3", "s")]
+    assert values(readers.wiki_spaces(pages, ["s", "t"], most=1), "doc_id") == [("1",), ("4",)]
+    assert values(readers.page_by_title(pages, "s", "Two"), "doc_id") == [("2",)] and readers.page_by_title(pages, "s", "x").count() == 0
+
+
+def test_sources_are_routed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("plain text")
+    (tmp_path / "repo.json").write_text(json.dumps({"file_path": "/m/a.sql", "repository": "r", "branch": "main", "content": "select 1", "commits": []}) + "\n")
+    found = readers.ingest_sources(spark, [{"type": "local_files", "path": f"file://{tmp_path}/in"}, {"type": "repository", "landed": f"file://{tmp_path}/repo.json"}, {"type": "tickets"}, {"type": "wiki", "enabled": False}])
+    assert values(found, "source_type", "title") == [("local_files", "a"), ("repo_file", "a.sql")]
+    with pytest.raises(ValueError):
+        readers.ingest_sources(spark, [{"type": "mail"}])
+    readers.written_settings(str(tmp_path / "o.yaml"), {"a": 1, "b": 2}, ["b", "c"])
+    assert readers.settings(str(tmp_path / "o.yaml")) == {"b": 2}
+    assert readers.template(str(tmp_path / "none"), "d") == "d" and readers.template(str(tmp_path / "in/a.txt"), "d") == "plain text"
+
+
+def test_deleting_keeps_a_whole_table_until_the_end(spark, tmp_path):
+    rows = spark.createDataFrame([("wiki", f"s{i}") for i in range(6)], "source_type string, source string")
+    path = f"file://{tmp_path}/v"
+    writers.write_vectors(rows, path)
+    writers.delete_documents(spark, path, rows.filter("source < 's4'"), ["source"], f"file://{tmp_path}/st")
+    assert values(spark.read.parquet(path), "source") == [("s4",), ("s5",)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["v"]
+
+
+def test_cooldown_of_one_hot_key(spark):
+    import random
+
+    rng = random.Random(2)
+    times = sorted({rng.randrange(200_000) for _ in range(3000)} | {300_000, 300_050})
+    want, last = [], None
+    for t in times:
+        if last is None or t - last >= 100:
+            want.append(t)
+            last = t
+    rows = spark.createDataFrame([(None, t) for t in times] + [(7, 5)], "k long, t long")
+    got = ordered.cooldown(rows, "k", F.col("t"), 100)
+    assert sorted(r["second"] for r in got.filter("k IS NULL").collect()) == want and got.filter("k = 7").count() == 1
+
+
+def test_hierarchy_and_summary_defaults(spark, tmp_path):
+    from corpusmill.operators import hooks
+
+    chunks = spark.createDataFrame([("a", 0, "c0", "one"), ("a", 1, "c1", "two"), (None, 0, "c2", "three")], "source string, chunk_index int, chunk_id string, content string")
+    writers.write_hierarchy(chunks, f"file://{tmp_path}/h")
+    top, rows = spark.read.parquet(f"file://{tmp_path}/h/summaries"), spark.read.parquet(f"file://{tmp_path}/h/chunks")
+    assert sorted((r["summary"], r["chunk_count"]) for r in top.collect()) == [("one\n\ntwo", 2), ("three", 1)]
+    assert rows.join(top.select("summary_id"), "summary_id").count() == 3
+    docs = spark.createDataFrame([(1, "beta alpha beta and gamma beta alpha"), (2, "")], "doc_id long, text string")
+    assert dict(values(hooks.summarise(docs).fillna(""), "doc_id", "summary")) == {1: "beta, alpha, gamma", 2: ""}
