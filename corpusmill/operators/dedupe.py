@@ -139,24 +139,6 @@ def fuzzy_pairs(docs: DataFrame, least: float = 0.95, key: str = "doc_id", text:
     return full.select("a", "b", F.round(1 - F.levenshtein("ha", "hb") / longest, 6).alias("ratio")).filter(F.col("ratio") > least)
 
 
-def sentence_pairs(docs: DataFrame, least: float = 0.95, key: str = "doc_id", text: str = "text", sentence: int = 20) -> DataFrame:
-    """(a, b, ratio) of different prefixes of 500 characters with edit similarity over ``least``.
-
-    Candidates share a whole sentence of at least 20 characters in their prefixes. Equal prefixes are
-    one row with the smallest id, so copies don't multiply. Pairs without a shared sentence are lost:
-    ``fuzzy_pairs`` has them all.
-    """
-    rows = docs.select(F.col(key).alias("id"), F.substring(text, 1, PREFIX).alias("head")).groupBy("head").agg(F.min("id").alias("id")).filter("length(head) > 0")
-    parts = F.filter(F.array_distinct(F.split("head", r"\.")), lambda x: F.length(x) >= sentence)
-    blocks = rows.select("id", F.explode(parts).alias("part")).select("id", F.md5("part").alias("block"))
-    pairs = blocks.alias("x").join(blocks.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    full = pairs.join(rows.select(F.col("id").alias("a"), F.col("head").alias("ha")), "a").join(rows.select(F.col("id").alias("b"), F.col("head").alias("hb")), "b")
-    longest = F.greatest(F.length("ha"), F.length("hb"))
-    bound = F.floor(longest * (1 - least)).cast("int")
-    full = full.filter(F.abs(F.length("ha") - F.length("hb")) <= bound)
-    return full.select("a", "b", F.round(1 - F.levenshtein("ha", "hb") / longest, 6).alias("ratio")).filter(F.col("ratio") > least)
-
-
 def first_of(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -45,18 +45,22 @@ def first_of_text(spark, sf):
     return dedupe.keep_first(table(spark, sf, "documents")).select("doc_id")
 
 
-@query("fuzzy_dups", """WITH r AS (SELECT substring(text, 1, 500) AS h, min(doc_id) AS id FROM documents WHERE lang = 'en' AND strlen(text) = length(text) GROUP BY 1 HAVING length(substring(text, 1, 500)) > 0),
-b AS (SELECT DISTINCT id, p FROM (SELECT id, unnest(string_split(h, '.')) AS p FROM r) WHERE length(p) >= 20),
-c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.p = y.p AND x.id < y.id)
-SELECT a, b, round(1 - levenshtein(ra.h, rb.h) / greatest(length(ra.h), length(rb.h)), 6) AS ratio FROM c JOIN r ra ON ra.id = a JOIN r rb ON rb.id = b
-WHERE round(1 - levenshtein(ra.h, rb.h) / greatest(length(ra.h), length(rb.h)), 6) > 0.95""")
+# an edit changes the counts of at most two letters by one each, so pairs further apart than 50 can't be that near
+_LETTERS = "list_transform(range(97, 123), lambda c: length(h) - length(replace(h, chr(c::INT), '')))"
+
+
+@query("fuzzy_dups", f"""WITH r AS (SELECT h, id, {_LETTERS} AS l FROM (SELECT substring(text, 1, 500) AS h, min(doc_id) AS id FROM documents GROUP BY 1) WHERE length(h) > 0 AND strlen(h) = length(h)),
+c AS (SELECT x.id AS a, y.id AS b, x.h AS ha, y.h AS hb FROM r x JOIN r y ON x.id < y.id AND abs(length(x.h) - length(y.h)) <= 25 AND list_sum(list_transform(list_zip(x.l, y.l), lambda z: abs(z[1] - z[2]))) <= 50)
+SELECT a, b, round(1 - levenshtein(ha, hb) / greatest(length(ha), length(hb)), 6) AS ratio FROM c WHERE round(1 - levenshtein(ha, hb) / greatest(length(ha), length(hb)), 6) > 0.95""")
 def fuzzy_dups(spark, sf):
-    return dedupe.sentence_pairs(table(spark, sf, "documents").filter("lang = 'en' AND length(text) = octet_length(text)"))
+    """All pairs of starts that SQL can compare by characters: those in ASCII. ``fuzzy_dups_all`` has the others."""
+    head = F.substring("text", 1, dedupe.PREFIX)
+    return dedupe.fuzzy_pairs(table(spark, sf, "documents").filter(F.length(head) == F.octet_length(head)))
 
 
 @query("fuzzy_dups_all")
 def fuzzy_dups_all(spark, sf):
-    """Pairs of all documents in any language; ``fuzzy_dups`` has the part that its SQL states."""
+    """Pairs of all documents in any language and script."""
     return dedupe.fuzzy_pairs(table(spark, sf, "documents"))
 
 
@@ -238,15 +242,8 @@ def ordered_distinct(spark, sf):
     return grouped.filter("n = d").select("user_id", F.array_join(F.transform("l", lambda x: x["event_type"]), ",").alias("types"))
 
 
-@query("summaries", "SELECT source, CASE WHEN length(t) > 300 THEN substring(t, 1, 300) || '...' ELSE t END AS summary, n AS chunk_count FROM (SELECT source, string_agg(substring(text, 1, 100), chr(10) || chr(10) ORDER BY doc_id) AS t, count(*)::INT AS n FROM documents WHERE text IS NOT NULL GROUP BY source)")
+@query("summaries", "SELECT source, CASE WHEN length(t) > 300 THEN substring(t, 1, 300) || '...' ELSE t END AS summary, n AS chunk_count FROM (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t, count(*)::INT AS n FROM documents WHERE text IS NOT NULL GROUP BY source)")
 def summaries(spark, sf):
-    d = table(spark, sf, "documents").filter("text IS NOT NULL").select("source", F.col("doc_id").alias("chunk_index"), F.col("doc_id").cast("string").alias("chunk_id"), F.substring("text", 1, 100).alias("content"))
-    return writers.summaries(d).select("source", "summary", "chunk_count")
-
-
-@query("summaries_whole", "SELECT source, CASE WHEN length(t) > 300 THEN substring(t, 1, 300) || '...' ELSE t END AS summary, n AS chunk_count FROM (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t, count(*)::INT AS n FROM documents WHERE text IS NOT NULL GROUP BY source)")
-def summaries_whole(spark, sf):
-    """Whole chunk texts; ``summaries`` cuts each to 100 characters, as its SQL states."""
     d = table(spark, sf, "documents").filter("text IS NOT NULL").select("source", F.col("doc_id").alias("chunk_index"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
     return writers.summaries(d).select("source", "summary", "chunk_count")
 

@@ -127,13 +127,13 @@ def vector_topk_filtered(spark, sf):
     return dense.nearest(table(spark, sf, "embeddings"), _vector(spark, sf), 20, where=F.col("label") == 3)
 
 
-_MULTI = f"""hits AS (SELECT q.vec_id AS query_index, e.vec_id, {_COS.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q),
+_MULTI = f"""hits AS (SELECT q.vec_id AS query_index, e.vec_id, {_COS.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
 multi AS (SELECT query_index, vec_id, score, row_number() OVER (PARTITION BY query_index ORDER BY score DESC, vec_id) AS rank FROM hits QUALIFY rank <= 20)"""
 
 
 def _multi(spark, sf):
     e = table(spark, sf, "embeddings")
-    return dense.nearest_many(e, e.filter("vec_id < 10").select(F.col("vec_id").alias("query_index"), F.col("embedding").alias("q")), 20)
+    return dense.nearest_many(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_index"), F.col("embedding").alias("q")), 20)
 
 
 @query("multi_query_topk", f"WITH {_MULTI} SELECT query_index, vec_id, score, rank::INT AS rank FROM multi")

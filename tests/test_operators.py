@@ -320,7 +320,7 @@ def test_summaries_of_whole_chunks(spark, tmp_path):
     for _, source, text in rows:
         want.setdefault(source, []).append(text)
     joined = {s: "\n\n".join(t) for s, t in want.items()}
-    got = {r["source"]: (r["summary"], r["chunk_count"]) for r in QUERIES["summaries_whole"](spark, f"file://{tmp_path}").collect()}
+    got = {r["source"]: (r["summary"], r["chunk_count"]) for r in QUERIES["summaries"](spark, f"file://{tmp_path}").collect()}
     assert got == {s: (t[:300] + "..." if len(t) > 300 else t, len(want[s])) for s, t in joined.items()}
 
 
