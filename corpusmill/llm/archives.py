@@ -75,6 +75,11 @@ class _Member:
             self.size += len(d)
         self._out.write(z.flush())
 
+    @property
+    def packed(self) -> int:
+        """Where the next member begins in the file."""
+        return self._out.tell()
+
     def close(self) -> None:
         self._out.close()
         self.fs.move(self._draft, self.path)
@@ -205,15 +210,15 @@ def write_arcs(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
                     listed.append((no, uri, n))
                     out, turn = None, turn + 1
                 if out is None:
-                    no, n = part * 100_000 + turn, 0
-                    version, name = "12"[(part + turn) % 2], f"pages-{no:010d}.arc.gz"
+                    no, n = (part << 32) + turn, 0
+                    version, name = "12"[(part + turn) % 2], f"pages-{part:06d}-{turn:06d}.arc.gz"
                     uri = f"{folder}/{name}"
                     out = _Member(uri)
                     out.put(arc_header(version, name))
                 payload = (text or "").encode()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n" + (f"{PAGE}: {page}\r\n" if page is not None else "") + "\r\n"
                 content = head.encode() + payload
-                out.put(arc_record(version, name, out.size, _url_of(link, page), content), content, b"\n")
+                out.put(arc_record(version, name, out.packed, _url_of(link, page), content), content, b"\n")
                 n += 1
         if out is not None:
             out.close()
