@@ -231,7 +231,7 @@ def fallback_variations(c: Column, most: int = 9) -> Column:
 
 
 def cache_key(c: Column) -> Column:
-    return F.md5(F.trim(F.lower(c)))
+    return F.md5(F.trim(F.lower(c), F.lit(" \t\n\x0b\f\r")))
 
 
 def chunk_identity(chunk_id: Column, other: Column, text: Column) -> Column:
@@ -244,7 +244,8 @@ def citation(path: Column, start: Column, end: Column) -> Column:
 
 
 def percentage(share: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", share)
+    """With so many digits, halves to the even one."""
+    return F.format_string(f"%.{digits}f%%", F.bround(share.cast("double"), digits))
 
 
 def strip_fence(c: Column) -> Column:

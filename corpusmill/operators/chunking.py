@@ -271,3 +271,14 @@ def chunk(docs: DataFrame, strategy: str, size: int = 3000, overlap: int = 200,
     else:
         raise ValueError(f"unknown chunking strategy: {strategy}")
     return out.orderBy(key, "chunk_index").limit(most) if most else out
+
+
+def chunks_by_document(docs: DataFrame, chunks: DataFrame, key: str = "file_path") -> DataFrame:
+    """Documents with the number of their chunks, the first chunk's id and the metadata of the first; those without chunks have 0."""
+    first = chunks.groupBy(key).agg(F.count("*").alias("n_chunks"), F.min_by(F.struct("chunk_id", "meta"), "chunk_index").alias("first"))
+    return docs.join(first, key, "left").select(*docs.columns, F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.col("first.chunk_id").alias("first_chunk"), F.col("first.meta").alias("first_meta"))
+
+
+def with_summaries(chunks: DataFrame, summaries: DataFrame, key: str = "summary_id") -> DataFrame:
+    """Chunks with the summary, keywords and topics of their document, where it has a summary."""
+    return chunks.join(summaries.select(key, "summary", "keywords", "topics"), key, "left")

@@ -112,3 +112,9 @@ def attach_first(feedback: DataFrame, events: DataFrame, key: str, order: list[C
     """Feedback with the first event of its key."""
     first = events.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
     return feedback.join(first, key, "left")
+
+
+def attach_by_position(feedback: DataFrame, turns: DataFrame, session: str, position: str, order: str) -> DataFrame:
+    """``feedback(session, position, ...)`` with the turn at that place (from 0) of the session, also for places that aren't there."""
+    numbered = turns.withColumn(position, (F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1).cast("long"))
+    return feedback.join(numbered, [session, position], "left")

@@ -101,3 +101,20 @@ def context_shares(context: DataFrame) -> DataFrame:
     n = F.count("*")
     share = lambda o: F.round(F.coalesce(F.count_if(F.col("origin") == o) * 100.0 / F.nullif(n, F.lit(0)), F.lit(0.0)), 6)
     return context.agg(n.alias("n"), share("semantic").alias("semantic_pct"), share("keyword").alias("keyword_pct"), share("backfill").alias("backfill_pct"))
+
+
+def context_report(context: DataFrame, keyword: DataFrame, semantic: DataFrame, weights: tuple[float, float] = (0.7, 0.3), key: str = "doc_id") -> DataFrame:
+    """One row: rows of each origin, keyword hits that the semantic share had already, wanted and actual split."""
+    n = F.count("*")
+    share = lambda *o: F.format_string("%.0f%%", F.coalesce(F.count_if(F.col("origin").isin(*o)) * 100.0 / F.nullif(n, F.lit(0)), F.lit(0.0)))
+    chosen = context.filter("origin = 'semantic'").select(key)
+    twice = keyword.join(chosen, key, "left_semi").agg(F.count("*").alias("duplicates_removed"))
+    target = "/".join(f"{w:.0%}" for w in weights)
+    counted = context.agg(F.count_if(F.col("origin") != "keyword").alias("n_semantic"), F.count_if(F.col("origin") == "keyword").alias("n_keyword"), F.concat(share("semantic", "backfill"), F.lit("/"), share("keyword")).alias("actual_split"))
+    return counted.crossJoin(twice).withColumn("target_split", F.lit(target))  # one row each
+
+
+def most_found(hits: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
+    """(chunk_id, frequency, rank): the chunks that most queries found."""
+    found = hits.groupBy(key).agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), key).limit(k)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("frequency"), key)))  # k rows

@@ -96,3 +96,14 @@ def recent(tracker: DataFrame, n: int, order: str = "processed", key: str = "doc
 def top_per_group(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group with their ``rank``; Spark cuts groups before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
+
+
+def success_rates(tracker: DataFrame, by: str) -> DataFrame:
+    """(by, n, success_rate) of finished documents: successes among successes and failures."""
+    done = tracker.filter(F.col("status").isin("success", "failed"))
+    return done.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg((F.col("status") == "success").cast("double")), 6).alias("success_rate"))
+
+
+def largest(tracker: DataFrame, by: str, size: str, n: int, key: str = "document_id") -> DataFrame:
+    """The n largest documents of each group with their rank."""
+    return top_per_group(tracker, by, [F.desc(size), F.col(key)], n)

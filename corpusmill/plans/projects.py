@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T, vectors as V
-from corpusmill.operators import artifacts as A, compositions as C, evaluation as E, lineage as L
+from corpusmill.operators import artifacts as A, chunking, compositions as C, context, evaluation as E, fusion, lineage as L, ordered as O, predicates as P, tracker as K
 from corpusmill.plans import history, retrieval
 from corpusmill.plans.registry import query, table
 from corpusmill.plans.retrieval import ASK
-from corpusmill.sources import writers
+from corpusmill.sources import readers, writers
 
 # -- a project: nations are models, regions are sources, some nations have tests, customers are seeds
 
@@ -185,8 +185,6 @@ def evaluation_step(spark, sf):
 def truncated_contexts(spark, sf):
     """Conversations as contexts of several documents, cut to a small budget; tests hold it against the parts."""
     c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n---\n").alias("context"))
-    from corpusmill.operators import context
-
     return context.truncated(c, ASK, 400, 100)
 
 
@@ -258,3 +256,109 @@ def session_ratings(spark, sf):
 def document_status(spark, sf):
     """Point lookup in the tracker."""
     return history._tracked(spark, sf).filter("doc_id = 11").select("source", "chunk_count", "status")
+
+
+@query("identities", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'c' || doc_id WHEN 1 THEN 'i' || doc_id ELSE md5(text) END AS identity, md5(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS cache_key, source || ':1-' || n_chars AS citation, printf('%.0f%%', n_chars / 4.0) AS share FROM documents WHERE text IS NOT NULL")
+def identities(spark, sf):
+    named = lambda k, p: F.when(F.col("doc_id") % 3 == k, F.concat(F.lit(p), "doc_id"))
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", T.chunk_identity(named(0, "c"), named(1, "i"), F.col("text")).alias("identity"), T.cache_key(F.col("text")).alias("cache_key"), T.citation(F.col("source"), F.lit(1), F.col("n_chars")).alias("citation"), T.percentage(F.col("n_chars") / 4).alias("share"))
+
+
+@query("audience_answers", "SELECT content, audience, simplified, details FROM (SELECT text AS content, 'business' AS audience, true AS simplified, NULL::VARCHAR AS details FROM conversations WHERE role = 'assistant' UNION ALL SELECT text, 'technical', NULL, 'turn ' || turn FROM conversations WHERE role = 'assistant')")
+def audience_answers(spark, sf):
+    c = table(spark, sf, "conversations").filter("role = 'assistant'").select(F.col("text").alias("response"), F.array().cast("array<string>").alias("sources"), F.lit(0.5).alias("confidence_score"), F.lit(1.0).alias("safety_score"), F.concat(F.lit("turn "), "turn").alias("metadata"))
+    plain = C.for_audience(c).select("content", "audience", "simplified", F.lit(None).cast("string").alias("details"))
+    return plain.unionByName(C.for_audience(c, "technical").select("content", "audience", F.lit(None).cast("boolean").alias("simplified"), F.col("technical_details").alias("details")))
+
+
+@query("log_projection", f"WITH {retrieval._MULTI} SELECT query_index, rank::INT AS rank, 'vectors/' || vec_id AS source, vec_id::VARCHAR AS filename FROM multi WHERE rank <= 10")
+def log_projection(spark, sf):
+    hits = retrieval._multi(spark, sf).withColumns({"source": F.concat(F.lit("vectors/"), "vec_id"), "source_type": F.lit("vector")})
+    return C.log_rows(hits, ["query_index"]).select("query_index", "rank", "source", "filename")
+
+
+@query("aggregated_documents", f"WITH {retrieval._MULTI} SELECT doc_id, source, frequency AS aggregation_frequency, final_score AS aggregation_final_score FROM documents JOIN (SELECT vec_id, count(*)::BIGINT AS frequency, round(count(*) * avg(score), 9) AS final_score FROM multi GROUP BY vec_id HAVING count(*) >= 2 ORDER BY final_score DESC, vec_id LIMIT 10) ON doc_id = vec_id")
+def aggregated_documents(spark, sf):
+    found = fusion.frequency_relevance(retrieval._multi(spark, sf).withColumnRenamed("vec_id", "chunk_id"))
+    return C.as_documents(found, table(spark, sf, "documents")).select("doc_id", "source", "aggregation_frequency", "aggregation_final_score")
+
+
+_WIKI = "SELECT page_id, 's' || page_id % 3 AS space_key, CASE WHEN page_id > 0 THEN page_id // 4 END AS parent_id, url, html FROM pages"
+
+
+def _wiki(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.concat(F.lit("s"), F.col("page_id") % 3).alias("space_key"), F.when(F.col("page_id") > 0, F.floor(F.col("page_id") / 4)).alias("parent_id"), "url", "html")
+
+
+@query("wiki_tree", f"WITH RECURSIVE w AS ({_WIKI}), t AS (SELECT page_id, 1 AS depth FROM w WHERE parent_id = 1 UNION ALL SELECT w.page_id, depth + 1 FROM t JOIN w ON w.parent_id = t.page_id) SELECT page_id, depth::INT AS depth FROM t")
+def wiki_tree(spark, sf):
+    return readers.child_pages(_wiki(spark, sf), "1")
+
+
+@query("wiki_by_space", f"SELECT page_id::VARCHAR AS doc_id, space_key FROM ({_WIKI}) WHERE space_key IN ('s1', 's2') QUALIFY row_number() OVER (PARTITION BY space_key ORDER BY page_id) <= 5")
+def wiki_by_space(spark, sf):
+    return readers.wiki_spaces(_wiki(spark, sf), ["s1", "s2"], most=5).select("doc_id", "space_key")
+
+
+@query("tracker_reports", f"SELECT source, 'success rate' AS report, count(*)::BIGINT AS n, round(avg((status = 'success')::INT), 6) AS value FROM ({history._TRACKED}) WHERE status IN ('success', 'failed') GROUP BY source UNION ALL SELECT source, 'largest', processed, chunk_count FROM ({history._TRACKED}) QUALIFY row_number() OVER (PARTITION BY source ORDER BY chunk_count DESC, processed) <= 3")
+def tracker_reports(spark, sf):
+    t = history._tracked(spark, sf)
+    rates = K.success_rates(t, "source").select("source", F.lit("success rate").alias("report"), "n", F.col("success_rate").alias("value"))
+    return rates.unionByName(K.largest(t, "source", "chunk_count", 3, "doc_id").select("source", F.lit("largest").alias("report"), F.col("doc_id").alias("n"), F.col("chunk_count").cast("double").alias("value")))
+
+
+@query("hybrid_context_report", f"WITH {retrieval._CONTEXT} SELECT count(*) FILTER (origin <> 'keyword') AS n_semantic, count(*) FILTER (origin = 'keyword') AS n_keyword, printf('%.0f%%', count(*) FILTER (origin <> 'keyword') * 100.0 / count(*)) || '/' || printf('%.0f%%', count(*) FILTER (origin = 'keyword') * 100.0 / count(*)) AS actual_split, (SELECT count(*) FROM kwp WHERE doc_id IN (SELECT doc_id FROM first)) AS duplicates_removed, '70%/30%' AS target_split FROM ctx")
+def hybrid_context_report(spark, sf):
+    s, k = retrieval._ranked(retrieval._sem(spark, sf)), retrieval._ranked(retrieval._kw(spark, sf))
+    return fusion.context_report(fusion.hybrid_context(s, k), k, s)
+
+
+@query("multi_query_most_found", f"WITH {retrieval._MULTI} SELECT vec_id AS chunk_id, n AS frequency, row_number() OVER (ORDER BY n DESC, vec_id)::INT AS rank FROM (SELECT vec_id, count(*)::BIGINT AS n FROM multi GROUP BY vec_id) QUALIFY rank <= 10")
+def multi_query_most_found(spark, sf):
+    return fusion.most_found(retrieval._multi(spark, sf).withColumnRenamed("vec_id", "chunk_id"))
+
+
+@query("chunks_of_documents", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE greatest(ceil((length(text) - 200) / 800.0)::BIGINT, 1) END::BIGINT AS n_chunks, CASE WHEN doc_id % 5 > 0 THEN doc_id || '_0' END AS first_chunk, CASE WHEN doc_id % 5 > 0 THEN lang END AS first_meta FROM documents WHERE text IS NOT NULL")
+def chunks_of_documents(spark, sf):
+    d = table(spark, sf, "documents").filter("text IS NOT NULL")
+    parts = chunking.exploded(d.filter("doc_id % 5 > 0"), chunking.fixed(F.col("text"), 1000, 200)).join(d.select("doc_id", F.col("lang").alias("meta")), "doc_id")
+    chunks = parts.withColumn("chunk_id", F.concat_ws("_", "doc_id", "chunk_index"))
+    return chunking.chunks_by_document(d.select("doc_id"), chunks, "doc_id")
+
+
+@query("enriched_chunks", "SELECT doc_id, source, CASE WHEN source <> 'src3' THEN 'about ' || source END AS summary FROM documents WHERE source IS NOT NULL")
+def enriched_chunks(spark, sf):
+    d = table(spark, sf, "documents").filter("source IS NOT NULL")
+    summaries = d.filter("source <> 'src3'").groupBy("source").agg(F.concat(F.lit("about "), F.first("source")).alias("summary"), F.lit("k").alias("keywords"), F.lit("t").alias("topics"))
+    return chunking.with_summaries(d.select("doc_id", "source"), summaries, "source").select("doc_id", "source", "summary")
+
+
+@query("performance_trend", f"""WITH p AS (SELECT event_type AS metric, count(*)::BIGINT AS n, round(avg(value), 9) AS mean FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 50) GROUP BY 1),
+l AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events QUALIFY k <= 20), m AS (SELECT event_type, avg(value) FILTER (k <= 5) AS a, avg(value) FILTER (k > 5) AS b FROM l GROUP BY 1 HAVING count(*) >= 10),
+t AS (SELECT event_type, round(CASE WHEN b > 0 THEN (a - b) / b * 100 ELSE 0 END, 6) AS c FROM m) SELECT metric, n, mean, CASE WHEN abs(c) < 2 THEN 'stable' WHEN c > 0 THEN 'improving' ELSE 'declining' END AS trend FROM p LEFT JOIN t ON metric = event_type""")
+def performance_trend(spark, sf):
+    """Means over the last fifty of each metric beside its trend."""
+    e, order = table(spark, sf, "events"), [F.desc("ts"), F.desc("event_id")]
+    means = K.top_per_group(e, "event_type", order, 50).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("mean"))
+    trends = O.trend(e, "event_type", order, "value").select("event_type", "trend")
+    return means.join(trends, "event_type", "left").select(F.col("event_type").alias("metric"), "n", "mean", "trend")
+
+
+@query("dated_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderdate >= DATE '1996-01-01' AND o_orderdate <= DATE '1997-06-30' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def dated_filter(spark, sf):
+    keep = P.metadata_filter(["F", "O"], "1996-01-01", "1997-06-30", ["1-URGENT", "2-HIGH"], source="o_orderstatus", date="o_orderdate", kind="o_orderpriority")
+    return table(spark, sf, "orders").filter(keep).select("o_orderkey")
+
+
+@query("whole_document_budget", "SELECT source, doc_id FROM (SELECT source, doc_id, sum(length(text) + 19) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents WHERE text IS NOT NULL) WHERE used <= 20000")
+def whole_document_budget(spark, sf):
+    """Documents of each source in order, whole, until the first that doesn't fit."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL").select("source", "doc_id", "text", F.col("doc_id").alias("rank"))
+    return context.pack(d, 20000, partial=False, by="source").select("source", "doc_id")
+
+
+@query("feedback_positions", "SELECT c.conv_id, p.place, t.role FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN (SELECT unnest([0, 1, 99])::BIGINT AS place) p LEFT JOIN (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) t ON t.conv_id = c.conv_id AND t.place = p.place")
+def feedback_positions(spark, sf):
+    c = table(spark, sf, "conversations")
+    given = c.select("conv_id").distinct().select("conv_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 1, 99)))).alias("place"))
+    return E.attach_by_position(given, c.select("conv_id", "turn", "role"), "conv_id", "place", "turn").select("conv_id", "place", "role")
