@@ -28,6 +28,44 @@ def hashed_vectors(texts: list[str], dim: int = 64) -> np.ndarray:
     return out / np.where(size > 0, size, 1.0)
 
 
+def with_fallback(*models: Callable[[list], object]) -> Callable[[list], object]:
+    """A model that asks each in turn until one answers; the last one's error is raised if none does."""
+
+    def ask(texts: list):
+        for i, model in enumerate(models):
+            try:
+                return model(texts)
+            except Exception:
+                if i + 1 == len(models):
+                    raise
+
+    return ask
+
+
+def with_retries(model: Callable[[list], object], tries: int = 3, wait: float = 1.0, factor: float = 2.0, per_second: float | None = None) -> Callable[[list], object]:
+    """A model that is asked again after ``wait`` seconds, longer each time, and no more than ``per_second`` times a
+    second by one worker; the last error is raised."""
+    import time
+
+    last = [0.0]
+
+    def ask(texts: list):
+        pause = wait
+        for i in range(tries):
+            if per_second:
+                time.sleep(max(0.0, last[0] + 1 / per_second - time.monotonic()))
+            last[0] = time.monotonic()
+            try:
+                return model(texts)
+            except Exception:
+                if i + 1 == tries:
+                    raise
+                time.sleep(pause)
+                pause *= factor
+
+    return ask
+
+
 def embed(docs: DataFrame, text: str = "text", out: str = "embedding", model: Callable[[list[str]], np.ndarray] = hashed_vectors) -> DataFrame:
     """Add vectors of a text column by a model that takes a list of texts; one Arrow batch at a time."""
 

@@ -107,3 +107,9 @@ def success_rates(tracker: DataFrame, by: str) -> DataFrame:
 def largest(tracker: DataFrame, by: str, size: str, n: int, key: str = "document_id") -> DataFrame:
     """The n largest documents of each group with their rank."""
     return top_per_group(tracker, by, [F.desc(size), F.col(key)], n)
+
+
+def corpus_status(docs: DataFrame, chunks: DataFrame, tracker: DataFrame) -> DataFrame:
+    """One row: documents, chunks, documents with chunks, tracked and failed documents."""
+    parts = [docs.agg(F.count("*").alias("n_documents")), chunks.agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_chunked")), tracker.agg(F.count("*").alias("n_tracked"), F.count_if(F.col("status") == "failed").alias("n_failed"))]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T, vectors as V
-from corpusmill.operators import artifacts as A, chunking, compositions as C, context, evaluation as E, fusion, lineage as L, ordered as O, predicates as P, tracker as K
+from corpusmill.operators import artifacts as A, chunking, compositions as C, context, evaluation as E, expansion, fusion, lineage as L, ordered as O, predicates as P, tracker as K
 from corpusmill.plans import history, retrieval
 from corpusmill.plans.registry import query, table
 from corpusmill.plans.retrieval import ASK
@@ -362,3 +362,75 @@ def feedback_positions(spark, sf):
     c = table(spark, sf, "conversations")
     given = c.select("conv_id").distinct().select("conv_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 1, 99)))).alias("place"))
     return E.attach_by_position(given, c.select("conv_id", "turn", "role"), "conv_id", "place", "turn").select("conv_id", "place", "role")
+
+
+@query("title_filter", "SELECT page_id::VARCHAR AS doc_id FROM pages WHERE contains(lower(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))), 'the ')")
+def title_filter(spark, sf):
+    return readers.wiki_pages(table(spark, sf, "pages"), titles=["The "]).select("doc_id")
+
+
+@query("code_files", "SELECT doc_id, doc_id % 4 < 3 AS is_code FROM documents")
+def code_files(spark, sf):
+    ends = F.element_at(F.array(*map(F.lit, (".py", ".SQL", ".yml", ".md"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    path = F.concat(F.lit("a/f"), F.col("doc_id").cast("string"), ends)
+    return table(spark, sf, "documents").select("doc_id", readers.is_code(path).alias("is_code"))
+
+
+@query("project_listing", "SELECT kind, count(*)::BIGINT AS n FROM (SELECT 'model' AS kind FROM nation UNION ALL SELECT 'source' FROM region UNION ALL SELECT 'seed' FROM region) GROUP BY kind")
+def project_listing(spark, sf):
+    found = _nodes(spark, sf)
+    parts = [A.listing(found, k).agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("model", "source", "seed")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("enhanced_queries", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'cancer ' || lower(text) || CASE WHEN contains(lower(text), 'treatment') THEN '' ELSE ' treatment therapy' END WHEN 1 THEN 'tumor ' || lower(text) || CASE WHEN contains(lower(text), 'stage') THEN '' ELSE ' staging classification' END ELSE lower(text) END AS q FROM benchmark")
+def enhanced_queries(spark, sf):
+    asked = F.when(F.col("item_id") % 3 == 0, "Cancer ").when(F.col("item_id") % 3 == 1, "Tumor ").otherwise("")
+    return table(spark, sf, "benchmark").select("item_id", expansion.enhance(F.concat(asked, "text")).alias("q"))
+
+
+_STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("split_contexts", f"SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(text || CASE doc_id % 3 WHEN 0 THEN '---' WHEN 1 THEN '===' ELSE '###' END || source, CASE doc_id % 3 WHEN 0 THEN '---' WHEN 1 THEN '===' ELSE '###' END), lambda x: trim(x, {_STRIP})), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND NOT regexp_matches(text, '---|Document:|Source:|===|###'))")
+def split_contexts(spark, sf):
+    d = table(spark, sf, "documents").filter("text IS NOT NULL AND source IS NOT NULL").filter(~F.rlike("text", F.lit("---|Document:|Source:|===|###")))
+    mark = F.when(F.col("doc_id") % 3 == 0, "---").when(F.col("doc_id") % 3 == 1, "===").otherwise("###")
+    parts = T.split_context(F.concat("text", mark, "source"))
+    return d.select("doc_id", F.size(parts).alias("n"), F.md5(F.array_join(parts, "|")).alias("digest"))
+
+
+@query("decoded_texts", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'caf' || chr(233) END AS text FROM documents WHERE text IS NOT NULL")
+def decoded_texts(spark, sf):
+    """Bytes that are UTF-8, and bytes that are not and count as Latin-1."""
+    raw = F.when(F.col("doc_id") % 2 == 0, F.col("text").cast("binary")).otherwise(F.unhex(F.lit("636166E9")))
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", readers.decoded(raw).alias("text"))
+
+
+@query("tracker_valid", "SELECT doc_id FROM documents WHERE doc_id % 4 IN (0, 1) AND source IS NOT NULL")
+def tracker_valid(spark, sf):
+    status = F.element_at(F.array(F.lit("success"), F.lit("failed"), F.lit("done"), F.lit(None)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return K.valid(table(spark, sf, "documents").select("doc_id", status.alias("status"), F.col("source").alias("source_type"), F.col("doc_id").cast("string").alias("document_id"))).select("doc_id")
+
+
+@query("corpus_status", f"SELECT (SELECT count(*) FROM documents)::BIGINT AS n_documents, sum(greatest(ceil((length(text) - 200) / 800.0)::BIGINT, 1))::BIGINT AS n_chunks, count(*)::BIGINT AS n_chunked, (SELECT count(*) FROM ({history._TRACKED}))::BIGINT AS n_tracked, (SELECT count(*) FROM ({history._TRACKED}) WHERE status = 'failed')::BIGINT AS n_failed FROM documents WHERE text IS NOT NULL")
+def corpus_status(spark, sf):
+    d = table(spark, sf, "documents")
+    return K.corpus_status(d, chunking.exploded(d.filter("text IS NOT NULL"), chunking.fixed(F.col("text"), 1000, 200)), history._tracked(spark, sf))
+
+
+@query("source_union", "SELECT 'wiki_page' AS source_type, count(*)::BIGINT AS n FROM pages UNION ALL SELECT 'document', count(*) FROM documents")
+def source_union(spark, sf):
+    """Two sources and an empty one under one schema."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("document").alias("source_type"), "source", "text")
+    every = readers.union_sources([readers.tickets(spark), readers.wiki_pages(table(spark, sf, "pages"), least=0), docs])
+    return every.groupBy("source_type").agg(F.count("*").alias("n"))
+
+
+@query("activity_log", "SELECT 'search' AS event_type, 'u' || user_id AS session_id, event_type AS query, trunc(value * 1000)::BIGINT AS total_time_ms FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'feedback_' || event_type, 'u' || user_id, NULL, NULL FROM events WHERE event_id % 2 = 1")
+def activity_log(spark, sf):
+    """Search and feedback events under the schema of the log."""
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("u"), "user_id").alias("session_id"), F.col("event_type").alias("query"), F.lit(3).cast("long").alias("num_results"), F.col("value").alias("seconds"), F.col("event_type").alias("kind"), F.lit("c").alias("comment"))
+    searches = writers.search_events(e.filter("event_id % 2 = 0")).select("event_type", "session_id", "query", "results.total_time_ms")
+    given = writers.feedback_events(e.filter("event_id % 2 = 1").withColumn("query", F.lit(None).cast("string")))
+    return searches.unionByName(given.select("event_type", "session_id", "query", F.lit(None).cast("long").alias("total_time_ms")))

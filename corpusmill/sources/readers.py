@@ -49,6 +49,11 @@ def local_files(spark: SparkSession, root: str, extensions: Sequence[str] = (".t
     return rows.filter(P.not_blank(F.col("text")))
 
 
+def is_code(path) -> Any:
+    """Whether the suffix is that of a language that is chunked as code."""
+    return X.language_of(path).isin("python", "sql", "yaml")
+
+
 def repo_files(spark: SparkSession, landed: str, include: Sequence[str] = (), exclude: Sequence[str] = (), types: Sequence[str] = (), history: int = 10) -> DataFrame:
     """Landed repository files (JSON, one object for each file) as documents with their latest commits."""
     raw = spark.read.schema(REPO_FILE).json(landed)

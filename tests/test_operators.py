@@ -404,3 +404,30 @@ def test_hierarchy_and_summary_defaults(spark, tmp_path):
     assert rows.join(top.select("summary_id"), "summary_id").count() == 3
     docs = spark.createDataFrame([(1, "beta alpha beta and gamma beta alpha"), (2, "")], "doc_id long, text string")
     assert dict(values(hooks.summarise(docs).fillna(""), "doc_id", "summary")) == {1: "beta, alpha, gamma", 2: ""}
+
+
+def test_models_that_fail(monkeypatch):
+    import time
+
+    from corpusmill.operators import hooks
+
+    waits = []
+    monkeypatch.setattr(time, "sleep", waits.append)
+    calls = []
+
+    def flaky(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return texts
+
+    assert hooks.with_retries(flaky, tries=3, wait=1.0)(["a"]) == ["a"] and waits == [1.0, 2.0]
+
+    def broken(texts):
+        raise OSError("down")
+
+    assert hooks.with_fallback(broken, lambda texts: [t.upper() for t in texts])(["a"]) == ["A"]
+    with pytest.raises(OSError):
+        hooks.with_fallback(broken, broken)(["a"])
+    with pytest.raises(OSError):
+        hooks.with_retries(broken, tries=2)(["a"])
