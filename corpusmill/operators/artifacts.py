@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import lineage
+from corpusmill.workspace import Workspace
 
 NODE = (
     "struct<name: string, resource_type: string, description: string, tags: array<string>, schema: string, database: string, package_name: string, "
@@ -197,7 +198,7 @@ def seed_documents(found: DataFrame, files: DataFrame, whole: int = 100) -> Data
 def project_documents(files: DataFrame) -> DataFrame:
     """SQL and seed documents of a project's fetched files, under one schema, keyed by unique id."""
     found = collected(files)
-    of = nodes(found.filter("kind = 'manifest'"))
+    of = Workspace(files.sparkSession, "project").save(nodes(found.filter("kind = 'manifest'")), "nodes")  # read several times
     sql = sql_documents(of).select("unique_id", "kind", "content", "summary")
     seeds = seed_documents(of, found.filter("kind = 'seed'")).select("unique_id", F.lit("seed").alias("kind"), "content", "summary")
     return sql.unionByName(seeds)

@@ -10,6 +10,7 @@ from corpusmill.plans import history, retrieval
 from corpusmill.plans.registry import query, table
 from corpusmill.plans.retrieval import ASK
 from corpusmill.sources import readers, writers
+from corpusmill.workspace import Workspace
 
 # -- a project: nations are models, regions are sources, some nations have tests, customers are seeds
 
@@ -45,11 +46,11 @@ def _manifest(spark, sf):
 
 
 def _nodes(spark, sf):
-    return A.nodes(_manifest(spark, sf))
+    """The exploded manifest, written once for a query that reads it several times."""
+    return Workspace(spark, "nodes").save(A.nodes(_manifest(spark, sf)), "nodes")
 
 
-def _edges(spark, sf):
-    found = _nodes(spark, sf)
+def _depending(found):
     return found.select(F.explode("depends_on").alias("src"), F.col("unique_id").alias("dst")).filter("src <> 'macro.x'")
 
 
@@ -66,7 +67,8 @@ SELECT unique_id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHER
 def project_models_graph(spark, sf):
     """Models by the graph: what is below them as well, and how many edges lie above."""
     listed = lambda c: F.array_join(c, ",").alias(c)
-    return A.model_metadata(_nodes(spark, sf), _edges(spark, sf)).select("unique_id", listed("downstream_models"), listed("downstream_tests"), "lineage_depth")
+    found = _nodes(spark, sf)
+    return A.model_metadata(found, _depending(found)).select("unique_id", listed("downstream_models"), listed("downstream_tests"), "lineage_depth")
 
 
 _FIRST = "(SELECT string_agg(dep, ', ') FROM (SELECT dep FROM d WHERE d.k = m.k AND starts_with(dep, '{}') ORDER BY dep))"
