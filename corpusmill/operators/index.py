@@ -47,15 +47,21 @@ class KeywordIndex:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        if name not in self._tables:  # files are listed once
+            self._tables[name] = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        return self._tables[name]
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("doc_id long, term string, tf long, dl long, bucket int").parquet(f"{self.folder}/postings")
+        return self._read("postings", "doc_id long, term string, tf long, dl long, bucket int")
 
     def terms(self) -> DataFrame:
-        return self.spark.read.schema("term string, df long, idf double, bucket int").parquet(f"{self.folder}/terms")
+        return self._read("terms", "term string, df long, idf double, bucket int")
 
     def figures(self) -> DataFrame:
-        return self.spark.read.schema("n_docs long, avgdl double, mean_idf double").parquet(f"{self.folder}/figures")
+        return self._read("figures", "n_docs long, avgdl double, mean_idf double")
 
     def bm25(self, query: str, drop: Sequence[str] = ()) -> DataFrame:
         """(doc_id, score) of documents that have a query term. A term repeated in the query counts again."""
@@ -63,7 +69,7 @@ class KeywordIndex:
         weights = {w: wanted.count(w) for w in wanted}
         if not weights:
             return self.spark.createDataFrame([], "doc_id long, score double")
-        buckets = [r[0] for r in self.spark.createDataFrame([(w,) for w in weights], "term string").select(bucket_of(F.col("term"))).distinct().collect()]
+        buckets = sorted(set(self.spark.sql("SELECT 1").select(*(bucket_of(F.lit(w)) for w in weights)).first()))
         mine = F.col("bucket").isin(buckets) & F.col("term").isin(list(weights))
         figures = self.figures().first()
         idfs = {r["term"]: r["idf"] for r in self.terms().filter(mine).collect()}  # at most a row for each word of the query
