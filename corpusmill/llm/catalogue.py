@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, byte_bpe, fingerprints, line_dedup, near_dedup, packing, quality, sharding, token_counts, token_files, whitening
+from . import archives, byte_bpe, divergence, fingerprints, line_dedup, near_dedup, packing, quality, sharding, token_counts, token_files, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_archives": archives.op9_archives,
     "op10_quality": quality.op10_quality,
     "op12_whitening": whitening.op12_whitening,
+    "op13_divergence": divergence.op13_divergence,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op9_archives": archives.ORACLE, "op10_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op9_archives": archives.ORACLE, "op10_quality": quality.ORACLE, "op13_divergence": divergence.ORACLE}
