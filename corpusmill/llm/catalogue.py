@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, byte_bpe, divergence, fingerprints, line_dedup, near_dedup, packing, quality, sharding, token_counts, token_files, whitening
+from . import archives, byte_bpe, divergence, fingerprints, line_dedup, near_dedup, packing, quality, sharding, token_counts, token_files, toxicity, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_archives": archives.op9_archives,
     "op10_quality": quality.op10_quality,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_whitening": whitening.op12_whitening,
     "op13_divergence": divergence.op13_divergence,
 }
