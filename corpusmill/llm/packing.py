@@ -1,10 +1,10 @@
 """Packing of documents into sequences by patterns of few lengths and non-negative least squares.
 
 Only the histogram of piece lengths (at most ``size`` counts) reaches the driver. There, repeat counts of
-patterns (a few lengths that fit in a sequence, with or without a gap) are fitted by
+patterns (a few lengths that fill a sequence, but for a small gap) are fitted by
 non-negative least squares, to the histogram and to the least possible gap over all sequences. There are far
-more patterns than can be listed, so those that would lower the residual most are added until none
-would. Repeats are rounded (down, then up by largest remainder as long as pieces are there) and all kept;
+more patterns than can be listed, so the best ones around each length are enumerated against the residual,
+and those that would lower it are added until none would. Repeats are rounded (down, then up by largest remainder as long as pieces are there) and all kept;
 the fit is repeated on what is left, and what no pattern takes is packed best-fit. The plan depends on
 ``size`` alone in its bound, and is sent to every task; a piece finds its place from its length and its
 rank among the pieces of that length, which is counted in two levels (within a task's chunk, then over
@@ -26,8 +26,10 @@ from .token_ids import tokenizer
 from .workspace import Workspace, table
 
 SIZE = 1024
-#: A pattern has up to ``1 + 2 ** DOUBLINGS`` documents.
+#: A pattern has up to ``1 + 2 ** DOUBLINGS`` documents: few beside the thousand that short ones could be in a sequence.
 DOUBLINGS = 4
+#: A pattern leaves at most this share of a sequence free; looser sequences are for the residuals.
+FREE = 1 / 64
 #: Weight of the gap, in sequences, beside the histogram.
 GAP_WEIGHT = 5.0
 #: Patterns that would change the fit by less than this share of a length's mean count aren't added.
@@ -173,13 +175,13 @@ class NonNegative:
 def fit(counts: np.ndarray, size: int, known: list[tuple[int, ...]]) -> dict[tuple[int, ...], float]:
     """Patterns with positive repeat counts that come nearest to ``counts`` with the least gap.
 
-    ``known`` are patterns to begin with. Each turn solves the squares over the patterns at hand and adds
+    ``known`` are patterns of an earlier fit. Each turn solves the squares over the patterns at hand and adds
     the best new one around each length, until none would lower them by more than a trace.
     """
     squares = NonNegative(counts, size)
     lengths = squares.lengths
     trace = TRACE * max(1.0, float(counts.sum()) / max(1, len(lengths)))
-    seen = {p for p in known if all(counts[q] for q in p)} | {(q,) for q in lengths.tolist()}  # those of one length can fit any histogram
+    seen = {p for p in known if all(counts[q] for q in p)}
     squares.add(sorted(seen))
     while True:
         rest = squares.solve(trace)
@@ -187,7 +189,7 @@ def fit(counts: np.ndarray, size: int, known: list[tuple[int, ...]]) -> dict[tup
         value = np.full(size + 1, -np.inf)
         value[lengths] = rest[:-1] - gap * lengths / size
         parts, totals = best_patterns(value, size)
-        fresh = {tuple(sorted(q for q in p if q)) for p in parts[totals + gap > 2 * trace].tolist()} - seen
+        fresh = {tuple(sorted(q for q in p if q)) for p in parts[(totals + gap > 2 * trace) & (size - parts.sum(axis=1) <= FREE * size)].tolist()} - seen
         if not fresh:
             return {squares.patterns[j]: float(v) for j, v in zip(squares.on, squares.x.tolist(), strict=True)}
         squares.add(sorted(fresh))
@@ -244,7 +246,7 @@ def plan(counts: np.ndarray, size: int) -> tuple[list[tuple[list[int], int]], in
     found = [([size], int(counts[size]))] if counts[size] else []
     rest[size] = 0
     every, taken = int(rest.sum()), 0
-    known = [tuple(sorted(p)) for p, _ in best_fit(rest, size) if len(p) <= 1 + 2**DOUBLINGS]
+    known: list[tuple[int, ...]] = []
     while rest.sum() > LEFT * every:
         fitted = fit(rest, size, known)
         order = sorted(fitted, key=lambda p: (fitted[p] // 1 - fitted[p], p))
@@ -296,7 +298,7 @@ def token_pieces(docs: DataFrame, path: str, key: str, text: str, size: int, end
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, ws: Workspace | None = None) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most ``size`` tokens.
 
-    Null and empty texts are a piece with the end id alone. Repeated rows are packed as often as they
+    Null ids stay null and their documents are packed like others. Null and empty texts are a piece with the end id alone. Repeated rows are packed as often as they
     occur; extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
