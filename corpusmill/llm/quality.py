@@ -6,7 +6,9 @@ read from it has a bounded relative error, and sketches merge by adding counts.
 weighted with those of its language, and these with the whole table's, as if the larger group's sketch
 had ``PRIOR`` rows in the smaller one's: however few rows a group has, its own count to that extent.
 A text fails when a ratio lies far outside the span between two quantiles of its group; a rate has to
-do so by more than the chance error of the text's own count. Sketches add up whatever way rows are
+do so by more than the chance error of the text's own count, and its span is no less than what a single
+occurrence makes in a text of the table's median size, which is sketched as well: groups in which a rate is nearly always
+0 have no span of their own. Sketches add up whatever way rows are
 dealt, so thresholds don't depend on partitioning.
 """
 
@@ -27,6 +29,8 @@ FENCE = 6
 ERRORS = 3
 #: Ratio: the two quantiles in percent, how many units come at once in the count (0: no count), and whether low values fail as well.
 RATIOS = {"word_length": (25, 75, 0, True), "symbols": (50, 75, 1, False), "dup_lines": (50, 90, 1, False), "repeats": (50, 90, 3, False)}
+#: Sizes of texts by which rates are measured.
+SIZES = ("n_words", "n_lines")
 #: Groups with more than this share of all rows are hot: there are at most 1 / share of them.
 HOT_SHARE = 1e-4
 
@@ -69,6 +73,10 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+#: Ratio: its count, the size that the count is divided by, and the unit.
+TERMS = {"word_length": ("word_chars", "n_words", 100), "symbols": ("n_symbols", "n_words", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000)}
+
+
 def _ratios(sure: bool = False) -> dict[str, Column]:
     """Integer ratios of a measured row; ``sure`` takes the chance error off the counts of rates."""
 
@@ -77,8 +85,7 @@ def _ratios(sure: bool = False) -> dict[str, Column]:
             count = f"greatest(cast(floor({count} - {ERRORS} * sqrt({clump} * {count})) as bigint), 0L)"
         return F.expr(f"{by} * {count} div greatest({n}, 1)")
 
-    terms = {"word_length": ("word_chars", "n_words", 100), "symbols": ("n_symbols", "n_words", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000)}
-    return {r: per(*terms[r], RATIOS[r][2]) for r in RATIOS}
+    return {r: per(*TERMS[r], RATIOS[r][2]) for r in RATIOS}
 
 
 def bucket_of(v: Column) -> Column:
@@ -99,8 +106,9 @@ def bucket_bottom(b: Column) -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, n): add ``n`` over any rows or keys to merge sketches."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("ratio"), bucket_of(c).alias("bucket")) for name, c in _ratios().items()))).alias("x")
+    """(lang, source, ratio, bucket, n), of ratios and sizes: add ``n`` over any rows or keys to merge sketches."""
+    sketched = _ratios() | {n: F.col(n) for n in SIZES}
+    pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("ratio"), bucket_of(c).alias("bucket")) for name, c in sketched.items()))).alias("x")
     rows = measured.filter(~F.col("base_failed")).select("lang", "source", pairs)
     return rows.groupBy("lang", "source", F.col("x.ratio").alias("ratio"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -122,19 +130,26 @@ def _quantiles(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
         step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when((s["hit"] < 0) & (100 * (s["seen"] + x["n"]) >= percent * F.col("total")), x["bucket"]).otherwise(s["hit"]).alias("hit"))
         return edge(F.aggregate("b", state, step, lambda s: s["hit"]))
 
-    low, high = (_by_ratio({r: v[i] for r, v in RATIOS.items()}) for i in (0, 1))
+    low, high = (_by_ratio({r: v[i] for r, v in RATIOS.items()} | dict.fromkeys(SIZES, 50)) for i in (0, 1))
     return held.select(*(F.col(k).alias(f"{tag}_{k}") for k in keys), F.col("ratio").alias(f"{tag}_ratio"), F.col("total").alias(f"{tag}_n"), at(low, bucket_bottom).alias(f"{tag}_low"), at(high, bucket_top).alias(f"{tag}_high"))
 
 
 def thresholds(sketch: DataFrame, prior: int = PRIOR, fence: int = FENCE) -> DataFrame:
     """One row per (lang, source): rows, and low and high bound of every ratio."""
-    group, language, whole = _quantiles(sketch, ["lang", "source"], "g"), _quantiles(sketch, ["lang"], "l"), _quantiles(sketch, [], "a")
+    ratios = sketch.filter(F.col("ratio").isin(*RATIOS))
+    group, language, whole = _quantiles(ratios, ["lang", "source"], "g"), _quantiles(ratios, ["lang"], "l"), _quantiles(sketch, [], "a")
+    medians = whole.agg(*(F.max(F.when(F.col("a_ratio") == n, F.col("a_high"))).alias(f"s_{n}") for n in SIZES))
+    whole = whole.filter(F.col("a_ratio").isin(*RATIOS)).crossJoin(medians)  # one row
+    least = F.lit(0)
+    for r, (_, n, by) in TERMS.items():
+        least = F.when(F.col("a_ratio") == r, F.expr(f"coalesce({by * RATIOS[r][2]} div nullif(s_{n}, 0), 0)")).otherwise(least)
+    whole = whole.withColumn("least", least)
     joined = group.join(language, F.col("g_lang").eqNullSafe(F.col("l_lang")) & (F.col("g_ratio") == F.col("l_ratio")))
     joined = joined.join(F.broadcast(whole), F.col("g_ratio") == F.col("a_ratio"))  # a row for each ratio
     mean = lambda n, own, other: F.expr(f"({n} * {own} + {prior} * {other}) div ({n} + {prior})")
     for q in ("low", "high"):
         joined = joined.withColumn(f"m_{q}", mean("l_n", f"l_{q}", f"a_{q}")).withColumn(q, mean("g_n", f"g_{q}", f"m_{q}"))
-    span = fence * (F.col("high") - F.col("low"))
+    span = fence * F.greatest(F.col("high") - F.col("low"), F.col("least"))
     bound = F.struct((F.col("low") - span).alias("low"), (F.col("high") + span).alias("high"))
     return joined.groupBy(F.col("g_lang").alias("t_lang"), F.col("g_source").alias("t_source")).agg(F.max("g_n").alias("t_n"), *(F.max(F.when(F.col("g_ratio") == r, bound)).alias(f"t_{r}") for r in RATIOS))
 
@@ -190,9 +205,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     bucket = lambda v: f"(16 * greatest(length(bin({v})) - 5, 0) + ({v} >> greatest(length(bin({v})) - 5, 0)::int))"
     top = lambda b: f"CASE WHEN {b} < 32 THEN {b} ELSE (({b} - 16 * ({b} // 16 - 1) + 1) << ({b} // 16 - 1)::int) - 1 END"
-    terms = {"word_length": ("word_chars", "n_words", 100), "symbols": ("n_symbols", "n_words", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000)}
-    ratio = {r: f"{by} * {c} // greatest({n}, 1)" for r, (c, n, by) in terms.items()}
-    sure = {r: f"{by} * {f'greatest(floor({c} - {ERRORS} * sqrt({RATIOS[r][2]} * {c}))::BIGINT, 0)' if RATIOS[r][2] else c} // greatest({n}, 1)" for r, (c, n, by) in terms.items()}
+    ratio = {r: f"{by} * {c} // greatest({n}, 1)" for r, (c, n, by) in TERMS.items()}
+    sure = {r: f"{by} * {f'greatest(floor({c} - {ERRORS} * sqrt({RATIOS[r][2]} * {c}))::BIGINT, 0)' if RATIOS[r][2] else c} // greatest({n}, 1)" for r, (c, n, by) in TERMS.items()}
+    least = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {by * RATIOS[r][2]} // (SELECT {n} FROM med)" for r, (_, n, by) in TERMS.items()) + " ELSE 0 END"
     case = lambda i: "CASE ratio " + " ".join(f"WHEN '{r}' THEN {v[i]}" for r, v in RATIOS.items()) + " END"
     parts = []
     for tag, keys in (("g", "lang, source, "), ("l", "lang, "), ("a", "")):
@@ -217,10 +232,12 @@ m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_st
   FROM split LEFT JOIN rep USING (doc_id)),
 mb AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 long AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{r}' AS ratio, {ratio[r]} AS v, {sure[r]} AS s FROM mb" for r in RATIOS)}),
+med AS (SELECT {", ".join(f"(SELECT {top('min(b)')} FROM (SELECT b, sum(count(*)) OVER (ORDER BY b) AS seen, sum(count(*)) OVER () AS total FROM (SELECT {bucket(n)} AS b FROM mb WHERE NOT base_failed) GROUP BY b) WHERE 100 * seen >= 50 * total) AS {n}" for n in SIZES)}),
 sketch AS (SELECT lang, source, ratio, {bucket("v")} AS b, count(*)::BIGINT AS n FROM long WHERE NOT base_failed GROUP BY ALL),{",".join(parts)},
 lm AS (SELECT l4.lang, l4.ratio, {mean("l4.n", "l4.lo", "a4.lo")} AS lo, {mean("l4.n", "l4.hi", "a4.hi")} AS hi FROM l4 JOIN a4 USING (ratio)),
-gm AS (SELECT g4.lang, g4.source, g4.ratio, {mean("g4.n", "g4.lo", "lm.lo")} AS lo, {mean("g4.n", "g4.hi", "lm.hi")} AS hi FROM g4 JOIN lm ON g4.lang IS NOT DISTINCT FROM lm.lang AND g4.ratio = lm.ratio),
-verdict AS (SELECT doc_id, bool_and(s <= hi + {FENCE} * (hi - lo) AND (x.ratio NOT IN ({low_too}) OR s >= lo - {FENCE} * (hi - lo))) AS fine
+gm0 AS (SELECT g4.lang, g4.source, g4.ratio, {mean("g4.n", "g4.lo", "lm.lo")} AS lo, {mean("g4.n", "g4.hi", "lm.hi")} AS hi FROM g4 JOIN lm ON g4.lang IS NOT DISTINCT FROM lm.lang AND g4.ratio = lm.ratio),
+gm AS (SELECT *, greatest(hi - lo, {least}) AS span FROM gm0),
+verdict AS (SELECT doc_id, bool_and(s <= hi + {FENCE} * span AND (x.ratio NOT IN ({low_too}) OR s >= lo - {FENCE} * span)) AS fine
   FROM long x JOIN gm ON x.lang IS NOT DISTINCT FROM gm.lang AND x.source IS NOT DISTINCT FROM gm.source AND x.ratio = gm.ratio GROUP BY doc_id)
 SELECT mb.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, true) AS kept
 FROM mb LEFT JOIN verdict USING (doc_id)"""

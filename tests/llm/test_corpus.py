@@ -280,3 +280,13 @@ def test_near_stage_links_from_080(spark):
     docs = spark.createDataFrame([(d, t, "en", "s0", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     assert got == {d for d in texts if want[d] == d}
+
+
+def test_near_uniform_groups_keep_long_texts(spark):
+    """Where a rate is nearly always 0, a few occurrences in a long text are no sign; many still are."""
+    clean = [(i, " ".join(f"w{i * 200 + j:05d}" for j in range(200)), "en", "s") for i in range(300)]
+    lines = [" ".join(f"v{8 * i + j:05d}" for j in range(8)) for i in range(997)]
+    long = [(1000, "\n".join(lines + lines[:3]), "en", "s"), (1001, "\n".join(lines), "en", "s"), (1002, "\n".join(lines[:600] + lines[:400]), "en", "s"), (1003, " ".join(f"u{j:05d}#" for j in range(200)), "en", "s")]
+    df = spark.createDataFrame(clean + long, "doc_id long, text string, lang string, source string")
+    dropped = {r["doc_id"] for r in quality.quality_verdicts(df).filter("NOT kept").collect()}
+    assert dropped == {1002, 1003}
