@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .workspace import Workspace, table
 
 #: Labelled rows that the fit uses at most (in the mean: rows are taken by a hash of their key).
-FIT_ROWS = 50_000
+FIT_ROWS = 30_000
 #: Remainders of crc32(key) by FOLDS: 0 is held out, LEXICON learn entries and exceptions, the other is for the logistic function.
 FOLDS, LEXICON = 5, (1, 2, 3)
 #: Toxic rows that an entry is in at least, and the standard errors by which its weight has to be positive.
@@ -48,29 +48,46 @@ HIDDEN = "­​‌‍⁠﻿"
 
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {ord(c): None for c in HIDDEN}
 _TO_I, _TO_L = (str.maketrans(DIGITS | {c: letter for c in "1!|"}) for letter in "il")
-_TOKEN = re.compile(r"[^\W_](?:[\w@$!|]*[^\W_])?|[@$](?:[\w@$!|]*[^\W_])")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[0134578@$!|9]")
+#: Letters as ranges, which are matched faster than by class: signs, spaces and digits of other scripts are left out.
+_LETTER = "a-zªµºß-öø-῿Ⰰ-ⷿ぀-퟿豈-﷿ﹰ-﻾ｦ-ￜ\U00010000-\U0010ffff"
+_SIGN = r"0134578@$9!|"
+_LETTERS = re.compile(f"[{_LETTER}]+")
+_ODD = re.compile(f"[{''.join(map(chr, _FOLD))}]")
+_SIGNED = re.compile(f"[{_SIGN}]")
+#: Words with signs inside or before letters, or digits and dollars behind them.
+_MIXED = re.compile(f"[{_LETTER}{_SIGN}]*(?:[{_LETTER}][{_SIGN}]+[{_LETTER}]|[0134578@$9][{_LETTER}]|[{_LETTER}][0134578$9])[{_LETTER}{_SIGN}]*")
 _EITHER = re.compile(r"[1!|]")
 
 
+def _spelt(token: str) -> str:
+    """A word of letters and signs in letters; in both forms if a sign may be i or l. Marks behind it stay marks."""
+    core = token.rstrip("!|@")
+    both = [core.translate(_TO_I), core.translate(_TO_L)] if _EITHER.search(core) else [core.translate(_TO_I)]
+    return f" {' '.join(both)} "
+
+
 def folded(text: str) -> list[str]:
     """Words of a text after folding. A word with a sign for i or l comes in both forms."""
-    out = []
     plain = text.lower()
-    if not plain.isascii():
+    if not plain.isascii() and _ODD.search(plain):
         plain = plain.translate(_FOLD)
-    for token in _TOKEN.findall(plain):
-        if token.isalpha():
-            out.append(token)
+    if not _SIGNED.search(plain):
+        return _LETTERS.findall(plain)
+    out, at = [], 0
+    for m in _SIGNED.finditer(plain):  # only what lies around a sign is looked at closely
+        if m.start() < at:
             continue
-        if _MIXED.search(token) and _LETTERS.search(token):
-            out += _LETTERS.findall(token.translate(_TO_I))
-            if _EITHER.search(token):
-                out += _LETTERS.findall(token.translate(_TO_L))
-        else:
-            out += _LETTERS.findall(token)
-    return out
+        low, high = m.start(), m.end()
+        while low > at and (_LETTERS.match(plain, low - 1) or _SIGNED.match(plain, low - 1)):
+            low -= 1
+        while high < len(plain) and (_LETTERS.match(plain, high) or _SIGNED.match(plain, high)):
+            high += 1
+        out.append(plain[at:low])
+        token = plain[low:high]
+        out.append(_spelt(token) if _MIXED.fullmatch(token) else token)
+        at = high
+    out.append(plain[at:])
+    return _LETTERS.findall("".join(out))
 
 
 def entries_of(words: list[str]) -> set[str]:
