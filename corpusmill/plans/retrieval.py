@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T, vectors as V
-from corpusmill.operators import boosting, context, dense, expansion, fusion, index, lexical
+from corpusmill.operators import boosting, context, dense, expansion, fusion, index, lexical, vector_index
 from corpusmill.plans.registry import query, table
 from corpusmill.workspace import Workspace
 
@@ -141,6 +141,28 @@ def multi_query_topk(spark, sf):
     return _multi(spark, sf)
 
 
+def _vector_index(spark, sf):
+    ws = Workspace(spark, "vector-index")
+    e = table(spark, sf, "embeddings")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_index"), F.col("embedding").alias("q"))
+    return vector_index.VectorIndex.build(e, ws.folder("index")), asked, ws
+
+
+@query("vector_index_exact", f"""WITH {_MULTI.replace("rank <= 20", "rank <= 10")} SELECT query_index, vec_id, score, rank::INT AS rank FROM multi""")
+def vector_index_exact(spark, sf):
+    """Builds the index and searches it to the end: cells beyond the probes are read where their bound allows a hit."""
+    found, asked, ws = _vector_index(spark, sf)
+    return found.search(asked, 10, exact=True, ws=ws).select("query_index", F.col("key").alias("vec_id"), "score", "rank")
+
+
+@query("vector_index_recall", "SELECT count(*)::BIGINT AS n_queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, sf):
+    """Whether the probed cells alone have nine tenths of the true neighbours."""
+    found, asked, ws = _vector_index(spark, sf)
+    exact = ws.save(found.search(asked, 10, exact=True, ws=ws), "exact")
+    return vector_index.recall(found.search(asked, 10), exact).select("n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def _joined(found):
     return found.withColumn("query_indices", F.array_join(F.col("query_indices").cast("array<string>"), ","))
 
@@ -322,10 +344,10 @@ def model_boost(spark, sf):
     return table(spark, sf, "documents").select("doc_id", boosting.model_boost(name, "logic of qm-1").alias("boost"))
 
 
-@query("code_boost", "SELECT doc_id, round((doc_id % 10 + 1) * CASE WHEN doc_id % 7 IN (3, 5) THEN 1.5 ELSE 1.0 END, 6)::DOUBLE AS score FROM documents WHERE text IS NOT NULL AND NOT contains(text, '60.1.7') ")
+@query("code_boost", "SELECT doc_id, round((doc_id % 10 + 1) * CASE WHEN doc_id % 7 IN (3, 5) OR contains(text, '60.1.7') THEN 1.5 ELSE 1.0 END, 6)::DOUBLE AS score FROM documents WHERE text IS NOT NULL")
 def code_boost(spark, sf):
     """Texts with a code each, of which the question names two."""
-    rows = table(spark, sf, "documents").filter("text IS NOT NULL AND NOT contains(text, '60.1.7')")
+    rows = table(spark, sf, "documents").filter("text IS NOT NULL")
     coded = F.concat("text", F.lit(" see ERR-"), (500 + F.col("doc_id") % 7).cast("string"))
     return rows.select("doc_id", F.round(boosting.code_boost(coded, (F.col("doc_id") % 10 + 1).cast("double"), "fix err-503 or Err-505 in 60.1.7"), 6).alias("score"))
 
