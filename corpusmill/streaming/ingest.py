@@ -1,10 +1,9 @@
-"""Structured Streaming: incremental ingestion, dedup, windows, cooldowns."""
+"""Structured Streaming: incremental ingestion, dedup, windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -66,25 +65,3 @@ def windowed_counts(events: DataFrame, width: str, late: str, step: str | None =
 
 def session_counts(events: DataFrame, gap: str, late: str, ts: str = "ts") -> DataFrame:
     return events.withWatermark(ts, late).groupBy("user_id", F.session_window(ts, gap)).agg(F.count("*").alias("n"))
-
-
-def cooled_alerts(alerts: DataFrame, gap: int, ts: str = "ts") -> DataFrame:
-    """(key, at): alerts at least ``gap`` seconds after the last one let through for their key.
-
-    The only state of a key is the time of that last alert.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted({int(t) for b in batches for t in b["at"]})
-        kept = []
-        for t in times:
-            if last is None or t - last >= gap:
-                kept.append(t)
-                last = t
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"key": [key[0]] * len(kept), "at": kept})
-
-    rows = alerts.select("key", F.unix_seconds(F.col(ts).cast("timestamp")).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, at long", "last long", "append", "NoTimeout")
