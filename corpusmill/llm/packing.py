@@ -13,6 +13,7 @@ chunks), so no length, however common, is ranked in one task.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -87,6 +88,7 @@ class NonNegative:
         self.x = np.zeros(0)
         self._inverse = np.zeros((0, 0))
         self._spare = np.zeros((0, 0))
+        self._held = np.zeros((0, len(self.wanted)))  # the positive columns, in their order
 
     def add(self, patterns: list[tuple[int, ...]]) -> None:
         rows = np.zeros((len(patterns), len(self.wanted)))
@@ -96,12 +98,20 @@ class NonNegative:
         self.patterns += patterns
         self.columns = np.concatenate([self.columns, rows])
 
+    def prune(self) -> None:
+        """Keep positive columns only: whoever prices patterns finds the others again when they are worth it."""
+        n = len(self.on)
+        self.patterns, self.columns, self.on = [self.patterns[j] for j in self.on], self._held[:n].copy(), list(range(n))
+
     def _room(self, n: int) -> None:
         if n > len(self._inverse):
             grown = np.zeros((2 * n, 2 * n))
             old = len(self._inverse)
             grown[:old, :old] = self._inverse
             self._inverse, self._spare = grown, np.empty_like(grown)
+            held = np.zeros((2 * n, len(self.wanted)))
+            held[:old] = self._held
+            self._held = held
 
     def _change(self, n: int, vector: np.ndarray, by: float) -> None:
         np.multiply(vector[:, None], (vector * by)[None, :], out=self._spare[:n, :n])
@@ -114,23 +124,27 @@ class NonNegative:
             m[: n + 1, [at, n]] = m[: n + 1, [n, at]]
             self.on[at] = self.on[n]
             self.x[at] = self.x[n]
+            self._held[at] = self._held[n]
         self.on.pop()
         self.x = self.x[:n]
         self._change(n, m[:n, n].copy(), -1 / m[n, n])
 
     def _solved(self) -> np.ndarray:
         n = len(self.on)
-        return self._inverse[:n, :n] @ (self.columns[self.on] @ self.wanted)
+        return self._inverse[:n, :n] @ (self._held[:n] @ self.wanted)
+
+    def _rest(self) -> np.ndarray:
+        return self.wanted - self.x @ self._held[: len(self.on)]
 
     def solve(self, trace: float) -> np.ndarray:
         """Turn columns positive, steepest first, until none would lower the squares by more than a trace; the residual."""
         n = len(self.on)
-        positive = self.columns[self.on]
+        positive = self._held[:n]
         if n:  # afresh, against rounding errors
             self._inverse[:n, :n] = np.linalg.inv(positive @ positive.T)
             self.x = self._solved()
         while True:
-            rest = self.wanted - self.x @ self.columns[self.on]
+            rest = self._rest()
             slope = self.columns @ rest
             slope[self.on] = -np.inf
             near = np.argsort(-slope, kind="stable")[:200]
@@ -140,16 +154,15 @@ class NonNegative:
                 return rest
 
     def _turn(self, near: np.ndarray, trace: float) -> bool:
-        some, open_ = False, np.ones(len(near), dtype=bool)
+        some, open_, columns = False, np.ones(len(near), dtype=bool), self.columns[near]
         while True:
-            rest = self.wanted - self.x @ self.columns[self.on]
-            slope = np.where(open_, self.columns[near] @ rest, -np.inf)
+            slope = np.where(open_, columns @ self._rest(), -np.inf)
             i = int(np.argmax(slope))
             if not slope[i] > trace:
                 return some
             open_[i] = False
             j, n = int(near[i]), len(self.on)
-            shared = self.columns[self.on] @ self.columns[j]
+            shared = self._held[:n] @ self.columns[j]
             u = self._inverse[:n, :n] @ shared
             schur = float(self.columns[j] @ self.columns[j]) - float(shared @ u)
             if schur < 1e-7:
@@ -160,6 +173,7 @@ class NonNegative:
             self._change(n, u, 1 / schur)
             self._inverse[:n, n] = self._inverse[n, :n] = -u / schur
             self._inverse[n, n] = 1 / schur
+            self._held[n] = self.columns[j]
             aim = np.append(self.x - u * step, step)
             self.x = np.append(self.x, 0.0)
             self.on.append(j)
@@ -183,17 +197,20 @@ def fit(counts: np.ndarray, size: int, known: list[tuple[int, ...]]) -> dict[tup
     trace = TRACE * max(1.0, float(counts.sum()) / max(1, len(lengths)))
     seen = {p for p in known if all(counts[q] for q in p)}
     squares.add(sorted(seen))
+    found = math.inf
     while True:
         rest = squares.solve(trace)
+        found, before = float(rest @ rest), found
+        squares.prune()
+        seen = set(squares.patterns)
         gap = GAP_WEIGHT * float(rest[-1])  # what a sequence that is all gap would add to the slope
         value = np.full(size + 1, -np.inf)
         value[lengths] = rest[:-1] - gap * lengths / size
         parts, totals = best_patterns(value, size)
         fresh = {tuple(sorted(q for q in p if q)) for p in parts[(totals + gap > 2 * trace) & (size - parts.sum(axis=1) <= FREE * size)].tolist()} - seen
-        if not fresh:
+        if not fresh or found >= before:
             return {squares.patterns[j]: float(v) for j, v in zip(squares.on, squares.x.tolist(), strict=True)}
         squares.add(sorted(fresh))
-        seen |= fresh
 
 
 def best_fit(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
