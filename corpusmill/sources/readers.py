@@ -56,7 +56,11 @@ def is_code(path) -> Any:
 
 def repo_files(spark: SparkSession, landed: str, include: Sequence[str] = (), exclude: Sequence[str] = (), types: Sequence[str] = (), history: int = 10) -> DataFrame:
     """Landed repository files (JSON, one object for each file) as documents with their latest commits."""
-    raw = spark.read.schema(REPO_FILE).json(landed)
+    return repo_documents(spark.read.schema(REPO_FILE).json(landed), include, exclude, types, history)
+
+
+def repo_documents(raw: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), types: Sequence[str] = (), history: int = 10) -> DataFrame:
+    """Rows of ``REPO_FILE``, landed or read from a service (``sources.repository``), as documents with their latest commits."""
     raw = raw.filter(P.path_allowed(F.col("file_path"), include, exclude) & P.type_allowed(F.col("file_path"), types))
     ordered = F.slice(F.reverse(F.array_sort(F.transform("commits", lambda c: F.struct(c["author_date"].alias("d"), c.alias("c"))))), 1, history)
     raw = raw.withColumn("commits", F.transform(ordered, lambda x: x["c"]))
