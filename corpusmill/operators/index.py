@@ -13,28 +13,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusmill.operators.lexical import B, EPSILON, K1, _words
 
 BUCKETS = 64
+#: Bucket of the rows that hold documents' lengths.
+LENGTHS = -1
 
 
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", drop: Sequence[str] = ()) -> KeywordIndex:
-    """Write postings (term, doc_id, tf, dl), term statistics (term, df, idf) and one row of corpus figures.
+def term_rows(docs: DataFrame, key: str, text: str, drop: Sequence[str]) -> DataFrame:
+    """(doc_id, term, tf, dl, bucket) of every row, and one row with the empty term for each, in a bucket of its own.
 
-    The texts are tokenised once. A frequent term's postings are dealt over many files of its folder.
-    Rows without text count as documents and have no terms; rows of one key are one document.
+    Terms are counted inside the row, from the starts of equal ones in the sorted words: nothing is shuffled.
     """
-    spark = docs.sparkSession
-    words = docs.select(F.col(key).alias("doc_id"), _words(text, drop).alias("w"))
-    rows = words.select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-    postings = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")).withColumn("bucket", bucket_of(F.col("term")))
-    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    dealt = postings.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
-    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    found = KeywordIndex(spark, folder)
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(_words(text, drop))).alias("avgdl"))
-    df = found.postings().groupBy("bucket", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n_docs")))  # one row
+    words = docs.select(F.col(key).alias("doc_id"), F.sort_array(_words(text, drop)).alias("w"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    words = words.select("doc_id", "w", F.size("w").cast("long").alias("dl"), F.when(F.size("w") > 0, starts).alias("s"))
+    tf = lambda i, j: (F.coalesce(F.get("s", j + 1), F.size("w")) - i).cast("long")
+    counted = F.transform("s", lambda i, j: F.struct(F.get("w", i).alias("term"), tf(i, j).alias("tf")))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")))
+    length = F.when(F.col("w").isNotNull(), F.col("dl"))  # of no text: none
+    rows = words.select("doc_id", length.alias("dl"), F.inline(F.concat(whole, F.coalesce(counted, F.array().cast("array<struct<term:string,tf:bigint>>")))))
+    return rows.select("doc_id", "term", "tf", "dl", F.when(F.col("term") == "", LENGTHS).otherwise(bucket_of(F.col("term"))).alias("bucket"))
+
+
+def write_postings(rows: DataFrame, folder: str) -> None:
+    """Folders by bucket, sorted by term; one shuffle. A frequent term's postings are dealt over many files of its folder."""
+    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
+    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def write_figures(found: KeywordIndex) -> KeywordIndex:
+    """Term statistics and the row of corpus figures, from the postings."""
+    folder = found.folder
+    every = found.postings()
+    totals = every.filter(F.col("bucket") == LENGTHS).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = every.filter(F.col("bucket") != LENGTHS).groupBy("bucket", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n_docs")))  # one row
     idf = F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     terms = df.select("bucket", "term", "df", idf.alias("idf"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
@@ -42,6 +57,16 @@ def build_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
     return found
 
 
+def build_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", drop: Sequence[str] = ()) -> KeywordIndex:
+    """Write postings (term, doc_id, tf, dl), term statistics (term, df, idf) and one row of corpus figures.
+
+    The texts are read and tokenised once, all else comes from the postings. Rows without text count as
+    documents and have no terms. Rows are documents; where several have one key, their scores are added up.
+    """
+    write_postings(term_rows(docs, key, text, drop), f"{folder}/postings")
+    return write_figures(KeywordIndex(docs.sparkSession, folder))
+
+
 class KeywordIndex:
     """What ``build_index`` wrote to a folder."""
 

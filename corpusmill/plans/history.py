@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import evaluation as E, lineage as L, ordered as O, tracker as K
 from corpusmill.plans.registry import query, table
+from corpusmill.sources import keyed
+from corpusmill.workspace import Workspace
 
 # -- tracker: documents stand in for scans, every third one is unknown and some have other hashes
 
@@ -361,3 +363,16 @@ def retention_filter(spark, sf):
 @query("event_counts", "SELECT event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def event_counts(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("keyed_store", """WITH k AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'again: ' || coalesce(text, '') ELSE text END AS text FROM documents
+UNION ALL SELECT doc_id + 1000000000, source, text FROM documents WHERE doc_id % 11 = 0)
+SELECT doc_id, source, md5(text) AS digest FROM k WHERE doc_id % 13 <> 0""")
+def keyed_store(spark, sf):
+    """Documents kept by id: some written again, some added, some deleted."""
+    ws, docs = Workspace(spark, "keyed-store"), table(spark, sf, "documents").select("doc_id", "source", "text")
+    store = keyed.KeyedStore.create(docs, ws.folder("store"), ["doc_id"], buckets=32)
+    again = docs.filter("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("again: "), F.coalesce("text", F.lit(""))))
+    store.upsert(again.unionByName(docs.filter("doc_id % 11 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)))
+    store.delete(store.rows().filter("doc_id % 13 = 0"))
+    return store.rows().select("doc_id", "source", F.md5("text").alias("digest"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T, vectors as V
 from corpusmill.operators import boosting, context, dense, expansion, fusion, index, lexical, vector_index
 from corpusmill.plans.registry import query, table
-from corpusmill.workspace import Workspace
+from corpusmill.workspace import Workspace, file_states
 
 ASK = "the tion of and inthe treatment with select"
 WORDS = ASK.split()
@@ -33,9 +33,9 @@ _INDEXES: dict[tuple, index.KeywordIndex] = {}
 
 def keyword_index(spark, sf):
     """The index of a folder's documents: built by the first query of an application that needs it, and used by all
-    that follow as long as the folder has the same files."""
+    that follow as long as the folder has the same files, of the same lengths and times."""
     docs = table(spark, sf, "documents")
-    files = (spark.sparkContext.applicationId, sf, tuple(sorted(docs.inputFiles())))
+    files = (spark.sparkContext.applicationId, sf, file_states(spark, docs.inputFiles()))
     if files not in _INDEXES:
         _INDEXES[files] = index.build_index(docs, Workspace(spark, "keyword-index").path)
     return _INDEXES[files]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import urllib.parse
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def file_states(spark: SparkSession, files: Iterable[str]) -> str:
+    """A digest of files' names, lengths and times of change: the same as long as none is written again."""
+    found = hashlib.sha256()
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        p, fs = _file_system(spark, urllib.parse.unquote(folder))
+        states = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p) if s.isFile())
+        found.update(repr(states).encode())
+    return found.hexdigest()
+
+
 class Workspace:
     """Tables written once and read back: they cut lineage and outlive lost executors.
 
