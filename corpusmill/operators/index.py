@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmill.operators.lexical import B, EPSILON, K1, _words
+from corpusmill.workspace import delete, exists
 
 BUCKETS = 64
 #: Bucket of the rows that hold documents' lengths.
@@ -44,12 +45,17 @@ def write_postings(rows: DataFrame, folder: str) -> None:
     dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
-def write_figures(found: KeywordIndex) -> KeywordIndex:
-    """Term statistics and the row of corpus figures, from the postings."""
+def term_counts(postings: DataFrame) -> DataFrame:
+    """(bucket, term, df): documents of each term."""
+    return postings.filter(F.col("bucket") != LENGTHS).groupBy("bucket", "term").agg(F.count("*").alias("df"))
+
+
+def write_figures(found: KeywordIndex, counts: DataFrame | None = None) -> KeywordIndex:
+    """Term statistics and the row of corpus figures, from the postings (or from ``counts`` of documents of each term)."""
     folder = found.folder
     every = found.postings()
     totals = every.filter(F.col("bucket") == LENGTHS).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = every.filter(F.col("bucket") != LENGTHS).groupBy("bucket", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n_docs")))  # one row
+    df = (term_counts(every) if counts is None else counts).crossJoin(F.broadcast(totals.select("n_docs")))  # one row
     idf = F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     terms = df.select("bucket", "term", "df", idf.alias("idf"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
@@ -105,3 +111,109 @@ class KeywordIndex:
         part = weight[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(figures["avgdl"])))
         hits = self.postings().filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(idfs)))
         return hits.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+class SegmentedIndex:
+    """A keyword index that grows: segments that never change, and marks of deleted documents.
+
+    ``add`` writes a segment of the new documents alone. ``FANOUT`` segments of a level are merged into one of the
+    next, without deleted documents, so a posting is written again once a level. A mark has the number of the newest segment
+    at its time: a document that is added again lies behind it. Each change writes a state of its own, and
+    a reader keeps the one that it began with; a change that fails leaves the last state in force.
+    """
+
+    FANOUT = 4
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id", text: str = "text", drop: Sequence[str] = ()):
+        self.spark, self.folder, self.key, self.text, self.drop = spark, folder.rstrip("/"), key, text, tuple(drop)
+
+    def _states(self) -> DataFrame | None:
+        return self.spark.read.schema("number long, newest long, segments map<long,int>, marks long").parquet(f"{self.folder}/state") if exists(self.spark, f"{self.folder}/state") else None
+
+    def _state(self) -> dict:
+        found = self._states()
+        row = found.orderBy(F.desc("number")).first() if found is not None else None
+        return row.asDict() if row else {"number": 0, "newest": 0, "segments": {}, "marks": 0}
+
+    def _commit(self, state: dict) -> None:
+        """``segments``: level of each; ``newest``: the last number given; ``marks``: writes of marks so far."""
+        state = state | {"number": state["number"] + 1}
+        rows = self.spark.createDataFrame([(state["number"], state["newest"], state["segments"], state["marks"])], "number long, newest long, segments map<long,int>, marks long")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/state")
+
+    def _segment(self, number: int) -> DataFrame:
+        found = self.spark.read.schema("doc_id long, term string, tf long, dl long, bucket int").parquet(f"{self.folder}/segment{number}/postings")
+        return found.withColumn("segment", F.lit(number).cast("long"))
+
+    def _joined(self, parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _marked(self, state: dict) -> DataFrame | None:
+        if not state["marks"]:
+            return None
+        marks = self.spark.read.schema("gone long, upto long").parquet(*(f"{self.folder}/marks{i}" for i in range(state["marks"])))
+        return marks.groupBy("gone").agg(F.max("upto").alias("upto"))
+
+    def _postings(self, state: dict, numbers: Sequence[int], alive: bool = True) -> DataFrame:
+        """Postings of segments that are alive, or those that are marked."""
+        rows = self._joined([self._segment(n) for n in sorted(numbers)])
+        marked = self._marked(state)
+        if marked is not None:
+            rows = rows.join(marked, (F.col("doc_id") == F.col("gone")) & (F.col("segment") <= F.col("upto")), "left_anti" if alive else "left_semi")
+        return rows.select("doc_id", "term", "tf", "dl", "bucket")
+
+    def _write(self, rows: DataFrame, number: int) -> None:
+        write_postings(rows, f"{self.folder}/segment{number}/postings")
+        term_counts(self._segment(number)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/segment{number}/counts")
+
+    def add(self, docs: DataFrame) -> None:
+        state = self._state()
+        number = state["newest"] + 1
+        self._write(term_rows(docs, self.key, self.text, self.drop), number)
+        state = state | {"newest": number, "segments": state["segments"] | {number: 0}}
+        while True:
+            levels = list(state["segments"].values())
+            full = next((x for x in sorted(set(levels)) if levels.count(x) >= self.FANOUT), None)
+            if full is None:
+                break
+            old = [n for n, level in state["segments"].items() if level == full]
+            number = state["newest"] + 1
+            self._write(self._postings(state, old), number)
+            state = state | {"newest": number, "segments": {n: x for n, x in state["segments"].items() if n not in old} | {number: full + 1}}
+        self._commit(state)
+
+    def delete(self, gone: DataFrame) -> None:
+        """Mark the documents of these keys; their postings go with the next merge of their segment."""
+        state = self._state()
+        gone.select(F.col(self.key).cast("long").alias("gone"), F.lit(state["newest"]).cast("long").alias("upto")).distinct().write.mode("overwrite").parquet(f"{self.folder}/marks{state['marks']}")
+        self._commit(state | {"marks": state["marks"] + 1})
+
+    def view(self) -> KeywordIndex:
+        """The index as it is now. Counts of terms are added up over segments, less those of marked documents; they are written once a state."""
+        state = self._state()
+        if not state["segments"]:
+            raise LookupError(f"{self.folder}: nothing was added yet")
+        numbers = list(state["segments"])
+        found = KeywordIndex(self.spark, f"{self.folder}/view{state['number']}")
+        found._tables["postings"] = self._postings(state, numbers)
+        if not exists(self.spark, f"{found.folder}/figures/_SUCCESS"):
+            counts = self._joined([self.spark.read.schema("term string, df long, bucket int").parquet(f"{self.folder}/segment{n}/counts") for n in numbers])
+            if state["marks"]:
+                counts = counts.unionByName(term_counts(self._postings(state, numbers, alive=False)).withColumn("df", -F.col("df")))
+            write_figures(found, counts.groupBy("bucket", "term").agg(F.sum("df").alias("df")).filter("df > 0"))
+        return found
+
+    def bm25(self, query: str) -> DataFrame:
+        return self.view().bm25(query, self.drop)
+
+    def sweep(self) -> None:
+        """Delete folders of segments and views that the state in force has no use for; no reader may be on an older one."""
+        state = self._state()
+        for n in range(1, state["newest"] + 1):
+            if n not in state["segments"]:
+                delete(self.spark, f"{self.folder}/segment{n}")
+        for n in range(state["number"]):
+            delete(self.spark, f"{self.folder}/view{n}")

@@ -55,6 +55,18 @@ def bm25_topk(spark, sf):
     return lexical.top_k(keyword_index(spark, sf).bm25(ASK), 20)
 
 
+@query("bm25_segments", f"WITH {BM25_SQL.replace('__DROP__', '').replace('FROM documents', 'FROM documents WHERE doc_id % 9 <> 0', 1).replace('FROM documents WHERE doc_id % 9 <> 0 WHERE', 'FROM documents WHERE doc_id % 9 <> 0 AND').replace('(SELECT count(*) AS n FROM documents)', '(SELECT count(*) AS n FROM documents WHERE doc_id % 9 <> 0)')} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
+def bm25_segments(spark, sf):
+    """The documents in three additions, one of them deleted and added again, every ninth deleted: as an index of what is left."""
+    found = index.SegmentedIndex(spark, Workspace(spark, "segments").folder("index"))
+    docs = table(spark, sf, "documents")
+    for i in range(3):
+        found.add(docs.filter(F.pmod("doc_id", F.lit(3)) == i))
+    found.delete(docs.filter("doc_id % 3 = 1 OR doc_id % 9 = 0"))
+    found.add(docs.filter("doc_id % 3 = 1"))
+    return lexical.top_k(found.bm25(ASK), 20)
+
+
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 

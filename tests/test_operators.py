@@ -431,3 +431,34 @@ def test_models_that_fail(monkeypatch):
         hooks.with_fallback(broken, broken)(["a"])
     with pytest.raises(OSError):
         hooks.with_retries(broken, tries=2)(["a"])
+
+
+def test_segments_are_as_a_rebuild(spark, tmp_path, monkeypatch):
+    """Additions, deletions, documents that come back, and merges on several levels."""
+    from corpusmill.operators import index
+
+    monkeypatch.setattr(index.SegmentedIndex, "FANOUT", 2)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "rare"]
+    text = lambda i, k=0: " ".join(words[(i * j + k) % (5 + (i % 7 == 0))] for j in range(1, 4 + i % 9))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    found = index.SegmentedIndex(spark, f"file://{tmp_path}/segments")
+    live = {}
+    for turn in range(5):
+        rows = [(i, text(i, turn)) for i in range(10 * turn, 10 * turn + 10)] + [(1000 + turn, None)]
+        found.add(frame(rows))
+        live.update(rows)
+        if turn in (1, 3):
+            gone = [i for i in live if i % 4 == turn]
+            found.delete(frame([(i, None) for i in gone]))
+            for i in gone:
+                del live[i]
+            back = [(i, text(i, 7)) for i in gone[:3]]
+            found.add(frame(back))
+            live.update(back)
+    rebuilt = index.build_index(frame(list(live.items())), f"file://{tmp_path}/rebuilt")
+    scores = lambda x: {(r["doc_id"], r["score"]) for r in x.bm25("alpha rare omega alpha").collect()}
+    assert scores(found) == scores(rebuilt) and len(scores(found)) > 10
+    state = found._state()
+    assert max(state["segments"].values()) >= 2 and len(state["segments"]) <= 3
+    found.sweep()
+    assert scores(found) == scores(rebuilt)
