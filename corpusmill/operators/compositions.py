@@ -72,6 +72,52 @@ def hierarchical(summaries: DataFrame, chunks: DataFrame, score: Callable[[Colum
     return rows.withColumn("rank", rank).filter(F.col("rank") <= each).select("summary_id", "summary", "chunk_id", "score", "rank")
 
 
+#: A word of the question has the first of these types of documents, and their boost.
+TYPE_WORDS = (("sql", "sql"), ("python", "python"), ("config", "yaml"))
+KEYWORD_BOOST, TYPE_BOOST = 0.1, 0.15
+
+
+def summary_relevance(score: Column, keywords: Column, kind: Column, question: str) -> Column:
+    """A summary's similarity, a tenth for each word of the question in its keywords, and a boost for the kind asked for."""
+    low = question.lower()
+    found = F.lit(0.0)
+    for word in low.split():
+        found = found + F.when(F.contains(F.lower(F.coalesce(keywords, F.lit(""))), F.lit(word)), KEYWORD_BOOST).otherwise(0.0)
+    boost = F.lit(0.0)
+    for word, name in reversed(TYPE_WORDS):
+        if word in low:
+            boost = F.when(F.contains(F.coalesce(kind, F.lit("")), F.lit(name)), TYPE_BOOST).otherwise(boost)
+    return F.round(score + found + boost, 6)
+
+
+def hierarchical_scored(summaries: DataFrame, chunks: DataFrame, question: str, top_k: int = 5, threshold: float = 0.7, each: int = 5) -> DataFrame:
+    """(position, kind, summary_id, doc_id, chunk_id, content, keywords, relevance) of the best texts for a question.
+
+    ``summaries(summary_id, doc_id, content, keywords, document_type, score)`` and ``chunks(doc_id, chunk_id, content, score)``,
+    scored for the question. Of the three times ``top_k`` most similar summaries (15 at most), the ``top_k`` most
+    relevant branch: at the threshold or above to the document's ``each`` best chunks, or, where it has
+    none, to the summary itself. A document is branched to once. Where no branch leads to a chunk, the
+    summaries below the threshold are the result too. Equal contents stay once, where they come first.
+    """
+    near = summaries.filter("score IS NOT NULL").orderBy(F.desc("score"), "summary_id").limit(min(3 * top_k, 15))
+    relevance = summary_relevance(F.col("score"), F.col("keywords"), F.col("document_type"), question)
+    near = near.withColumn("relevance", relevance).orderBy(F.desc("relevance"), F.desc("score"), "summary_id").limit(top_k)
+    near = near.withColumn("branch", F.row_number().over(Window.partitionBy().orderBy(F.desc("relevance"), F.desc("score"), "summary_id")))  # ``top_k`` rows
+    near = near.withColumn("routed", F.col("relevance") >= threshold)
+    near = near.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "routed").orderBy("branch"))).filter("NOT routed OR again = 1")
+    branches = near.filter("routed").select("branch", "summary_id", "doc_id", "keywords", "relevance")
+    rows = chunks.join(F.broadcast(branches), "doc_id")  # ``top_k`` rows
+    best = F.row_number().over(Window.partitionBy("branch").orderBy(F.desc("score"), "chunk_id"))
+    details = rows.withColumn("place", best).filter(F.col("place") <= each).select("branch", "place", F.lit("chunk").alias("kind"), "summary_id", "doc_id", "chunk_id", "content", "keywords", "relevance")
+    alone = near.join(details.select("branch").distinct(), "branch", "left_anti")
+    some = details.agg((F.count("*") > 0).alias("some"))
+    alone = alone.crossJoin(F.broadcast(some)).filter("routed OR NOT some")  # one row
+    alone = alone.select("branch", F.lit(1).alias("place"), F.lit("summary").alias("kind"), "summary_id", "doc_id", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), "content", "keywords", "relevance")
+    every = details.unionByName(alone).withColumn("first", F.row_number().over(Window.partitionBy(F.md5("content")).orderBy("branch", "place"))).filter("first = 1")
+    order = F.row_number().over(Window.partitionBy().orderBy("branch", "place"))  # at most ``top_k * each`` rows
+    return every.withColumn("position", order).filter(F.col("position") <= top_k).select("position", "kind", "summary_id", "doc_id", "chunk_id", "content", "keywords", "relevance")
+
+
 def evaluate(scores: DataFrame, bounds: dict[str, float], per_mille: int, key: str = "event_id") -> DataFrame:
     """(key, overall, n_violations, alerts): sampled rows with their weighted quality and the bounds they don't keep."""
     rows = evaluation.sampled(scores, key, per_mille)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T, vectors as V
-from corpusmill.operators import boosting, context, dense, expansion, fusion, index, lexical, vector_index
+from corpusmill.operators import boosting, compositions, context, dense, expansion, fusion, index, lexical, vector_index
 from corpusmill.plans.registry import query, table
 from corpusmill.workspace import Workspace, file_states
 
@@ -393,6 +393,46 @@ def hierarchical_retrieve(spark, sf):
     return tracker.top_per_group(rows, "label", [F.desc("score"), F.col("doc_id")], 5).select("label", "doc_id", "score", "rank")
 
 
+HOW = "the sql of treatment and how the tion"
+_BOOSTED = " + ".join(f"CASE WHEN contains(keywords, '{w}') THEN 0.1 ELSE 0.0 END" for w in HOW.lower().split())
+
+
+def _hierarchical_sql(threshold: float, top_k: int) -> str:
+    score = _rerank_sql(HOW)
+    return f"""WITH s AS (SELECT doc_id, text AS content, lower(split_part(text, chr(10), 1)) AS keywords, CASE WHEN contains(lower(text), 'select') THEN 'sql' ELSE 'text' END AS kind, round({score}, 6) AS score FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_id FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, chunk_id, text AS content, round({score}, 6) AS score FROM l WHERE length(text) >= 200),
+n AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT {min(3 * top_k, 15)}),
+r AS (SELECT *, round(score + {_BOOSTED} + CASE WHEN kind = 'sql' THEN 0.15 ELSE 0.0 END, 6) AS relevance FROM n),
+b AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, score DESC, doc_id) AS branch, relevance >= {threshold} AS routed FROM r QUALIFY branch <= {top_k}),
+d AS (SELECT branch, row_number() OVER (PARTITION BY branch ORDER BY c.score DESC, chunk_id) AS place, 'chunk' AS kind, b.doc_id, chunk_id, c.content, relevance FROM b JOIN c USING (doc_id) WHERE routed QUALIFY place <= 5),
+a AS (SELECT branch, 1 AS place, 'summary' AS kind, doc_id, NULL::BIGINT AS chunk_id, content, relevance FROM b WHERE branch NOT IN (SELECT branch FROM d) AND (routed OR NOT EXISTS (SELECT 1 FROM d))),
+e AS (SELECT * FROM (SELECT * FROM d UNION ALL SELECT * FROM a) QUALIFY row_number() OVER (PARTITION BY md5(content) ORDER BY branch, place) = 1)
+SELECT (row_number() OVER (ORDER BY branch, place))::INT AS position, kind, doc_id, chunk_id::BIGINT AS chunk_id, md5(content) AS digest, relevance FROM e QUALIFY position <= {top_k}"""
+
+
+def _hierarchical(spark, sf, threshold, top_k):
+    d = table(spark, sf, "documents").filter("text IS NOT NULL")
+    score = lambda: F.round(lexical.rerank_score(F.col("text"), HOW), 6).alias("score")
+    kind = F.when(F.contains(F.lower("text"), F.lit("select")), "sql").otherwise("text")
+    tops = d.select(F.col("doc_id").alias("summary_id"), "doc_id", F.col("text").alias("content"), F.lower(F.split_part("text", F.lit("\n"), F.lit(1))).alias("keywords"), kind.alias("document_type"), score())
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_id", "text")).filter(F.length("text") >= 200)
+    chunks = lines.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").alias("content"), score())
+    return compositions.hierarchical_scored(tops, chunks, HOW, top_k, threshold).select("position", "kind", "doc_id", "chunk_id", F.md5("content").alias("digest"), "relevance")
+
+
+@query("hierarchical_scored", _hierarchical_sql(0.7, 5))
+def hierarchical_scored(spark, sf):
+    """Documents stand for summaries, their lines of some length for chunks: some have none."""
+    return _hierarchical(spark, sf, 0.7, 5)
+
+
+@query("hierarchical_fallback", _hierarchical_sql(9.0, 5))
+def hierarchical_fallback(spark, sf):
+    """A threshold that nothing reaches: summaries alone."""
+    return _hierarchical(spark, sf, 9.0, 5)
+
+
 @query("query_expansion", "SELECT * FROM (VALUES (0, 'what is the logic of table qm1'), (1, 'what is the logic of table qm-1'), (2, 'what is the logic of table quality measure 1'), (3, 'what is the calculation of table qm1'), (4, 'what is the formula of table qm1')) t(query_index, query_text)")
 def query_expansion(spark, sf):
     return expansion.expanded(spark, "  What is  the LOGIC of table QM1 ")

@@ -462,3 +462,16 @@ def test_segments_are_as_a_rebuild(spark, tmp_path, monkeypatch):
     assert max(state["segments"].values()) >= 2 and len(state["segments"]) <= 3
     found.sweep()
     assert scores(found) == scores(rebuilt)
+
+
+def test_hierarchical_branches(spark):
+    """Boosts move summaries; a routed one without chunks stands for itself; a document is branched to once; equal texts stay once."""
+    from corpusmill.operators import compositions
+
+    tops = [("s1", "d1", "one", "cats dogs", "text", 0.5), ("s2", "d2", "two", "birds", "sql_model", 0.5), ("s3", "d3", "three", None, None, 0.9), ("s4", "d1", "four", "cats", "text", 0.55), ("s5", "d5", "five", "", "", 0.1)]
+    summaries = spark.createDataFrame(tops, "summary_id string, doc_id string, content string, keywords string, document_type string, score double")
+    chunks = spark.createDataFrame([("d1", 0, "a", 0.1), ("d1", 1, "b", 0.9), ("d2", 0, "b", 0.8), ("d2", 1, "c", 0.7), ("d5", 0, "z", 1.0)], "doc_id string, chunk_id long, content string, score double")
+    got = lambda **kw: [(r["kind"], r["summary_id"], r["content"], r["relevance"]) for r in compositions.hierarchical_scored(summaries, chunks, "SQL cats dogs", **kw).orderBy("position").collect()]
+    assert got(threshold=0.6) == [("summary", "s3", "three", 0.9), ("chunk", "s1", "b", 0.7), ("chunk", "s1", "a", 0.7), ("chunk", "s2", "c", 0.65)]
+    assert got(threshold=0.8) == [("summary", "s3", "three", 0.9), ("summary", "s1", "one", 0.7), ("summary", "s4", "four", 0.65), ("summary", "s2", "two", 0.65), ("summary", "s5", "five", 0.1)]
+    assert compositions.hierarchical_scored(summaries.limit(0), chunks, "x").count() == 0
