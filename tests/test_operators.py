@@ -306,6 +306,26 @@ def test_fuzzy_dups_all_has_every_language(spark, tmp_path):
     assert values(QUERIES["fuzzy_dups_all"](spark, f"file://{tmp_path}"), "a", "b") == [(0, 1), (2, 3), (4, 5)]
 
 
+def test_fuzzy_dups_all_against_all_pairs(spark):
+    """Of the smallest tables; pairs whose letters alone differ by too much needn't be measured."""
+    from collections import Counter
+
+    from conftest import SF
+    from corpusmill.plans.catalogue import QUERIES
+
+    first = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 0").select("doc_id", "text").orderBy("doc_id").collect():
+        first.setdefault(r["text"][:500], r["doc_id"])
+    heads = sorted((i, t, Counter(t)) for t, i in first.items())
+    want = set()
+    for n, (a, x, cx) in enumerate(heads):
+        for b, y, cy in heads[n + 1 :]:
+            longest = max(len(x), len(y))
+            if max((cx - cy).total(), (cy - cx).total()) < 0.05 * longest and round(1 - _edits(x, y) / longest, 6) > 0.95:
+                want.add((a, b))
+    assert {(r["a"], r["b"]) for r in QUERIES["fuzzy_dups_all"](spark, SF).collect()} == want and want
+
+
 def test_equal_heads_keep_their_members(spark):
     docs = spark.createDataFrame([(1, "h" * 500 + "a"), (2, "h" * 500 + "b"), (3, "x"), (4, ""), (5, None)], "doc_id long, text string")
     assert values(dedupe.head_classes(docs), "id", "first_id") == [(1, 1), (2, 1), (3, 3)]
