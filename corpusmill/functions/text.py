@@ -243,6 +243,16 @@ def citation(path: Column, start: Column, end: Column) -> Column:
     return F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
 
 
+def web_url(base: Column, repository: Column, path: Column, branch: Column) -> Column:
+    """Where a file of a repository can be seen, on a branch by its short name."""
+    return F.concat(base, F.lit("/_git/"), repository, F.lit("?path="), path, F.lit("&version=GB"), F.replace(branch, F.lit("refs/heads/"), F.lit("")))
+
+
+def daily_file(at: Column) -> Column:
+    """Name of the log of a time's day."""
+    return F.concat(F.date_format(at.cast("timestamp"), "yyyy-MM-dd"), F.lit(".jsonl"))
+
+
 def percentage(share: Column, digits: int = 0) -> Column:
     """With so many digits, halves to the even one."""
     return F.format_string(f"%.{digits}f%%", F.bround(share.cast("double"), digits))

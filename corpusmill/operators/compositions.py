@@ -168,3 +168,17 @@ def fresh_results(cache: DataFrame, now: Column, seconds: int = 300, most: int =
     """Entries of ``cache(key, at, ...)`` that are still good: the newest of each key, younger than the lifetime, the ``most`` newest."""
     newest = cache.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("at")))).filter("_n = 1").drop("_n")
     return newest.filter(F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("at").cast("timestamp")) < seconds).orderBy(F.desc("at"), "key").limit(most)
+
+
+def cached_results(cache: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every row of ``asked(key)`` with the newest entry of ``cache(key, at, ...)`` and a status: 200, or 404 where there is none."""
+    newest = cache.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("at")))).filter("_n = 1").drop("_n")
+    return asked.join(newest, "key", "left").withColumn("status", F.when(F.col("at").isNotNull(), 200).otherwise(404))
+
+
+def projects(rows: DataFrame, column: str = "project_tag", default: Sequence[str] = ("general",)) -> DataFrame:
+    """(project): the distinct tags of the rows, or the default ones where there are none."""
+    found = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("project")).distinct()
+    none = found.agg((F.count("*") == 0).alias("none"))  # one row
+    given = none.filter("none").select(F.explode(F.array(*(F.lit(d) for d in default))).alias("project"))
+    return found.unionByName(given).orderBy("project")

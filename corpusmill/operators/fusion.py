@@ -51,6 +51,16 @@ def frequency_relevance(hits: DataFrame, least: int = 2, k: int | None = 10, met
     return found if k is None else found.orderBy(F.desc("final_score"), key).limit(k)
 
 
+#: What an aggregation goes by; any other name stands for the first.
+AGGREGATIONS = ("frequency_relevance", "max", "average")
+
+
+def aggregate(hits: DataFrame, method: str = AGGREGATIONS[0], k: int | None = 10, least: int = 2, key: str = "chunk_id") -> DataFrame:
+    """Hits of several queries in one list by the named method."""
+    known = method if method in AGGREGATIONS else AGGREGATIONS[0]
+    return frequency_relevance(hits, least, k, "frequency" if known == AGGREGATIONS[0] else known, key)
+
+
 def above(aggregated: DataFrame, frequency: int | None = None, average: float | None = None, final: float | None = None) -> DataFrame:
     for column, bound in (("frequency", frequency), ("avg_score", average), ("final_score", final)):
         if bound is not None:

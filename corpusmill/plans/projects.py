@@ -436,3 +436,45 @@ def activity_log(spark, sf):
     searches = writers.search_events(e.filter("event_id % 2 = 0")).select("event_type", "session_id", "query", "results.total_time_ms")
     given = writers.feedback_events(e.filter("event_id % 2 = 1").withColumn("query", F.lit(None).cast("string")))
     return searches.unionByName(given.select("event_type", "session_id", "query", F.lit(None).cast("long").alias("total_time_ms")))
+
+
+@query("project_defaults", "SELECT 'some' AS asked, project FROM (SELECT DISTINCT source AS project FROM documents WHERE lang = 'fr' AND source IS NOT NULL) UNION ALL SELECT 'none', * FROM (VALUES ('general'), ('shared')) t(project) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'fr' AND text IS NULL AND source IS NOT NULL)")
+def project_defaults(spark, sf):
+    """Projects of the French documents, and of those without a text: the default ones, unless there are some."""
+    d = table(spark, sf, "documents").filter("lang = 'fr'")
+    default = ("general", "shared")
+    some = C.projects(d, "source", default).select(F.lit("some").alias("asked"), "project")
+    return some.unionByName(C.projects(d.filter("text IS NULL"), "source", default).select(F.lit("none").alias("asked"), "project"))
+
+
+@query("cached_lookup", "WITH l AS (SELECT user_id AS key, max(ts) AS seen FROM events WHERE event_type = 'purchase' GROUP BY 1), a AS (SELECT DISTINCT user_id AS key FROM events) SELECT key, CASE WHEN seen IS NULL THEN 404 ELSE 200 END::INT AS status, epoch_us(seen)::BIGINT AS seen FROM a LEFT JOIN l USING (key)")
+def cached_lookup(spark, sf):
+    """The newest purchase of every user, and who has none."""
+    e = table(spark, sf, "events")
+    cache = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("key"), F.col("ts").alias("at"))
+    return C.cached_results(cache, e.select(F.col("user_id").alias("key")).distinct()).select("key", "status", F.unix_micros(F.col("at").cast("timestamp")).alias("seen"))
+
+
+@query("daily_files", "SELECT strftime(ts, '%Y-%m-%d') || '.jsonl' AS file, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def daily_files(spark, sf):
+    return table(spark, sf, "events").groupBy(T.daily_file(F.col("ts")).alias("file")).agg(F.count("*").alias("n"))
+
+
+@query("web_urls", "SELECT doc_id, 'https://host/_git/' || source || '?path=/' || lang || '/' || md5(text) || '.md&version=GBmain' AS url FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+def web_urls(spark, sf):
+    d = table(spark, sf, "documents").filter("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+    path = F.concat(F.lit("/"), "lang", F.lit("/"), F.md5("text"), F.lit(".md"))
+    return d.select("doc_id", T.web_url(F.lit("https://host"), F.col("source"), path, F.lit("refs/heads/main")).alias("url"))
+
+
+@query("aggregation_routed", f"""WITH {retrieval._MULTI}, g AS (SELECT vec_id AS chunk_id, count(*) AS f, avg(score) AS a, max(score) AS m FROM multi GROUP BY vec_id HAVING count(*) >= 2),
+r AS (SELECT method, chunk_id, round(CASE method WHEN 'max' THEN m WHEN 'average' THEN a ELSE f * a END, 9) AS final_score FROM g, (VALUES ('frequency_relevance'), ('max'), ('average'), ('other')) t(method))
+SELECT method, chunk_id, final_score FROM r QUALIFY row_number() OVER (PARTITION BY method ORDER BY final_score DESC, chunk_id) <= 10""")
+def aggregation_routed(spark, sf):
+    """Each method by its name, and what an unknown name stands for."""
+    hits = retrieval._multi(spark, sf).withColumnRenamed("vec_id", "chunk_id")
+    parts = [fusion.aggregate(hits, m).select(F.lit(m).alias("method"), "chunk_id", "final_score") for m in (*fusion.AGGREGATIONS, "other")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
