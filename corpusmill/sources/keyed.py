@@ -54,7 +54,7 @@ class KeyedStore:
 
     def _put(self, rows: DataFrame, mode: str) -> None:
         dealt = rows.withColumn("_bucket", self._bucket()).repartition("_bucket")
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("_bucket").parquet(f"{self.folder}/rows")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.folder}/rows")
 
     def _all(self) -> DataFrame:
         from pyspark.sql.types import IntegerType, StructField, StructType
