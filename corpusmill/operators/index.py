@@ -39,10 +39,9 @@ def term_rows(docs: DataFrame, key: str, text: str, drop: Sequence[str]) -> Data
 
 
 def write_postings(rows: DataFrame, folder: str) -> None:
-    """Folders by bucket, sorted by term; one shuffle. A frequent term's postings are dealt over many files of its folder."""
-    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
-    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    """Folders by bucket, sorted by term; one shuffle, in which buckets of more than a task's share are split."""
+    dealt = rows.hint("rebalance", "bucket")
+    dealt.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
