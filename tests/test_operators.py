@@ -297,6 +297,32 @@ def test_fuzzy_pairs_are_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in dedupe.fuzzy_pairs(docs).collect()} == want and len(want) > 10
 
 
+def test_shared_passage_makes_no_fuzzy_candidates(spark):
+    """Heads with a passage in common and unlike for the rest aren't measured against each other."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+    passage, texts = word(150), []
+    for _ in range(200):
+        texts.append(passage + word(350))
+    texts.append(texts[0][:400] + "#" + texts[0][401:])
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, head string")
+    blocks = dedupe._blocks(docs, 0.95)
+    pairs = blocks.alias("x").join(blocks.alias("y"), "block").filter("x.id < y.id").select("x.id", "y.id").distinct()
+    assert pairs.count() < 50
+    found = dedupe.fuzzy_pairs(docs, key="id", text="head").collect()
+    assert [(r["a"], r["b"], r["ratio"]) for r in found] == [(0, 200, 0.998)]
+
+
+def test_fuzzy_pairs_of_low_likeness_are_all_pairs(spark):
+    texts = ["abcdef", "abxxef", "zzzzzz", "abc", "q", "ab", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (0.3, 0.6, 0.8):
+        want = {(a, b) for b in range(len(texts)) for a in range(b) if round(1 - _edits(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])), 6) > least}
+        assert {(r["a"], r["b"]) for r in dedupe.fuzzy_pairs(docs, least).collect()} == want
+
+
 def test_fuzzy_dups_all_has_every_language(spark, tmp_path):
     from corpusmill.plans.catalogue import QUERIES
 
