@@ -34,7 +34,12 @@ def strip_special(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased words between runs of white space."""
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(c), r"\s+"), "")
+
+
+def first_words(low: Column, n: int) -> Column:
+    """The first ``n`` words of a lower-cased text; what lies behind them isn't split. Only the first piece can be empty before that."""
+    return F.slice(F.array_remove(F.slice(F.split(low, r"\s+", n + 2), 1, n + 1), ""), 1, n)
 
 
 def contains_any(c: Column, terms: Sequence[str]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import boosting, context, evaluation, fusion, hooks, lexical
+from corpusmill.workspace import Workspace
 
 Leg = Callable[[int], DataFrame]
 
@@ -105,10 +106,14 @@ def hierarchical_scored(summaries: DataFrame, chunks: DataFrame, question: str,
     near = near.withColumn("branch", F.row_number().over(Window.partitionBy().orderBy(F.desc("relevance"), F.desc("score"), "summary_id")))  # ``top_k`` rows
     near = near.withColumn("routed", F.col("relevance") >= threshold)
     near = near.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "routed").orderBy("branch"))).filter("NOT routed OR again = 1")
+    ws = Workspace(summaries.sparkSession, "hierarchical")
+    near = ws.save(near, "near")  # all summaries are scored for these rows, once
     branches = near.filter("routed").select("branch", "summary_id", "doc_id", "keywords", "relevance")
-    rows = chunks.join(F.broadcast(branches), "doc_id")  # ``top_k`` rows
+    routed = [r["doc_id"] for r in branches.select("doc_id").collect()]  # at most ``top_k``: chunks of others needn't be scored
+    rows = chunks.filter(F.col("doc_id").isin(routed)).join(F.broadcast(branches), "doc_id")  # ``top_k`` rows
     best = F.row_number().over(Window.partitionBy("branch").orderBy(F.desc("score"), "chunk_id"))
     details = rows.withColumn("place", best).filter(F.col("place") <= each).select("branch", "place", F.lit("chunk").alias("kind"), "summary_id", "doc_id", "chunk_id", "content", "keywords", "relevance")
+    details = ws.save(details, "details")
     alone = near.join(details.select("branch").distinct(), "branch", "left_anti")
     some = details.agg((F.count("*") > 0).alias("some"))
     alone = alone.crossJoin(F.broadcast(some)).filter("routed OR NOT some")  # one row

@@ -84,13 +84,18 @@ def overlap_score(text: Column, query: str, is_sql_file: Column | None = None) -
 
 def rerank_score(text: Column, query: str) -> Column:
     """A tenth for each occurrence of each term, and up to a fifth for the first of 50 words that has it."""
-    low = F.lower(text)
-    head = F.slice(T.tokens(text), 1, 50)
-    total = F.lit(0.0)
-    for term in query.lower().split():
-        place = F.array_position(F.transform(head, _has(term)), F.lit(True))
-        total = total + T.occurrences(low, term) * 0.1 + F.when(place > 0, (51 - place) / 50.0 * 0.2).otherwise(0.0)
-    return total
+
+    def score(low: Column) -> Column:
+        def total(head: Column) -> Column:
+            found = F.lit(0.0)
+            for term in query.lower().split():
+                place = F.array_position(F.transform(head, _has(term)), F.lit(True))
+                found = found + T.occurrences(low, term) * 0.1 + F.when(place > 0, (51 - place) / 50.0 * 0.2).otherwise(0.0)
+            return found
+
+        return F.get(F.transform(F.array(T.first_words(low, 50)), total), F.lit(0))
+
+    return F.get(F.transform(F.array(F.lower(text)), score), F.lit(0))  # lowered and split once, however many terms there are
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:
