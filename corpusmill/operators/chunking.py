@@ -7,8 +7,12 @@ import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 # Section marks, in the order in which they cut.
 BOUNDARIES = [
@@ -178,6 +182,16 @@ def scan(language: str, text: str, size: int, overlap: int = 0) -> list[tuple[st
     return [("\n".join(lines[a:b]), a + 1, b, k) for a, b, k in found]
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about so many bytes in a text column, or of one row: what a task holds beside its batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def code_chunks(files: DataFrame, size: int = 3000, overlap: int = 200) -> DataFrame:
     """``files(path, language, text)`` to (path, chunk_index, content, start_line, end_line, chunk_type).
 
@@ -185,20 +199,23 @@ def code_chunks(files: DataFrame, size: int = 3000, overlap: int = 200) -> DataF
     files are independent and stream through in Arrow batches.
     """
 
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, language, text in zip(batch["path"], batch["language"], batch["text"], strict=True):
-                if language in LANGUAGES:
-                    found = scan(language, text or "", size, overlap)
-                else:
-                    lines, t, o = (text or "").split("\n"), max(2, size // 80), overlap // 80
-                    o = min(o, t - 1)
-                    found = [("\n".join(lines[a : a + t]), a + 1, min(len(lines), a + t), "code") for a in range(0, max(1, len(lines) - o + (t - o)), t - o) if a < max(1, len(lines))]
-                rows += [(path, i, *f) for i, f in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["path", "chunk_index", "content", "start_line", "end_line", "chunk_type"])
-
-    return files.select("path", "language", "text").mapInPandas(chunked, "path string, chunk_index int, content string, start_line int, end_line int, chunk_type string")
+            for some in by_bytes(batch, "text"):
+                rows = []
+                for path, language, text in zip(*(some[c].to_pylist() for c in ("path", "language", "text")), strict=True):
+                    if language in LANGUAGES:
+                        found = scan(language, text or "", size, overlap)
+                    else:
+                        lines, t, o = (text or "").split("\n"), max(2, size // 80), overlap // 80
+                        o = min(o, t - 1)
+                        found = [("\n".join(lines[a : a + t]), a + 1, min(len(lines), a + t), "code") for a in range(0, max(1, len(lines) - o + (t - o)), t - o) if a < max(1, len(lines))]
+                    rows += [(path, i, *f) for i, f in enumerate(found)]
+                if rows:
+                    types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["path", "chunk_index", "content", "start_line", "end_line", "chunk_type"])
+
+    return files.select("path", "language", "text").mapInArrow(chunked, "path string, chunk_index int, content string, start_line int, end_line int, chunk_type string")
 
 
 def syntax_chunks(files: DataFrame) -> DataFrame:
@@ -246,15 +263,20 @@ def semantic_chunks(docs: DataFrame, size: int = 3000, overlap: int = 200, key:
     """
     source_of = F.coalesce(F.col(source).cast("string"), F.lit("unknown")) if source else F.col(key).cast("string")
     rows = docs.select(F.col(key), source_of.alias("_source"), F.posexplode(sections(F.col(text))).alias("section_id", "section"))
+    kind = docs.schema[key].dataType
 
-    @F.pandas_udf("array<string>")
-    def split(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: split_recursively(t, size, overlap) if isinstance(t, str) else None)
-
-    large = F.length("section") > size
-    rows = rows.withColumn("_parts", split(F.when(large, F.col("section"))))
-    parts = F.when(F.col("_parts").isNull(), F.array("section")).otherwise(F.col("_parts"))
-    rows = rows.select(key, "_source", "section_id", F.col("_parts").isNotNull().alias("_cut"), F.posexplode(parts).alias("_part", "content"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in by_bytes(batch, "section"):
+                found = [split_recursively(t, size, overlap) if len(t) > size else None for t in some["section"].to_pylist()]
+                parts = [[t] if f is None else f for t, f in zip(some["section"].to_pylist(), found)]
+                row = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+                held = [some[c].take(row) for c in (key, "_source", "section_id")]
+                cut = pa.array([f is not None for f in found]).take(row)
+                part = pa.array([i for p in parts for i in range(len(p))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*held, cut, part, pa.array([x for p in parts for x in p], pa.string())], names=[key, "_source", "section_id", "_cut", "_part", "content"])
+
+    rows = rows.mapInArrow(split, StructType([StructField(key, kind), *StructType.fromDDL("_source string, section_id int, _cut boolean, _part int, content string")]))
     name = F.concat_ws("_", "_source", "section_id", F.when(F.col("_cut"), F.col("_part").cast("string")))
     order = Window.partitionBy(key).orderBy("section_id", "_part")
     return rows.select(key, (F.row_number().over(order) - 1).alias("chunk_index"), "content", "section_id", name.alias("chunk_id"))

@@ -521,3 +521,23 @@ def test_hierarchical_branches(spark):
     assert got(threshold=0.6) == [("summary", "s3", "three", 0.9), ("chunk", "s1", "b", 0.7), ("chunk", "s1", "a", 0.7), ("chunk", "s2", "c", 0.65)]
     assert got(threshold=0.8) == [("summary", "s3", "three", 0.9), ("summary", "s1", "one", 0.7), ("summary", "s4", "four", 0.65), ("summary", "s2", "two", 0.65), ("summary", "s5", "five", 0.1)]
     assert compositions.hierarchical_scored(summaries.limit(0), chunks, "x").count() == 0
+
+
+def test_hierarchical_scores_no_chunks_of_other_documents(spark):
+    from corpusmill.operators import compositions
+
+    summaries = spark.sql("SELECT i AS summary_id, i AS doc_id, 'c' || i AS content, '' AS keywords, 'text' AS document_type, 1.0D / i AS score FROM VALUES (1L), (2L) t(i)")
+    chunks = spark.sql("SELECT i AS doc_id, 0L AS chunk_id, 'd' || i AS content FROM VALUES (1L), (2L) t(i)").withColumn("score", 1.0 / (F.col("doc_id") - 2))  # an error for document 2
+    got = compositions.hierarchical_scored(summaries, chunks, "x", 1, 0.7).collect()
+    assert [(r["kind"], r["doc_id"], r["content"]) for r in got] == [("chunk", 1, "d1")]
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 3000, None, "", *["b" * 500] * 20, "ü" * 5000]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(texts))), "text": texts})
+    parts = list(chunking.by_bytes(batch, "text", 2000))
+    assert [i for p in parts for i in p["i"].to_pylist()] == batch["i"].to_pylist() and len(parts) > 7
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) <= 2000 for p in parts)
+    assert list(chunking.by_bytes(batch.slice(3, 0), "text")) == []
