@@ -6,8 +6,11 @@ reads the folders of its terms only and skips row groups without them; nothing o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmill.operators.lexical import B, EPSILON, K1, _words
@@ -16,37 +19,78 @@ from corpusmill.workspace import delete, exists
 BUCKETS = 64
 #: Bucket of the rows that hold documents' lengths.
 LENGTHS = -1
+#: Words of rows that are counted together.
+TOKENS = 1 << 21
+BLOCKS = "term string, doc_id array<long>, tf array<long>, dl array<long>"
 
 
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def term_rows(docs: DataFrame, key: str, text: str, drop: Sequence[str]) -> DataFrame:
-    """(doc_id, term, tf, dl, bucket) of every row, and one row with the empty term for each, in a bucket of its own.
+def term_blocks(docs: DataFrame, key: str, text: str, drop: Sequence[str]) -> DataFrame:
+    """(term, doc_id, tf, dl, bucket): for each term of some rows that lie together, lists of the rows that have it.
 
-    Terms are counted inside the row, from the starts of equal ones in the sorted words: nothing is shuffled.
+    Terms are counted where the rows lie, so a term is shuffled and sorted once for very many rows. All rows are listed
+    under the empty term, in a bucket of its own, with their lengths (of no text: none).
     """
-    words = docs.select(F.col(key).alias("doc_id"), F.sort_array(_words(text, drop)).alias("w"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-    words = words.select("doc_id", "w", F.size("w").cast("long").alias("dl"), F.when(F.size("w") > 0, starts).alias("s"))
-    tf = lambda i, j: (F.coalesce(F.get("s", j + 1), F.size("w")) - i).cast("long")
-    counted = F.transform("s", lambda i, j: F.struct(F.get("w", i).alias("term"), tf(i, j).alias("tf")))
-    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")))
-    length = F.when(F.col("w").isNotNull(), F.col("dl"))  # of no text: none
-    rows = words.select("doc_id", length.alias("dl"), F.inline(F.concat(whole, F.coalesce(counted, F.array().cast("array<struct<term:string,tf:bigint>>")))))
-    return rows.select("doc_id", "term", "tf", "dl", F.when(F.col("term") == "", LENGTHS).otherwise(bucket_of(F.col("term"))).alias("bucket"))
-
-
-def write_postings(rows: DataFrame, folder: str) -> None:
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = pc.fill_null(pc.list_value_length(batch["w"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, at = np.cumsum(sizes), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
+                some, n = batch.slice(at, end - at), end - at
+                length = pc.list_value_length(some["w"]).cast(pa.int64())
+                words = some["w"].flatten().dictionary_encode()
+                place = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), sizes[at:end])
+                found, tf = np.unique(place, return_counts=True)
+                yield _blocks(pa.array([""]), np.array([0, n]), some["doc_id"], np.zeros(n, np.int64), length)
+                yield _blocks(words.dictionary, np.searchsorted(found, np.arange(len(words.dictionary) + 1) * n), some["doc_id"].take(pa.array(found % n)), tf, length.take(pa.array(found % n)))
+                at = end
+
+    words = docs.select(F.col(key).cast("long").alias("doc_id"), _words(text, drop).alias("w"))
+    return words.mapInArrow(block, BLOCKS).withColumn("bucket", F.when(F.col("term") == "", LENGTHS).otherwise(bucket_of(F.col("term"))))
+
+
+def _blocks(terms: pa.Array, starts: np.ndarray, ids: pa.Array, tf: np.ndarray, dl: pa.Array) -> pa.RecordBatch:
+    at = pa.array(starts.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, x) for x in (ids, pa.array(tf.astype(np.int64)), dl)]
+    return pa.RecordBatch.from_arrays([terms, *lists], names=["term", "doc_id", "tf", "dl"])
+
+
+def blocks_again(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, term, tf, dl, bucket) as blocks: of a term's rows that follow each other, up to a batch."""
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch["term"].dictionary_encode()
+            codes = words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            starts, order = np.searchsorted(codes[order], np.arange(len(words.dictionary) + 1)), pa.array(order)
+            yield _blocks(words.dictionary, starts, batch["doc_id"].take(order), batch["tf"].take(order).to_numpy(zero_copy_only=False), batch["dl"].take(order))
+
+    found = rows.select("term", "doc_id", "tf", "dl").mapInArrow(block, BLOCKS)
+    return found.withColumn("bucket", F.when(F.col("term") == "", LENGTHS).otherwise(bucket_of(F.col("term"))))
+
+
+def rows_of(blocks: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, dl, bucket), and what else there is beside the lists."""
+    return blocks.select(*(c for c in blocks.columns if c not in ("doc_id", "tf", "dl")), F.inline(F.arrays_zip("doc_id", "tf", "dl")))
+
+
+def write_postings(blocks: DataFrame, folder: str) -> None:
     """Folders by bucket, sorted by term; one shuffle, in which buckets of more than a task's share are split."""
-    dealt = rows.hint("rebalance", "bucket")
-    dealt.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
+    dealt = blocks.hint("rebalance", "bucket")
+    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
 
 
-def term_counts(postings: DataFrame) -> DataFrame:
+def term_counts(blocks: DataFrame) -> DataFrame:
     """(bucket, term, df): documents of each term."""
-    return postings.filter(F.col("bucket") != LENGTHS).groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    return blocks.filter(F.col("bucket") != LENGTHS).groupBy("bucket", "term").agg(F.sum(F.size("doc_id")).alias("df"))
 
 
 def write_figures(found: KeywordIndex, counts: DataFrame | None = None) -> KeywordIndex:
@@ -54,7 +98,7 @@ def write_figures(found: KeywordIndex, counts: DataFrame | None = None) -> Keywo
     folder = found.folder
     every = found.postings()
     totals = every.filter(F.col("bucket") == LENGTHS).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = (term_counts(every) if counts is None else counts).crossJoin(F.broadcast(totals.select("n_docs")))  # one row
+    df = (term_counts(found.blocks()) if counts is None else counts).crossJoin(F.broadcast(totals.select("n_docs")))  # one row
     idf = F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     terms = df.select("bucket", "term", "df", idf.alias("idf"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
@@ -63,12 +107,12 @@ def write_figures(found: KeywordIndex, counts: DataFrame | None = None) -> Keywo
 
 
 def build_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", drop: Sequence[str] = ()) -> KeywordIndex:
-    """Write postings (term, doc_id, tf, dl), term statistics (term, df, idf) and one row of corpus figures.
+    """Write postings (term, and lists of doc_id, tf and dl), term statistics (term, df, idf) and one row of corpus figures.
 
     The texts are read and tokenised once, all else comes from the postings. Rows without text count as
     documents and have no terms. Rows are documents; where several have one key, their scores are added up.
     """
-    write_postings(term_rows(docs, key, text, drop), f"{folder}/postings")
+    write_postings(term_blocks(docs, key, text, drop), f"{folder}/postings")
     return write_figures(KeywordIndex(docs.sparkSession, folder))
 
 
@@ -78,14 +122,18 @@ class KeywordIndex:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._tables: dict[str, DataFrame] = {}
+        self._rows: DataFrame | None = None
 
     def _read(self, name: str, schema: str) -> DataFrame:
         if name not in self._tables:  # files are listed once
             self._tables[name] = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         return self._tables[name]
 
+    def blocks(self) -> DataFrame:
+        return self._read("postings", f"{BLOCKS}, bucket int")
+
     def postings(self) -> DataFrame:
-        return self._read("postings", "doc_id long, term string, tf long, dl long, bucket int")
+        return self._rows if self._rows is not None else rows_of(self.blocks())
 
     def terms(self) -> DataFrame:
         return self._read("terms", "term string, df long, idf double, bucket int")
@@ -141,7 +189,7 @@ class SegmentedIndex:
         rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/state")
 
     def _segment(self, number: int) -> DataFrame:
-        found = self.spark.read.schema("doc_id long, term string, tf long, dl long, bucket int").parquet(f"{self.folder}/segment{number}/postings")
+        found = self.spark.read.schema(f"{BLOCKS}, bucket int").parquet(f"{self.folder}/segment{number}/postings")
         return found.withColumn("segment", F.lit(number).cast("long"))
 
     def _joined(self, parts: list[DataFrame]) -> DataFrame:
@@ -158,20 +206,24 @@ class SegmentedIndex:
 
     def _postings(self, state: dict, numbers: Sequence[int], alive: bool = True) -> DataFrame:
         """Postings of segments that are alive, or those that are marked."""
-        rows = self._joined([self._segment(n) for n in sorted(numbers)])
+        rows = rows_of(self._joined([self._segment(n) for n in sorted(numbers)]))
         marked = self._marked(state)
         if marked is not None:
             rows = rows.join(marked, (F.col("doc_id") == F.col("gone")) & (F.col("segment") <= F.col("upto")), "left_anti" if alive else "left_semi")
         return rows.select("doc_id", "term", "tf", "dl", "bucket")
 
-    def _write(self, rows: DataFrame, number: int) -> None:
-        write_postings(rows, f"{self.folder}/segment{number}/postings")
+    def _marked_counts(self, state: dict, numbers: Sequence[int]) -> DataFrame:
+        gone = self._postings(state, numbers, alive=False).filter(F.col("bucket") != LENGTHS)
+        return gone.groupBy("bucket", "term").agg((-F.count("*")).alias("df"))
+
+    def _write(self, blocks: DataFrame, number: int) -> None:
+        write_postings(blocks, f"{self.folder}/segment{number}/postings")
         term_counts(self._segment(number)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/segment{number}/counts")
 
     def add(self, docs: DataFrame) -> None:
         state = self._state()
         number = state["newest"] + 1
-        self._write(term_rows(docs, self.key, self.text, self.drop), number)
+        self._write(term_blocks(docs, self.key, self.text, self.drop), number)
         state = state | {"newest": number, "segments": state["segments"] | {number: 0}}
         while True:
             levels = list(state["segments"].values())
@@ -180,7 +232,8 @@ class SegmentedIndex:
                 break
             old = [n for n, level in state["segments"].items() if level == full]
             number = state["newest"] + 1
-            self._write(self._postings(state, old), number)
+            whole = self._joined([self._segment(n) for n in sorted(old)]).drop("segment")
+            self._write(blocks_again(self._postings(state, old)) if state["marks"] else whole, number)
             state = state | {"newest": number, "segments": {n: x for n, x in state["segments"].items() if n not in old} | {number: full + 1}}
         self._commit(state)
 
@@ -197,11 +250,11 @@ class SegmentedIndex:
             raise LookupError(f"{self.folder}: nothing was added yet")
         numbers = list(state["segments"])
         found = KeywordIndex(self.spark, f"{self.folder}/view{state['number']}")
-        found._tables["postings"] = self._postings(state, numbers)
+        found._rows = self._postings(state, numbers)
         if not exists(self.spark, f"{found.folder}/figures/_SUCCESS"):
             counts = self._joined([self.spark.read.schema("term string, df long, bucket int").parquet(f"{self.folder}/segment{n}/counts") for n in numbers])
             if state["marks"]:
-                counts = counts.unionByName(term_counts(self._postings(state, numbers, alive=False)).withColumn("df", -F.col("df")))
+                counts = counts.unionByName(self._marked_counts(state, numbers))
             write_figures(found, counts.groupBy("bucket", "term").agg(F.sum("df").alias("df")).filter("df > 0"))
         return found
 

@@ -527,7 +527,7 @@ def test_hierarchical_scores_no_chunks_of_other_documents(spark):
     from corpusmill.operators import compositions
 
     summaries = spark.sql("SELECT i AS summary_id, i AS doc_id, 'c' || i AS content, '' AS keywords, 'text' AS document_type, 1.0D / i AS score FROM VALUES (1L), (2L) t(i)")
-    chunks = spark.sql("SELECT i AS doc_id, 0L AS chunk_id, 'd' || i AS content FROM VALUES (1L), (2L) t(i)").withColumn("score", 1.0 / (F.col("doc_id") - 2))  # an error for document 2
+    chunks = spark.range(1, 3).selectExpr("id AS doc_id", "0L AS chunk_id", "'d' || id AS content").withColumn("score", 1.0 / (F.col("doc_id") - 2))  # an error for document 2
     got = compositions.hierarchical_scored(summaries, chunks, "x", 1, 0.7).collect()
     assert [(r["kind"], r["doc_id"], r["content"]) for r in got] == [("chunk", 1, "d1")]
 
@@ -541,3 +541,17 @@ def test_batches_are_cut_by_bytes():
     assert [i for p in parts for i in p["i"].to_pylist()] == batch["i"].to_pylist() and len(parts) > 7
     assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) <= 2000 for p in parts)
     assert list(chunking.by_bytes(batch.slice(3, 0), "text")) == []
+
+
+def test_postings_lie_in_blocks(spark, tmp_path):
+    """A term's rows are shuffled and written together, however many there are."""
+    from corpusmill.operators import index
+
+    docs = spark.createDataFrame([(i, f"the word{i % 3} the") for i in range(300)] + [(300, None), (301, " ")], "doc_id long, text string").coalesce(1)
+    found = index.build_index(docs, f"file://{tmp_path}/blocks")
+    stored = spark.read.parquet(f"{found.folder}/postings")
+    assert stored.filter("term <> ''").count() == 4
+    rows = found.postings().filter("term = 'the'").agg(F.count("*"), F.sum("tf"), F.sum("dl"), F.countDistinct("doc_id")).first()
+    assert tuple(rows) == (300, 600, 900, 300)
+    assert values(found.postings().filter("term = '' AND doc_id >= 299"), "doc_id", "dl") == [(299, 3), (300, None), (301, 0)]
+    assert values(found.terms(), "term", "df") == [("the", 300), ("word0", 100), ("word1", 100), ("word2", 100)]
