@@ -13,6 +13,8 @@ from corpusmill.functions import vectors as V
 
 #: Queries that are sent to every task at most; more are joined block by block.
 QUERIES_AT_ONCE = 1000
+#: Vectors that are scored against these in one product.
+ROWS_AT_ONCE = 1024
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -25,9 +27,9 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_index, vec_id, score, rank): the k nearest for every row of ``queries(query_index, q)``.
 
-    Each batch of vectors is scored against a block of queries as one matrix product and cut to its k
-    best per query at once, so no pair is shuffled that can't win; the final ranking merges k rows
-    from each batch. The number of queries is checked, blocks above the bound run one after the other.
+    Some vectors at a time are scored against a block of queries as one matrix product and merged with the k
+    best per query so far, so a task holds one such product and no pair is shuffled that can't win; the final ranking
+    merges k rows from each task. The number of queries is checked, blocks above the bound run one after the other.
     """
     rows = [(r["query_index"], np.array(r["q"], dtype=np.float64)) for r in queries.select("query_index", "q").orderBy("query_index").limit(QUERIES_AT_ONCE + 1).collect()]
     if len(rows) > QUERIES_AT_ONCE:
@@ -43,17 +45,27 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     sizes = np.linalg.norm(matrix, axis=1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(names):
-                continue
-            column = batch["v"]
-            data = np.asarray(column.flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            keys = batch["key"].to_numpy()
-            products = data @ matrix.T / np.outer(np.linalg.norm(data, axis=1), sizes)
-            rounded = np.round(products, 6)
-            for j, name in enumerate(names):
-                order = np.lexsort((keys, -rounded[:, j]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), name)), pa.array(keys[order]), pa.array(rounded[order, j])], names=["query_index", key, "score"])
+        if not len(names):
+            return
+        scores, found = np.empty((len(names), 0)), np.empty((len(names), 0), np.int64)  # the best so far
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                data = np.asarray(batch["v"].flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+                keys = batch["key"].to_numpy()
+                new = np.round(matrix @ data.T / np.outer(sizes, np.linalg.norm(data, axis=1)), 6)
+                kept = min(k, scores.shape[1] + len(keys))
+                after, names_after = np.empty((len(names), kept)), np.empty((len(names), kept), np.int64)
+                full = scores.shape[1] == k > 0
+                for j in range(len(names)):
+                    if full and new[j].max() < scores[j].min():
+                        after[j], names_after[j] = scores[j], found[j]
+                        continue
+                    both, either = np.concatenate([scores[j], new[j]]), np.concatenate([found[j], keys])
+                    order = np.lexsort((either, -both))[:k]
+                    after[j], names_after[j] = both[order], either[order]
+                scores, found = after, names_after
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, scores.shape[1])), pa.array(found.ravel()), pa.array(scores.ravel())], names=["query_index", key, "score"])
 
     best = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).filter("v IS NOT NULL").mapInArrow(score, f"query_index long, {key} long, score double")
     rank = F.row_number().over(Window.partitionBy("query_index").orderBy(F.desc("score"), key))

@@ -555,3 +555,17 @@ def test_postings_lie_in_blocks(spark, tmp_path):
     assert tuple(rows) == (300, 600, 900, 300)
     assert values(found.postings().filter("term = '' AND doc_id >= 299"), "doc_id", "dl") == [(299, 3), (300, None), (301, 0)]
     assert values(found.terms(), "term", "df") == [("the", 300), ("word0", 100), ("word1", 100), ("word2", 100)]
+
+
+def test_nearest_many_keeps_the_best_over_slices(spark, monkeypatch):
+    """Ties go to the smaller key, whichever slice it is in."""
+    from corpusmill.operators import dense
+
+    monkeypatch.setattr(dense, "ROWS_AT_ONCE", 3)
+    rows = [(100 - i, [1.0, float(i % 4)]) for i in range(40)] + [(200, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query_index long, q array<double>")
+    got = dense.nearest_many(vectors, asked, 5).collect()
+    best = lambda rest: sorted(100 - i for i in range(40) if i % 4 == rest)[:5]
+    for q, rest in ((0, 0), (1, 3)):
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_index"] == q] == best(rest)
