@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import vectors as V
+from corpusmill.workspace import Workspace
 
 #: Queries that are sent to every task at most; more are joined block by block.
 QUERIES_AT_ONCE = 1000
 #: Vectors that are scored against these in one product.
 ROWS_AT_ONCE = 1024
+#: Signs in a mark.
+MARK = 62
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -92,31 +95,50 @@ def sign_bands(least: float, rows: int, missed: float = 1e-9, most: int = 256) -
     raise ValueError(f"no banding for cosine {least}")
 
 
+def mark_limit(least: float, missed: float = 1e-10) -> int:
+    """Of ``MARK`` further signs, the most that may differ: a pair at cosine ``least`` has more with probability ``missed``."""
+    other = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    limit, left = MARK, 0.0
+    while limit > 0:
+        left += math.comb(MARK, limit) * other**limit * (1 - other) ** (MARK - limit)
+        if left > missed:
+            break
+        limit -= 1
+    return limit
+
+
 def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(a, b, score) of pairs of different vectors with cosine over ``least``, a < b.
 
     Equal vectors are one row with the smallest id (``vector_classes`` has the others), so copies don't
     multiply. Candidates share a band of signs against fixed random planes, see ``sign_bands``; bands get
-    longer with the number of rows, so that unlike vectors share few. Candidates
-    are confirmed on the vectors.
+    longer with the number of rows, so that unlike vectors share few. Each row of a band also has a mark of
+    further signs, and the join itself leaves out pairs whose marks are too unlike, see ``mark_limit``: only
+    pairs that are left meet their vectors, on which they are confirmed.
     """
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).filter("v IS NOT NULL AND key IS NOT NULL")
     rows = rows.groupBy(F.xxhash64("v").alias("h"), "v").agg(F.min("key").alias("key")).select("key", "v")
+    rows = Workspace(vectors.sparkSession, "similar-pairs").save(rows, "rows")
     bits, bands = sign_bands(least, rows.count())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data = np.asarray(batch["v"].flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            planes = np.random.default_rng(20240101).standard_normal((data.shape[1], bands * bits))
-            weights = np.int64(1) << np.arange(bits, dtype=np.int64)
-            codes = ((data @ planes > 0).reshape(len(data), bands, bits) * weights).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1, dtype=np.int32) * bands), pa.array(codes.ravel())), batch["v"]], names=["key", "codes", "v"])
-
-    coded = rows.mapInArrow(sign, f"key long, codes array<long>, v {vectors.schema[vector].dataType.simpleString()}")
-    banded = coded.select("key", F.posexplode("codes").alias("band", "code"))
-    pairs = banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.code") == F.col("y.code")) & (F.col("x.key") < F.col("y.key")))
+        planes, weights = None, np.int64(1) << np.arange(max(bits, MARK), dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                data = np.asarray(batch["v"].flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+                if planes is None or len(planes) != data.shape[1]:
+                    planes = np.random.default_rng(20240101).standard_normal((data.shape[1], bands * bits + MARK))
+                signs = data @ planes > 0
+                codes = (signs[:, :-MARK].reshape(len(data), bands, bits) * weights[:bits]).sum(axis=2)
+                marks = (signs[:, -MARK:] * weights[:MARK]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch["key"], pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1, dtype=np.int32) * bands), pa.array(codes.ravel())), pa.array(marks)], names=["key", "codes", "mark"])
+
+    coded = rows.mapInArrow(sign, "key long, codes array<long>, mark long")
+    banded = coded.select("key", "mark", F.posexplode("codes").alias("band", "code"))
+    alike = F.bit_count(F.col("x.mark").bitwiseXOR(F.col("y.mark"))) <= mark_limit(least)
+    # merged, as the planner takes the bands of a small file for small
+    pairs = banded.alias("x").hint("merge").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.code") == F.col("y.code")) & (F.col("x.key") < F.col("y.key")) & alike)
     pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     full = pairs.join(rows.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
     return full.select("a", "b", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("score")).filter(F.col("score") > least)

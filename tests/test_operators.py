@@ -138,6 +138,26 @@ def test_similar_vectors_are_all_pairs(spark):
         assert bits >= min(30, np.log2(n)) and bands <= 256
 
 
+def test_unlike_candidates_meet_no_vectors(spark):
+    import numpy as np
+
+    from corpusmill.operators import dense
+
+    assert dense.mark_limit(1.0) == 0 and dense.mark_limit(0.98) == 21 and dense.mark_limit(-1.0) == dense.MARK
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(2000, 64))
+    data = np.concatenate([base, base[:50] + rng.normal(scale=0.05, size=(50, 64))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    found = dense.similar_pairs(rows, 0.98)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(i, 2000 + i) for i in range(50)}
+    # the join itself leaves out unlike ones that share a band
+    graph = found._jdf.queryExecution().optimizedPlan()
+    while graph.nodeName() != "Aggregate":
+        graph = graph.children().head()
+    candidates = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, graph)
+    assert candidates.count() < 4000  # 26,721 share a band
+
+
 def test_index_is_the_plain_scoring(spark, tmp_path):
     from corpusmill.operators import index, lexical
 
