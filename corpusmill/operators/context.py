@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from corpusmill.functions import text as T
+from corpusmill.workspace import Workspace
 
 # Fixed values.
 TECHNICAL = [
@@ -97,10 +104,37 @@ def excerpts(text: Column, query: str, k: int = 4) -> Column:
 
 
 def keywords(docs: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, word, n, rank): most frequent words of 3 letters or more, ties by first place; counted inside each text."""
+    """(doc_id, word, n, rank): most frequent words of 3 letters or more, ties by first place.
+
+    Words are counted inside each text, where they lie. Texts that share a key are one document: keys are counted first,
+    and only texts of those that repeat are dealt out by word.
+    """
     runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     words = F.filter(runs, lambda x: F.rlike(x, F.lit("^[a-z_]{3,}$")) & ~x.isin(KEYWORD_STOPS))
-    rows = docs.select(F.col(key), F.posexplode(words).alias("pos", "word"))
+    repeated = docs.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key", F.lit(True).alias("_known"))
+    repeated = Workspace(docs.sparkSession, "keywords").save(repeated, "repeated")
+    some = not repeated.isEmpty()
+    single = docs.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left_anti") if some else docs
+    joined = single.select(F.col(key), F.array_join(words, " ").alias("_words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                best = [Counter(w.split(" ")).most_common(k) if w else [] for w in batch["_words"].to_pylist()]  # ties stay in order
+                sizes = [len(b) for b in best]
+                columns = [
+                    batch[key].take(pa.array(np.repeat(np.arange(len(best)), sizes))),
+                    pa.array([w for b in best for w, _ in b], pa.string()),
+                    pa.array([n for b in best for _, n in b], pa.int64()),
+                    pa.array([r for size in sizes for r in range(1, size + 1)], pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "word", "n", "rank"])
+
+    found = joined.mapInArrow(count, StructType([joined.schema[key], *StructType.fromDDL("word string, n long, rank int")]))
+    if not some:
+        return found
+    rows = docs.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(F.col(key), F.posexplode(words).alias("pos", "word"))
     counted = rows.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(key, "word", "n", "rank")
+    return found.unionByName(counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(key, "word", "n", "rank"))

@@ -158,6 +158,17 @@ def test_unlike_candidates_meet_no_vectors(spark):
     assert candidates.count() < 4000  # 26,721 share a band
 
 
+def test_keywords_are_counted_where_texts_lie(spark):
+    alone = [(1, "Beta alpha beta and the x1 gamma"), (2, None), (3, "no"), (4, "zed zed_a ab abc, abc é")]
+    want = [(1, "alpha", 1, 2), (1, "beta", 2, 1), (1, "gamma", 1, 3), (4, "abc", 2, 1), (4, "zed", 1, 2), (4, "zed_a", 1, 3)]
+    found = context.keywords(spark.createDataFrame(alone, "doc_id long, text string"))
+    assert values(found, "doc_id", "word", "n", "rank") == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    again = spark.createDataFrame([*alone, (3, "one two two"), (3, "one one"), (None, "left over left"), (None, "left")], "doc_id long, text string")
+    got = {(r["doc_id"], r["word"], r["n"], r["rank"]) for r in context.keywords(again, k=2).collect()}
+    assert got == {w for w in want if w[3] < 3} | {(3, "one", 3, 1), (3, "two", 2, 2), (None, "left", 3, 1), (None, "over", 1, 2)}
+
+
 def test_index_is_the_plain_scoring(spark, tmp_path):
     from corpusmill.operators import index, lexical
 
