@@ -346,6 +346,67 @@ def test_shared_passage_makes_no_fuzzy_candidates(spark):
     assert [(r["a"], r["b"], r["ratio"]) for r in found] == [(0, 200, 0.998)]
 
 
+def _near_heads(n):
+    """Heads that differ by a few letters each."""
+    import random
+
+    rng = random.Random(11)
+    base, texts = [rng.choice("abcdefghijklmnopqrst ") for _ in range(500)], []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(10):
+            w[rng.randrange(490)] = rng.choice("uvwxyz")
+        texts.append("".join(w))
+    return texts
+
+
+def test_fuzzy_pairs_dont_shuffle_heads_for_each_pair(spark):
+    """Of near copies each head is shuffled a few times, not once for each other one."""
+    written = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000), spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite())[1]
+    texts = _near_heads(200)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = written()
+    found = {(r["a"], r["b"]) for r in dedupe.fuzzy_pairs(docs).collect()}
+    assert written() - before < 5_000_000  # two heads for each of 19,900 pairs are four times that
+    some = [(a, b) for a in (0, 57, 199) for b in range(200) if a < b]
+    assert {p for p in found if p[0] in (0, 57, 199)} == {(a, b) for a, b in some if _edits(texts[a], texts[b]) < 25}
+    assert len(found) > 15_000
+
+
+def test_fuzzy_candidates_are_sifted_and_met_once(spark):
+    """Unlike heads with one rare passage make no candidates; near copies are met by few of the grams that they share."""
+    import random
+
+    rng = random.Random(5)
+    unlike = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(400)) for _ in range(60)]
+    passage = "ÄÖÜ" * 30 + "0123456789"  # rarer than all else
+    docs = spark.createDataFrame([(i, t[:200] + passage + t[200:]) for i, t in enumerate(unlike)], "id long, head string")
+    assert dedupe._candidates(docs, 0.95).isEmpty()
+    near = spark.createDataFrame(list(enumerate(_near_heads(60))), "id long, head string")
+    blocks = dedupe._blocks(near, 0.95)
+    met = blocks.alias("x").join(blocks.alias("y"), "block").filter("x.id < y.id")
+    assert met.filter("x.before <> y.before OR x.before = 0").count() < 0.5 * met.count()
+    assert dedupe._candidates(near, 0.95).count() == 60 * 59 // 2
+
+
+def test_fuzzy_distances_are_edit_distances():
+    import random
+
+    rng = random.Random(2)
+    for most in (0, 1, 3, 24, 300):
+        xs, ys = [], []
+        for letters in ("ab", "abcdefgh", "äб\U0001f600xyz"):
+            for n in (0, 1, 2, 20, 63, 64, 90):
+                x = "".join(rng.choice(letters) for _ in range(n))
+                w = list(x)
+                for _ in range(rng.randrange(8)):
+                    at = rng.randrange(len(w) + 1)
+                    w[at : at + rng.choice((0, 1, 2))] = rng.choice(("", "a", "bb"))
+                xs += [x, x, x]
+                ys += ["".join(w), "".join(rng.choice(letters) for _ in range(rng.randrange(90))), x]
+        assert dedupe._distances(xs, ys, most).tolist() == [min(_edits(x, y), most + 1) for x, y in zip(xs, ys)]
+
+
 def test_fuzzy_pairs_of_low_likeness_are_all_pairs(spark):
     texts = ["abcdef", "abxxef", "zzzzzz", "abc", "q", "ab", "a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
